@@ -3,21 +3,69 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesselle.llm import quality
+from tesselle.llm import decontaminate, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark that every document holds."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records into Zstandard archives, and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the regularised quadratic discriminant."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op9_warc_zstd": op9_warc_zstd,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, {1 + 5 * g}, 5))::INTEGER >> {shift}) & 31), 1)" for g in range(8) for shift in (15, 10, 5, 0)
+)
+
+ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": r"""
+        with
+        item as (
+            select cast(item_id as varchar) as item_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from benchmark where item_id is not null),
+        win as (
+            select item_id, least(len(w), 10) as n, array_to_string(w[i : i + 9], ' ') as phrase
+            from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from item where len(w) > 0)),
+        doc as (
+            select doc_id, row_number() over () as row,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from documents),
+        place as (
+            select row, i, n, array_to_string(w[i : i + n - 1], ' ') as phrase
+            from (select row, w, unnest(generate_series(1, len(w))) as i from doc) p, (select distinct n from win) s
+            where i + n - 1 <= len(w)),
+        hit as (select row, i, h.n, item_id from place h join win using (phrase) where h.n = win.n),
+        covered as (select row, count(distinct p) as n_hit from (select row, unnest(generate_series(i, i + n - 1)) as p from (select distinct row, i, n from hit)) group by row),
+        listed as (select row, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items from hit group by row)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+               sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from doc left join covered using (row) left join listed using (row)""",
+    "op9_warc_zstd": f"""
+        with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha, min(page_id) over (partition by coalesce(html, '')) as first from pages)
+        select page_id, octet_length(encode(html))::bigint as payload_bytes, {_BASE32} as payload_digest,
+               case when page_id > first then 'revisit' else 'response' end as record_type,
+               case when page_id > first then first end as refers_to
+        from p""",
+}
