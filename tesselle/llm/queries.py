@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselle.llm import decontaminate, quality, simhash, warc
+from tesselle.llm import decontaminate, packing, quality, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records into Zstandard archives, and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -36,6 +43,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash_neardup": op2_simhash_neardup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_warc_zstd": op9_warc_zstd,
     "op10_quality_classifier": op10_quality_classifier,
 }
