@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselle.llm import decontaminate, media, packing, quality, simhash, warc
+from tesselle.llm import decontaminate, language, media, packing, quality, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the shortest PPM code."""
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records into Zstandard archives, and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_simhash_neardup": op2_simhash_neardup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_ppm_language": op8_ppm_language,
     "op9_warc_zstd": op9_warc_zstd,
     "op10_quality_classifier": op10_quality_classifier,
 }
