@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselle.llm import decontaminate, language, media, packing, quality, simhash, warc
+from tesselle.llm import decontaminate, language, media, packing, quality, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op3_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by two Zstandard dictionaries."""
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "saved_bytes")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of the benchmark that every document holds."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2)
@@ -53,6 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_webp_media": op1_webp_media,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op3_zstd_toxicity": op3_zstd_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_ppm_language": op8_ppm_language,
