@@ -17,13 +17,24 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
 
 
-def sample_by(docs: DataFrame, group: str, rows: int, max_bytes: int) -> DataFrame:
-    """About ``rows`` rows of each group (all, if it has no more), chosen by a hash of doc_id.
+#: A sample is drawn for at most this many groups, the most frequent ones.
+MAX_GROUPS = 1000
 
-    Texts over ``max_bytes`` are left out of the sample.  The bound holds on the expected
-    count; callers that collect add an exact limit of twice as much.
+
+def sample(docs: DataFrame, known: DataFrame, rows: int, max_bytes: int) -> list[tuple]:
+    """``(group, text)`` of about ``rows`` documents of each group, sorted.
+
+    ``known`` is ``(doc_id, group)``.  Rows are chosen by a hash of doc_id, over narrow
+    columns; only the chosen ids (at most ``2 * rows`` a group) are broadcast to fetch their
+    texts.  Texts over ``max_bytes`` are left out of the sample.
     """
-    docs = docs.filter((F.octet_length("text") <= max_bytes) & F.col(group).isNotNull())
-    sizes = docs.groupBy(group).agg(F.count("*").alias("_n"))
-    keep = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.lit(1_000_000) * F.lit(rows) / F.col("_n")
-    return docs.join(sizes, group).filter(keep).drop("_n")
+    spark = docs.sparkSession
+    known = known.filter("doc_id is not null and group is not null").select("doc_id", "group")
+    sizes = known.groupBy("group").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group").limit(MAX_GROUPS).collect()
+    if not sizes:
+        return []
+    share = spark.createDataFrame([(r.group, rows / r.n) for r in sizes], known.select("group").schema.add("share", "double"))
+    chosen = known.join(F.broadcast(share), "group").filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.lit(1_000_000) * F.col("share"))
+    ids = chosen.select("doc_id", "group").distinct().limit(2 * rows * len(sizes))
+    got = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "doc_id")
+    return sorted((r.group, r.text) for r in got.select("group", "text").toLocalIterator())

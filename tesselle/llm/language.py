@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm import textkit as tk
-from tesselle.llm.labelled import held_out, sample_by
+from tesselle.llm.labelled import held_out, sample
 
 ORDER = 3
 #: The trees are learned from at most about this many texts a language, each of at most so many bytes.
@@ -144,13 +144,10 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BY
     The driver gets at most 2 * ``texts`` texts a language, each of at most ``max_bytes``
     bytes (chosen by a hash of doc_id).  Languages are those with a non-null ``lang``.
     """
-    known = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     samples: dict[str, list[bytes]] = {}
-    for r in sample_by(known, "lang", texts, max_bytes).select("lang", "text", "doc_id").toLocalIterator():
-        got = samples.setdefault(r.lang, [])
-        if len(got) < 2 * texts:
-            got.append(r.text.encode())
-    return ContextTrees.learn({k: sorted(v) for k, v in samples.items()}) if samples else None
+    for lang, text in sample(docs, docs.filter(~held_out()).select("doc_id", F.col("lang").alias("group")), texts, max_bytes):
+        samples.setdefault(lang, []).append(text.encode())
+    return ContextTrees.learn(samples) if samples else None
 
 
 def identify(docs: DataFrame, unknown: str = "und") -> DataFrame:
