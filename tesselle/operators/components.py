@@ -33,10 +33,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     edges join it), a null end is dropped.  Repeated and reversed edges are harmless.  An
     empty edge table gives an empty result.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
+    pairs = stash(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null"))
     loops = stash(pairs.filter("a = b").select(F.col("a").alias("node")).distinct())
     now = stash(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    discard(pairs)
     before = mark(now)
     for _ in range(max_rounds):
         if before[0] == 0:

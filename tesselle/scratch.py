@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -20,18 +21,30 @@ def folder(spark: SparkSession) -> str:
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         app = spark.sparkContext.applicationId
-        top = _LOCAL.setdefault(app, "") or _LOCAL.__setitem__(app, tempfile.mkdtemp(prefix="tesselle-")) or _LOCAL[app]
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="tesselle-")
+        top = _LOCAL[app]
     return f"{top.rstrip('/')}/tesselle-{spark.sparkContext.applicationId}"
 
 
 def stash(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: later plans start at the written table.
 
-    The table's place is kept in ``.stash_path`` of the result for :func:`discard`.
+    Nothing reads the shuffle files of the written plan again, so Spark is told to delete
+    them when the write ends.  The table's place is kept in ``.stash_path`` of the result for
+    :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
