@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselle.llm import decontaminate, language, media, packing, quality, simhash, toxicity, warc
+from tesselle.llm import decontaminate, language, media, packing, quality, simhash, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one has."""
+    found = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -61,6 +67,7 @@ QUERIES = {
     "op2_simhash_neardup": op2_simhash_neardup,
     "op3_zstd_toxicity": op3_zstd_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_ppm_language": op8_ppm_language,
     "op9_warc_zstd": op9_warc_zstd,
@@ -95,6 +102,16 @@ ORACLES: dict[str, str] = {
         select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
                sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from doc left join covered using (row) left join listed using (row)""",
+    "op6_substring_dedup": r"""
+        with
+        doc as (select doc_id, row_number() over () as row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        win as (select row, doc_id, i, array_to_string(w[i : i + 49], ' ') as phrase from (select row, doc_id, w, unnest(generate_series(1, len(w) - 49)) as i from doc where len(w) >= 50)),
+        late as (select row, i from (select row, i, doc_id, min(doc_id) over (partition by phrase) as lo from win) where lo < doc_id),
+        gone as (select distinct row, unnest(generate_series(i, i + 49)) as p from late),
+        cut as (select row, count(*) as n, list(p) as ps from gone group by row)
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+               sha256(array_to_string(case when n is null then w else list_filter(w, lambda x, j : not list_contains(ps, j)) end, ' ')) as kept_sha256
+        from doc left join cut using (row)""",
     "op9_warc_zstd": f"""
         with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha, min(page_id) over (partition by coalesce(html, '')) as first from pages)
         select page_id, octet_length(encode(html))::bigint as payload_bytes, {_BASE32} as payload_digest,
