@@ -17,12 +17,12 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
 
 
-#: A sample is drawn for at most this many groups, the most frequent ones.
-MAX_GROUPS = 1000
+#: A sample is drawn for at most this many groups, the most frequent ones, and has about this many texts at most.
+MAX_GROUPS, MAX_TEXTS = 1000, 8000
 
 
 def sample(docs: DataFrame, known: DataFrame, rows: int, max_bytes: int) -> list[tuple]:
-    """``(group, text)`` of about ``rows`` documents of each group, sorted.
+    """``(group, text)`` of about ``rows`` documents of each group (fewer of many groups), sorted.
 
     ``known`` is ``(doc_id, group)``.  Rows are chosen by a hash of doc_id, over narrow
     columns; only the chosen ids (at most ``2 * rows`` a group) are broadcast to fetch their
@@ -33,6 +33,7 @@ def sample(docs: DataFrame, known: DataFrame, rows: int, max_bytes: int) -> list
     sizes = known.groupBy("group").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group").limit(MAX_GROUPS).collect()
     if not sizes:
         return []
+    rows = min(rows, max(1, MAX_TEXTS // len(sizes)))
     share = spark.createDataFrame([(r.group, rows / r.n) for r in sizes], known.select("group").schema.add("share", "double"))
     chosen = known.join(F.broadcast(share), "group").filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.lit(1_000_000) * F.col("share"))
     ids = chosen.select("doc_id", "group").distinct().limit(2 * rows * len(sizes))

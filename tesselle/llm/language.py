@@ -26,7 +26,7 @@ from tesselle.llm.labelled import held_out, sample
 
 ORDER = 3
 #: The trees are learned from at most about this many texts a language, each of at most so many bytes.
-SAMPLE_TEXTS, SAMPLE_BYTES = 1200, 40_000
+SAMPLE_TEXTS, SAMPLE_BYTES = 1000, 20_000
 #: Contexts of two or more bytes are held if they occur this often in a language's sample.
 LEAST = 24
 _LETTER = tk.lut([*range(65, 91), *range(97, 123)])
