@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import struct
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -85,11 +86,11 @@ class BitWriter:
     def bytes(self) -> bytes:
         self.put_all(np.zeros(0, np.uint32), np.zeros(0, np.uint8))
         values, widths = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        ends = np.cumsum(widths, dtype=np.int64)
-        total = int(ends[-1])
-        shift = np.arange(total, dtype=np.int64) - np.repeat(ends - widths, widths)
-        bits = (np.repeat(values, widths) >> shift.astype(np.uint32)) & np.uint32(1)
-        return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+        ends = np.cumsum(widths, dtype=np.uint32)
+        # Shifting a value by (place - first place) leaves the bit of each place lowest.
+        shift = np.arange(ends[-1], dtype=np.uint32) - np.repeat(ends - widths, widths)
+        bits = np.repeat(values, widths) >> shift
+        return np.packbits((bits & np.uint32(1)).astype(bool), bitorder="little").tobytes()
 
 
 # ---------------------------------------------------------------- prefix codes
@@ -109,21 +110,28 @@ class Code:
         return int(self.table[0]) >> 4 if self.width == 0 else None
 
 
+_REVERSED = np.zeros(1 << MAX_CODE, np.uint16)
+for _k in range(MAX_CODE):
+    _REVERSED |= ((np.arange(1 << MAX_CODE) >> _k & 1) << (MAX_CODE - 1 - _k)).astype(np.uint16)
+
+
+def _in_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Symbols in canonical order, how many of the longest codes each stands for, the longest."""
+    used = np.flatnonzero(lengths)
+    symbols = used[np.argsort(lengths[used], kind="stable")]
+    width = int(lengths[symbols[-1]])
+    weight = 1 << (width - lengths[symbols].astype(np.int64))
+    if weight.sum() != 1 << width:
+        raise BadImage("a prefix code that doesn't fill its tree")
+    return symbols, weight, width
+
+
 def _canonical(lengths: np.ndarray) -> np.ndarray:
-    """The bits of every symbol, first read bit lowest; ValueError if they don't fill the tree."""
-    code, out = 0, np.zeros(len(lengths), np.uint32)
-    order = [s for s in np.lexsort((np.arange(len(lengths)), lengths)).tolist() if lengths[s]]
-    before = 0
-    for s in order:
-        n = int(lengths[s])
-        code <<= n - before
-        before = n
-        if code >> n:
-            raise BadImage("an over-full prefix code")
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
-    if order and code != 1 << before:
-        raise BadImage("an incomplete prefix code")
+    """The bits of every symbol, first read bit lowest."""
+    symbols, weight, _ = _in_order(lengths)
+    out = np.zeros(len(lengths), np.uint32)
+    own = lengths[symbols].astype(np.int64)
+    out[symbols] = _REVERSED[(np.cumsum(weight) - weight) // weight] >> (MAX_CODE - own)
     return out
 
 
@@ -131,11 +139,9 @@ def make_code(lengths: np.ndarray) -> Code:
     used = np.flatnonzero(lengths)
     if len(used) < 2:
         return Code(np.array([(int(used[0]) if len(used) else 0) << 4], np.int32), 0, 0)
-    bits, width = _canonical(lengths), int(lengths.max())
-    table = np.zeros(1 << width, np.int32)
-    for s in used.tolist():
-        n = int(lengths[s])
-        table[int(bits[s]) :: 1 << n] = s << 4 | n
+    symbols, weight, width = _in_order(lengths)
+    entries = (symbols << 4 | lengths[symbols]).astype(np.int32)
+    table = np.repeat(entries, weight)[_REVERSED[: 1 << width] >> (MAX_CODE - width)]
     return Code(table, (1 << width) - 1, width)
 
 
@@ -199,21 +205,30 @@ def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
         weights = (weights + 1) // 2 + 1
 
 
+def write_lone(w: BitWriter, symbol: int) -> None:
+    """A code of one symbol (under 256), which then takes no bits."""
+    w.put(1, 1)
+    w.put(0, 1)
+    w.put(int(symbol > 1), 1)
+    w.put(symbol, 8 if symbol > 1 else 1)
+
+
 def write_code(w: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Write a code for these symbol counts; the bits and lengths to write symbols with."""
     used = np.flatnonzero(counts).tolist()
     zero = np.zeros(len(counts), np.uint32)
     if len(used) <= 2 and (not used or used[-1] < 256):
-        symbols = used or [0]
-        w.put(1, 1)
-        w.put(len(symbols) - 1, 1)
-        w.put(int(symbols[0] > 1), 1)
-        w.put(symbols[0], 8 if symbols[0] > 1 else 1)
         lengths = np.zeros(len(counts), np.uint8)
-        if len(symbols) == 2:
-            w.put(symbols[1], 8)
-            lengths[symbols] = 1
-            zero[symbols[1]] = 1
+        if len(used) < 2:
+            write_lone(w, used[0] if used else 0)
+            return zero, lengths
+        w.put(1, 1)
+        w.put(1, 1)
+        w.put(int(used[0] > 1), 1)
+        w.put(used[0], 8 if used[0] > 1 else 1)
+        w.put(used[1], 8)
+        lengths[used] = 1
+        zero[used[1]] = 1
         return zero, lengths
     lengths = code_lengths(counts, MAX_CODE)
     tokens: list[tuple[int, int, int]] = []  # symbol, extra, width of extra
@@ -273,6 +288,12 @@ def _read_value(r: BitReader, code: int) -> int:
     return ((2 + (code & 1)) << width) + r.read(width) + 1
 
 
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> dict[int, int]:
+    """The distance code of each distance that a near pixel has in an image of this width."""
+    return {plane_distance(k + 1, width): k + 1 for k in reversed(range(len(NEAR)))}
+
+
 def plane_distance(code: int, width: int) -> int:
     """How many pixels back a distance code means in an image of this width."""
     if code > len(NEAR):
@@ -329,23 +350,37 @@ def _decode_chained(r: BitReader, codes: list[Code], width: int, total: int, cac
         span = min(span, len(look) - 61)
         entry = green.table[look[:span] & np.uint32(green.mask)]
         literal = entry < 256 << 4
-        nxt = np.arange(span) + (entry & 15)
+        nxt = np.arange(span, dtype=np.int32) + (entry & 15)
         places = []
         for c in (red, blue, alpha):
             places.append(nxt)
             if c.width:
                 nxt = nxt + (c.table[look[nxt] & np.uint32(c.mask)] & 15)
-        chain = memoryview(np.where(literal, nxt, -1))
+        hop = np.arange(span + 64, dtype=np.int32)  # a position that begins no literal stays
+        hop[:span][literal] = nxt[literal]
+        hop2 = hop[hop]
+        hop3 = hop[hop2]
+        after = hop[hop3]
+        one, four = memoryview(hop), memoryview(np.where(after != hop3, after, -1))
         at = 0
         while n < total and at < span:
-            hops, p = [], at
-            for _ in range(total - n):
-                if p >= span or (q := chain[p]) < 0:
+            fours, p = [], at
+            for _ in range((total - n) // 4):
+                if (q := four[p]) < 0:
+                    break
+                fours.append(p)
+                p = q
+            hops = []
+            for _ in range(total - n - 4 * len(fours)):
+                if p >= span or (q := one[p]) == p:
                     break
                 hops.append(p)
                 p = q
-            if hops:
-                i = np.array(hops)
+            if fours:
+                f = np.array(fours)
+                hops = np.concatenate([np.stack([f, hop[f], hop2[f], hop3[f]], axis=1).ravel(), np.array(hops, np.int64)])
+            if len(hops):
+                i = np.asarray(hops)
                 argb = (entry[i] >> 4).astype(np.uint32) << np.uint32(8)
                 for c, place, shift in zip((red, blue, alpha), places, (16, 0, 24), strict=True):
                     argb |= (c.table[look[place[i]] & np.uint32(c.mask)] >> 4).astype(np.uint32) << np.uint32(shift) if c.width else np.uint32(c.lone << shift)
@@ -652,7 +687,7 @@ def _tokens(flat: np.ndarray, width: int, cache_bits: int, copies: list[tuple[in
     green = ((flat[at] >> np.uint32(8)) & np.uint32(255)).astype(np.int64)
     length_extra, length_width, dist, dist_extra, dist_width = (np.zeros(len(at), np.int64) for _ in range(5))
     place = np.searchsorted(at, [c[0] for c in copies]) if copies else []
-    near = {plane_distance(k + 1, width): k + 1 for k in reversed(range(len(NEAR)))} if copies else {}
+    near = _near_codes(width)
     for k, (_, length, back) in zip(place, copies, strict=True):
         code, length_extra[k], length_width[k] = value_code(length)
         green[k] = 256 + code
@@ -680,27 +715,36 @@ def _write_pixels(w: BitWriter, argb: np.ndarray, main: bool, cache_bits: int =
             _write_pixels(w, groups.astype(np.uint32) << np.uint32(8), False)
     t = _tokens(flat, width, cache_bits, list(copies))
     at, green = t["at"], t["green"]
-    group = groups[at // width >> group_bits, at % width >> group_bits].astype(np.int64) if groups is not None else np.zeros(len(at), np.int64)
+    group = groups[at // width >> group_bits, at % width >> group_bits].astype(np.int64) if groups is not None else None
     literal, copy = green < 256, (green >= 256) & (green < 256 + LENGTH_CODES)
-    channel = [((flat[at] >> np.uint32(s)) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    parts = [(green, np.ones(len(at), bool)), *((c, literal) for c in channel), (t["dist"], copy)]
-    values, widths = np.zeros((len(at), 6), np.uint32), np.zeros((len(at), 6), np.uint8)
-    order = (0, 1, 2, 3, 4)
-    for g in range(int(group.max()) + 1 if len(group) else 1):
-        mine = group == g
-        for k in order:
-            symbol, use = parts[k]
-            rows = mine & use
-            bits, lengths = write_code(w, np.bincount(symbol[rows], minlength=sizes[k]))
-            column = k if k < 4 else 4
-            values[rows, column] = bits[symbol[rows]]
-            widths[rows, column] = lengths[symbol[rows]]
-    # A copy is: green, extra bits of the length, distance symbol, extra bits of the distance.
-    values[copy, 1], widths[copy, 1] = t["length_extra"][copy], t["length_width"][copy]
-    values[copy, 5], widths[copy, 5] = t["dist_extra"][copy], t["dist_width"][copy]
-    columns = [k for k in range(6) if widths[:, k].any()]
-    w.put_all(values[:, columns].ravel(), widths[:, columns].ravel())
+    # Which symbols to write and for which tokens; a channel that never changes needs no bits.
+    parts = [(0, green, None)]
+    for k, shift in ((1, 16), (2, 0), (3, 24)):
+        varies = bool(((flat ^ flat[0]) & np.uint32(255 << shift)).any())
+        parts.append((k, ((flat[at] >> np.uint32(shift)) & np.uint32(255)).astype(np.int64) if varies else None, literal))
+    parts.append((4, t["dist"] if copies else None, copy))
+    constant = [int(flat[0]) >> shift & 255 for shift in (16, 0, 24)]
+    columns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for g in range(int(group.max()) + 1 if group is not None else 1):
+        mine = None if group is None else group == g
+        for k, symbol, use in parts:
+            if symbol is None:
+                write_lone(w, constant[k - 1] if k < 4 else 0)
+                continue
+            rows = mine if use is None else use if mine is None else mine & use
+            here = symbol if rows is None else symbol[rows]
+            bits, lengths = write_code(w, np.bincount(here, minlength=sizes[k]))
+            if rows is None:
+                columns[k] = (bits[here], lengths[here])
+            else:
+                values, widths = columns.setdefault(k, (np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint8)))
+                values[rows], widths[rows] = bits[here], lengths[here]
+    order = [columns[k] for k in sorted(columns)]
+    if copies:  # a copy is: green, extra bits of the length, distance symbol, its extra bits
+        extra = lambda name: (t[f"{name}_extra"].astype(np.uint32), t[f"{name}_width"].astype(np.uint8))
+        order[1:] = [extra("length"), *order[1:], extra("dist")]
+    w.put_all(*(np.stack(x, axis=1).ravel() if len(order) > 1 else x[0] for x in zip(*order, strict=True)))
 
 
 def encode(
