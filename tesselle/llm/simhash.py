@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm import textkit as tk
+from tesselle.llm.cells import component_roots, large_cells, pairs_within, split, whole_cells
 from tesselle.operators.components import connected_components
 from tesselle.scratch import stash
 
 SEED = 42
 #: A cell with more fingerprints is compared in parts, each pair of parts by a task of its own.
 CELL_ROWS = 8192
-_TILE = 256
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -152,79 +152,30 @@ def near_differences(differences: np.ndarray, radius: int) -> np.ndarray:
     return at[at < len(differences)]
 
 
-class Forest:
-    """Union-find over positions of one cell."""
-
-    def __init__(self, n: int) -> None:
-        self.up = np.arange(n)
-
-    def roots(self) -> np.ndarray:
-        while True:
-            upper = self.up[self.up]
-            if (upper == self.up).all():
-                return self.up
-            self.up = upper
+def cell_links(values: np.ndarray, radius: int) -> np.ndarray:
+    """For each value of a cell the position of its component's first, over links <= radius."""
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            top = self.roots()
-            a, b = top[a], top[b]
-            differ = a != b
-            a, b = a[differ], b[differ]
-            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+    def pairs(asked: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return near(values[asked], values[others], radius)
 
+    return component_roots(len(values), pairs)
 
-def cell_links(values: np.ndarray, radius: int) -> np.ndarray:
-    """For each value of a cell the position of its component's first, over links <= radius.
 
-    Every value is a query once, against those not yet asked that it isn't connected to; so a
-    tight group costs about one scan, and a cell without links all of its pairs.
-    """
-    n = len(values)
-    forest, waiting = Forest(n), np.ones(n, bool)
-    while waiting.any():
-        top = forest.roots()
-        left = np.flatnonzero(waiting)
-        grown = left[top[left] != left]
-        if len(grown):  # finish one component before the next
-            root = top[grown[0]]
-            tile = grown[top[grown] == root][:_TILE]
-            others = left[top[left] != root]
-        else:
-            tile, others = left[:_TILE], left
-        waiting[tile] = False
-        if len(others):
-            q, v = near(values[tile], values[others], radius)
-            forest.join(tile[q], others[v])
-    return forest.roots()
-
-
-def _links_of_run(key: np.ndarray, value: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole cells; ``key`` numbers the cell of every row and is ascending."""
-    edge = np.flatnonzero(np.diff(key)) + 1
-    first, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
-    size = end - first
-    a_all, b_all = [], []
-    small = size <= 48
-    for gap in range(1, int(size[small].max(initial=1))):
-        i = first[small & (size > gap)]
-        if not len(i):
-            continue
-        count = end[small & (size > gap)] - i - gap
-        at = np.repeat(i, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = at[near_differences(value[at] ^ value[at + gap], radius)]
-        a_all.append(node[at])
-        b_all.append(node[at + gap])
-    for i, e in zip(first[~small].tolist(), end[~small].tolist(), strict=True):
+def _links_of_run(cell: np.ndarray, value: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole cells; ``cell`` numbers the cell of every row and is ascending."""
+    a_all, b_all = [node[:0]], [node[:0]]
+    for a, b in pairs_within(cell, 48):
+        at = near_differences(value[a] ^ value[b], radius)
+        a_all.append(node[a[at]])
+        b_all.append(node[b[at]])
+    for i, e in large_cells(cell, 48):
         order = np.argsort(node[i:e], kind="stable")  # so that roots are least nodes
         root = cell_links(value[i:e][order], radius)
         linked = np.flatnonzero(root != np.arange(e - i))
         a_all.append(node[i:e][order][linked])
         b_all.append(node[i:e][order][root[linked]])
-    if not a_all:
-        return node[:0], node[:0]
     a, b = np.concatenate(a_all), np.concatenate(b_all)
-    pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
     return pair[:, 0], pair[:, 1]
 
 
@@ -232,31 +183,10 @@ def cell_edges(cells: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """``(src, dst)`` links between the nodes of ``cells (keys..., fp, node)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_keys, held = len(keys), None
-
-        def out(part: np.ndarray) -> pa.RecordBatch:
-            change = np.zeros(part.shape[1], np.int64)
-            change[1:] = (part[:n_keys, 1:] != part[:n_keys, :-1]).any(0)
-            a, b = _links_of_run(np.cumsum(change), part[n_keys].view(np.uint64), part[n_keys + 1], radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
-
-        waiting: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.stack([np.asarray(c) for c in batch.columns])
-            changed = np.flatnonzero((new[:n_keys, 1:] != new[:n_keys, :-1]).any(0))
-            if held is not None and (held != new[:n_keys, 0]).any():
-                yield out(np.concatenate(waiting, axis=1))
-                waiting = []
-            if len(changed):  # the last cell may go on in the next batch
-                cut = changed[-1] + 1
-                yield out(np.concatenate([*waiting, new[:, :cut]], axis=1))
-                waiting, new = [], new[:, cut:]
-            waiting.append(new)
-            held = new[:n_keys, -1].copy()
-        if waiting:
-            yield out(np.concatenate(waiting, axis=1))
+        for cell, rows in whole_cells(batches, len(keys)):
+            value, node = rows.column("fp").to_numpy().view(np.uint64), rows.column("node").to_numpy()
+            a, b = _links_of_run(cell, value, node, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
     rows = cells.select(*(F.col(k).cast("long") for k in keys), "fp", "node")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src bigint, dst bigint")
@@ -275,11 +205,7 @@ def links(classes: DataFrame, radius: int, cell_rows: int = CELL_ROWS) -> DataFr
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     tables = F.array(*(F.struct(F.lit(k).alias("tab"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for k, m in block_tables(radius)))
     cells = classes.select("fp", "node", F.inline(tables))
-    hot = cells.groupBy("tab", "key").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows).select("tab", "key", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
-    cells = cells.join(hot, ["tab", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    cells = cells.withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
-    cells = cells.select("tab", "key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "fp", "node")
+    cells = split(cells, ["tab", "key"], "fp", cell_rows)
     return cell_edges(cells, ["tab", "key", "lo", "hi"], radius)
 
 
