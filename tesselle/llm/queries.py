@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselle.llm import decontaminate, language, media, packing, quality, simhash, substrings, toxicity, warc
+from tesselle.llm import decontaminate, language, lines, media, packing, quality, simhash, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op3_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "saved_bytes")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that are equal or near to an earlier one."""
+    found = lines.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of the benchmark that every document holds."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2)
@@ -66,6 +72,7 @@ QUERIES = {
     "op1_webp_media": op1_webp_media,
     "op2_simhash_neardup": op2_simhash_neardup,
     "op3_zstd_toxicity": op3_zstd_toxicity,
+    "op4_line_dedup": op4_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
