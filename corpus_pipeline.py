@@ -1,25 +1,62 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes what its predecessor kept and returns rows with the columns of ``documents``
+(the last one: pieces and their places in sequences).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesselle.llm import quality
+from tesselle.llm import decontaminate, lines, packing, quality, simhash
 from tesselle.scratch import stash
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.filter("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that the quadratic discriminant accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(stash(quality.features(docs)), labels)
+    return docs.filter(quality.accepted(model))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document or line has; those with nothing left go."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    found = lines.deduplicate(docs, columns=tuple(others))
+    left = found.filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
+    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest id."""
+    groups = simhash.duplicate_groups(docs, width=5, radius=8, similarity=0.8)
+    gone = groups.filter("doc_id <> group_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return docs.filter(~decontaminate.contaminated(benchmark))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and their places in sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
     ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash_neardup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
-#: SQL can't state the stages; tests hold run() against a plain Python version.
+#: SQL can't state the stages; tests hold them against plain Python versions.
 ORACLE_SQL = None
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm import textkit as tk
@@ -209,6 +209,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<string>, n_near bigint, contaminated boolean")
 
 
+def contaminated(benchmark: DataFrame, text: str = "text", width: int = WINDOW) -> Column:
+    """Whether a text holds a window of the benchmark: :func:`contamination`'s decision as a column."""
+    spark = benchmark.sparkSession
+    sent = [spark.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark, width)]
+
+    @F.arrow_udf("boolean")
+    def decide(column: pa.Array) -> pa.Array:
+        blocks = [x.value for x in sent]
+        return pa.array([n_hit > 0 for _, _, data, offsets in tk.chunks(column) for _, n_hit, _, _ in _search(data, offsets, blocks, None)], pa.bool_())
+
+    return decide(text)
+
+
 def postings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The index as a table: ``(term, doc_id, positions array<int>)`` for the benchmark's terms.
 

@@ -282,8 +282,9 @@ def line_links(keyed: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return _near_lines(split(shared, ["key"], "id", CELL_ROWS).join(contents, "id"), edits)
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(doc_id, n_lines, n_removed, n_near, n_links, kept string)`` for every row of ``docs``.
+def deduplicate(docs: DataFrame, edits: int = EDITS, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, n_lines, n_removed, n_near, n_links, kept string)`` for every row of ``docs``, and
+    the other ``columns`` of it that are asked for.
 
     Lines are what ``\\n`` separates, compared without outer blanks.  Equal lines of at least
     LEAST_BYTES bytes, and lines of at least NEAR_BYTES bytes that differ in at most ``edits``
@@ -309,24 +310,19 @@ def deduplicate(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     marks = met.select("doc", "rid", "line", gone.alias("gone"), (F.col("h1") != F.col("f.h1")).alias("near"), (F.col("n") - 1).alias("n"))
     cuts = marks.groupBy("doc", "rid").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("cut"), F.sum((F.col("gone") & F.col("near")).cast("int")).alias("n_near"), F.sum("n").alias("n_links"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, _, _ in tk.chunks(batch.column(1)):
-                out = []
-                for text, cut in zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist(), strict=True):
-                    parts = (text or "").split("\n") if text else []
-                    if cut:
-                        gone = set(cut)
-                        out.append((len(parts), len(gone), "\n".join(x for i, x in enumerate(parts) if i not in gone)))
-                    else:
-                        out.append((len(parts), 0, text or ""))
-                n_lines, n_removed, kept = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a), pa.array(kept, pa.string())],
-                    names=["doc_id", "n_lines", "n_removed", "n_near", "n_links", "kept"],
-                )
-
-    joined = keyed.join(cuts, ["doc", "rid"], "left").select("doc_id", "text", "cut", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = joined.mapInArrow(run, "doc_id bigint, n_lines bigint, n_removed bigint, n_near bigint, n_links bigint, kept string")
     discard(links)
-    return out
+    joined = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(_LAST)), "_rid": F.xxhash64("doc_id", "text")}).join(cuts.withColumnsRenamed({"doc": "_doc", "rid": "_rid"}), ["_doc", "_rid"], "left")
+    joined = joined.withColumn("_kept", F.arrow_udf(without_lines, "struct<n_lines:bigint,n_removed:bigint,kept:string>")("text", "cut"))
+    return joined.select("doc_id", "_kept.n_lines", "_kept.n_removed", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "_kept.kept", *columns)
+
+
+def without_lines(text: pa.Array, cut: pa.Array) -> pa.Array:
+    """Every text without the lines of its numbers, and how many lines it had and lost."""
+    n_lines, n_removed, kept = [], [], []
+    for value, numbers in zip(text, cut, strict=True):
+        value, gone = value.as_py() or "", set(numbers.as_py() or ())
+        parts = value.split("\n") if value else []
+        n_lines.append(len(parts))
+        n_removed.append(len(gone))
+        kept.append("\n".join(x for i, x in enumerate(parts) if i not in gone) if gone else value)
+    return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["n_lines", "n_removed", "kept"])

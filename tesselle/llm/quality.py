@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm import textkit as tk
@@ -144,6 +144,19 @@ def score(feats: DataFrame, model: QuadraticDiscriminant | None, threshold: floa
     return feats.select("doc_id", "held_out", "x").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
+def accepted(model: QuadraticDiscriminant | None, text: str = "text", threshold: float = 0.5) -> Column:
+    """Whether the model accepts a text: the same decision as :func:`score`, as a column."""
+
+    @F.arrow_udf("boolean")
+    def decide(column: pa.Array) -> pa.Array:
+        out = [np.zeros(0, bool)]
+        for _, _, data, offsets in tk.chunks(column):
+            out.append(model.score(statistics(data, offsets)) >= threshold if model else np.ones(len(offsets) - 1, bool))
+        return pa.array(np.concatenate(out))
+
+    return decide(text)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, shrink: float = 0.05) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 

@@ -245,28 +245,30 @@ def _similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
 
 
 def duplicate_groups(docs: DataFrame, width: int = 5, radius: int = 8, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, group_id)``: near-duplicates by fingerprint whose shingle sets agree too.
+    """``(doc_id, group_id)``, a row for each doc_id: near-duplicates whose shingle sets agree too.
 
     SimHash proposes: links within ``radius`` bits.  Of every document's links the one to its
     least neighbour and the one to its component's least document are checked on the whole
     sets of ``width``-word shingles (at most two a document, however large a group is), and
     those of at least ``similarity`` make the groups.  Equal texts are always one group.
-    Rows without doc_id have a null group.  Other cases are as in :func:`near_duplicates`.
+    A group is named by its smallest doc_id.  Rows without doc_id are left out; an id with
+    several texts is linked through each of them.
     """
-    fps = stash(fingerprints(docs, width))
+    fps = fingerprints(docs.select("doc_id", "text"), width)
     told = docs.filter("doc_id is not null").select("doc_id", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("sha"))
     same = stash(told.groupBy("sha").agg(F.min("doc_id").alias("node")))
     first = stash(told.join(same, "sha").select("doc_id", "node").distinct())
     # Distinct texts may share a fingerprint, so each text is a node and equal fingerprints are links.
-    nodes = fps.join(same.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("fp", F.col("doc_id").alias("node")).distinct()
+    nodes = stash(fps.join(same.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("fp", F.col("doc_id").alias("node")).distinct())
     classes = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
-    nodes = stash(nodes.join(classes, "fp").select("fp", "node", "rep"))
-    bits = links(classes.withColumnRenamed("rep", "node"), radius)
-    edges = stash(bits.unionByName(nodes.filter("node <> rep").select(F.col("node").alias("src"), F.col("rep").alias("dst"))).distinct())
+    equal = nodes.join(classes, "fp").filter("node <> rep").select(F.col("node").alias("src"), F.col("rep").alias("dst"))
+    edges = stash(links(classes.withColumnRenamed("rep", "node"), radius).unionByName(equal).distinct())
     root = connected_components(edges).filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     least = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).groupBy("src").agg(F.min("dst").alias("dst"))
-    sound = _similar(stash(root.unionByName(least).distinct()), docs.select("doc_id", "text"), width, similarity)
-    groups = connected_components(sound)
-    named = first.join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group_id"))
-    named = named.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    return docs.select("doc_id").join(named, "doc_id", "left")
+    checked = stash(root.unionByName(least).distinct())
+    sound = _similar(checked, docs.select("doc_id", "text"), width, similarity)
+    # Equal texts are joined to their least id, whatever else that id is linked to.
+    copies = first.filter("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
+    groups = connected_components(sound.unionByName(copies)).withColumnsRenamed({"node": "doc_id", "component": "group_id"})
+    alone = first.select("doc_id").distinct().join(groups, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("group_id"))
+    return groups.unionByName(alone)
