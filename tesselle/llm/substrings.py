@@ -53,7 +53,8 @@ def least_lead(lead: np.ndarray, reach: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> dict[str, np.ndarray]:
-    """The runs of windows with one lead: prefix, hash of all their words, windows, row, first word."""
+    """The runs of windows with one lead: prefix, hash of all their words, windows, row, and
+    (``at``, cut by ``cuts``) the first words of the equal ones in that row."""
     starts, ends, first = tk.spans(data, offsets, tk.SPACES)
     word, row = tk.span_hashes(data, starts, ends), tk.row_of(first)
     at = np.arange(len(word))
@@ -68,7 +69,15 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> dict[
     begin = np.flatnonzero(fresh)
     n = np.diff(np.append(begin, len(s)))
     lo = s[begin]
-    return {"p": lead[led[begin]], "x": tk.span_hashes(word, lo, lo + n + window - 1), "n": n, "row": row[lo], "at": lo - first[row[lo]]}
+    p, x, own = lead[led[begin]], tk.span_hashes(word, lo, lo + n + window - 1), row[lo]
+    # A row's equal runs (text that goes round in a circle has one every few words) are one entry.
+    key = tk.mixed(x ^ tk.mixed(p + (own.astype(np.uint64) << np.uint64(16)) + n.astype(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    cuts = np.flatnonzero(new)
+    one = order[cuts]
+    return {"p": p[one], "x": x[one], "n": n[one], "row": own[one], "at": (lo - first[own])[order], "cuts": np.append(cuts, len(key))}
 
 
 def _runs(keyed: DataFrame, window: int, k: int) -> DataFrame:
@@ -78,11 +87,11 @@ def _runs(keyed: DataFrame, window: int, k: int) -> DataFrame:
             for a, _, data, offsets in tk.chunks(batch.column(2)):
                 r = runs_of(data, offsets, window, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["p"].view(np.int64)), pa.array(r["x"].view(np.int64)), pa.array(r["n"].astype(np.int32)), pa.array(doc[a + r["row"]]), pa.array(rid[a + r["row"]]), pa.array(r["at"].astype(np.int32))],
+                    [pa.array(r["p"].view(np.int64)), pa.array(r["x"].view(np.int64)), pa.array(r["n"].astype(np.int32)), pa.array(doc[a + r["row"]]), pa.array(rid[a + r["row"]]), pa.ListArray.from_arrays(pa.array(r["cuts"].astype(np.int32)), pa.array(r["at"].astype(np.int32)))],
                     names=["p", "x", "n", "doc", "rid", "at"],
                 )
 
-    return keyed.select("doc", "rid", "text").mapInArrow(run, f"{_RUN}, doc bigint, rid bigint, at int")
+    return keyed.select("doc", "rid", "text").mapInArrow(run, f"{_RUN}, doc bigint, rid bigint, at array<int>")
 
 
 def _contents(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -200,11 +209,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, lead: int = LEAD, group_r
     """
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), "text")
     runs = stash(_runs(keyed, window, lead))
-    shared = runs.groupBy("p").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("p")
+    shared = stash(runs.groupBy("p").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("p"))
     met = stash(runs.join(shared, "p"))
     discard(runs)
-    distinct = stash(met.groupBy("p", "x", "n").agg(F.min(F.struct("doc", "rid", "at")).alias("first")).select("p", "x", "n", "first.*"))
-    sizes = distinct.groupBy("p").agg(F.count("*").alias("many"))
+    distinct = stash(met.groupBy("p", "x", "n").agg(F.min(F.struct("doc", "rid", F.col("at")[0].alias("at"))).alias("first")).select("p", "x", "n", "first.*"))
+    sizes = stash(distinct.groupBy("p").agg(F.count("*").alias("many")))
     sized = distinct.join(sizes, "p")
     # A group of one run needs no tree: all its windows are first met in the same document.
     alone = sized.filter("many = 1").select("p", "x", "n", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"), F.col("doc").alias("low"))).cast(_SPANS).alias("spans"))
@@ -214,7 +223,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, lead: int = LEAD, group_r
     discard(contents)
     earlier = F.filter("spans", lambda s: s["low"] < F.col("doc"))
     covered = met.join(found, ["p", "x", "n"]).withColumn("spans", earlier).filter(F.size("spans") > 0)
-    covered = covered.select("doc", "rid", F.transform("spans", lambda s: F.struct((F.col("at") + s["a"]).alias("a"), (F.col("at") + s["b"] + window).alias("b"))).alias("cover")).distinct()
+    covered = covered.select("doc", "rid", F.flatten(F.transform("at", lambda w: F.transform("spans", lambda s: F.struct((w + s["a"]).alias("a"), (w + s["b"] + window).alias("b"))))).alias("cover"))
     covers = covered.groupBy("doc", "rid").agg(F.flatten(F.collect_list("cover")).alias("cover"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
