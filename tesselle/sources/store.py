@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Da
         out = spark.read.parquet(path)
         out.limit(1).count()
         return out
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
