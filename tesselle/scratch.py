@@ -13,7 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings that hold while a table is written: nothing reads the shuffle files of the written
+#: plan again, so Spark deletes them when the write ends; and Arrow batches are kept small,
+#: since rows with whole texts are wide.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,21 +33,18 @@ def folder(spark: SparkSession) -> str:
 def stash(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: later plans start at the written table.
 
-    Nothing reads the shuffle files of the written plan again, so Spark is told to delete
-    them when the write ends.  The table's place is kept in ``.stash_path`` of the result for
-    :func:`discard`.
+    The table's place is kept in ``.stash_path`` of the result for :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
