@@ -1,7 +1,7 @@
 """Vectorised byte-level text handling that the operators share.
 
 A batch of texts is one byte buffer plus row offsets (Arrow's own layout).  Work goes over
-:func:`chunks` of about a megabyte, cut between rows, so memory follows the longest single
+:func:`chunks` of about a quarter megabyte, cut between rows, so memory follows the longest single
 text and not the batch.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts of one step together hold at most this many bytes (a longer text is a step alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _BASES = {0: 0x9E3779B97F4A7C15, 1: 0xD6E8FEB86659FD93}  # odd, so they have inverses mod 2**64
