@@ -22,10 +22,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document or line has; those with nothing left go."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = lines.deduplicate(docs, columns=tuple(others))
+    found = lines.deduplicate(docs, carry=True)
     left = found.filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
-    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    new = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row")["n_chars"])}
+    return left.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -282,9 +282,9 @@ def line_links(keyed: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return _near_lines(split(shared, ["key"], "id", CELL_ROWS).join(contents, "id"), edits)
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, columns: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, n_lines, n_removed, n_near, n_links, kept string)`` for every row of ``docs``, and
-    the other ``columns`` of it that are asked for.
+def deduplicate(docs: DataFrame, edits: int = EDITS, carry: bool = False) -> DataFrame:
+    """``(doc_id, n_lines, n_removed, n_near, n_links, kept string)`` for every row of ``docs``;
+    with ``carry`` also ``row``, the input row as a struct.
 
     Lines are what ``\\n`` separates, compared without outer blanks.  Equal lines of at least
     LEAST_BYTES bytes, and lines of at least NEAR_BYTES bytes that differ in at most ``edits``
@@ -305,15 +305,17 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, columns: tuple[str, ...] =
     placed = lines.select("h1", "h2", "doc", "rid", "line").join(classes, "h1", "left")
     placed = stash(placed.select("h1", "doc", "rid", "line", F.coalesce("c", "h1").alias("c1"), F.when(F.col("c").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2")).distinct())
     first = placed.groupBy("c1", "c2").agg(F.min(F.struct("doc", "rid", "line", "h1")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    first = stash(first)  # a common line's class can then be split in the join
     met = placed.join(first, ["c1", "c2"])
     gone = ~((F.col("doc") == F.col("f.doc")) & (F.col("rid") == F.col("f.rid")) & (F.col("line") == F.col("f.line")))
     marks = met.select("doc", "rid", "line", gone.alias("gone"), (F.col("h1") != F.col("f.h1")).alias("near"), (F.col("n") - 1).alias("n"))
     cuts = marks.groupBy("doc", "rid").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("cut"), F.sum((F.col("gone") & F.col("near")).cast("int")).alias("n_near"), F.sum("n").alias("n_links"))
 
     discard(links)
-    joined = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(_LAST)), "_rid": F.xxhash64("doc_id", "text")}).join(cuts.withColumnsRenamed({"doc": "_doc", "rid": "_rid"}), ["_doc", "_rid"], "left")
-    joined = joined.withColumn("_kept", F.arrow_udf(without_lines, "struct<n_lines:bigint,n_removed:bigint,kept:string>")("text", "cut"))
-    return joined.select("doc_id", "_kept.n_lines", "_kept.n_removed", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "_kept.kept", *columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), *[whole] * carry)
+    joined = keyed.join(cuts, ["doc", "rid"], "left").withColumn("out", F.arrow_udf(without_lines, "struct<n_lines:bigint,n_removed:bigint,kept:string>")("text", "cut"))
+    return joined.select("doc_id", "out.n_lines", "out.n_removed", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "out.kept", *["row"] * carry)
 
 
 def without_lines(text: pa.Array, cut: pa.Array) -> pa.Array:
