@@ -46,6 +46,7 @@ class TestWindows:
     windows: np.ndarray  # W x width, numbers of terms, -1 after a shorter window's end
     length: np.ndarray  # W
     items: list[list[str]] = field(default_factory=list)  # items of each window
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros((0, 3), np.int64))  # two terms and their distance, for proximity
 
     @classmethod
     def build(cls, items: list[tuple[str, str]], width: int) -> TestWindows:
@@ -63,7 +64,16 @@ class TestWindows:
         grid = np.full((len(found), width), -1, np.int64)
         for row, w in enumerate(found):
             grid[row, : len(w)] = [number[t] for t in w]
-        return cls(hashes[order], [vocab[j] for j in order], grid, (grid >= 0).sum(1), [list(x) for x in found.values()])
+        # The two different terms of each window that the fewest windows have (ties: the earlier ones).
+        share = np.bincount(grid[grid >= 0], minlength=len(vocab))
+        pairs = set()
+        for w in grid.tolist():
+            places = sorted({t: i for i, t in reversed(list(enumerate(w))) if t >= 0}.items(), key=lambda x: (share[x[0]], x[1]))[:2]
+            if len(places) == 2:
+                (a, i), (b, j) = places
+                pairs.add((a, b, abs(i - j)))
+        near = np.array(sorted(pairs), np.int64).reshape(-1, 3)
+        return cls(hashes[order], [vocab[j] for j in order], grid, (grid >= 0).sum(1), [list(x) for x in found.values()], near)
 
 
 @dataclass
@@ -125,22 +135,16 @@ def phrase_matches(index: Postings, tests: TestWindows, row: np.ndarray) -> tupl
 
 
 def proximity_matches(index: Postings, tests: TestWindows, row: np.ndarray, slop: int, n_rows: int) -> np.ndarray:
-    """How many (window, place) pairs of each row have the window's two rarest distinct terms within ``slop`` tokens of their distance in it, in either order."""
+    """How many places of each row have a window's two rarest terms (by the windows that have
+    them) within ``slop`` tokens of their distance in the window, in either order."""
     out = np.zeros(n_rows, np.int64)
-    grid = tests.windows
-    pairs = set()
-    for w in grid[tests.length >= 2] if slop >= 0 else ():
-        w = w[w >= 0]
-        order = sorted(range(len(w)), key=lambda i: (index.count[w[i]], i))
-        other = next((j for j in order if w[j] != w[order[0]]), None)
-        if other is not None and index.count[w[other]]:
-            pairs.add((w[order[0]], w[other], abs(other - order[0]) + slop))
-    for a, b, reach in pairs:
-        pa_, pb = (index.positions[index.first[t] : index.first[t] + index.count[t]] for t in (a, b))
-        lo = np.searchsorted(pb, pa_ - reach)
-        near = np.flatnonzero((np.searchsorted(pb, pa_ + reach, "right") > lo) & (lo < len(pb)))
-        close = near[row[pb[lo[near]]] == row[pa_[near]]]
-        np.add.at(out, row[pa_[close]], 1)
+    pairs = tests.pairs[(index.count[tests.pairs[:, 0]] > 0) & (index.count[tests.pairs[:, 1]] > 0)] if len(tests.pairs) else tests.pairs
+    for a, b, apart in pairs.tolist():
+        first, second = (index.positions[index.first[t] : index.first[t] + index.count[t]] for t in (a, b))
+        lo, hi = np.searchsorted(second, first - apart - slop), np.searchsorted(second, first + apart + slop, "right")
+        owner, entry = expanded(hi - lo)
+        same = row[second[lo[owner] + entry]] == row[first[owner]]
+        out += np.bincount(row[first[np.unique(owner[same])]], minlength=n_rows)
     return out
 
 
