@@ -2,7 +2,7 @@
 
 Texts are first rewritten as fixed-width word codes (a hash of the word's beginning and one
 of the whole word, after A-Z are lower-cased), so that what a compressor finds in a
-dictionary is a whole word and not a chance run of letters.  One dictionary is trained on
+dictionary is a word or its beginning and not a chance run of letters.  One dictionary is trained on
 ordinary text, one on what is characteristic of toxic text; the second compressor has both.
 A window that the second compresses to fewer bytes holds toxic wording, and a text's savings
 are turned into a probability by thresholds that are calibrated on other labelled rows.
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from tesselle.llm import textkit as tk
 from tesselle.llm.labelled import held_out, one_label, sample
 
-#: Words of a window, bytes of a word code, bytes of a word that its beginning has.
-WINDOW, CODE, STEM = 16, 8, 5
+#: Words of a window, bytes of a word that its beginning has, bytes of a word code, and of those the beginning's.
+WINDOW, STEM, CODE, STEM_CODE = 16, 5, 8, 6
 #: The model learns from about this many texts of each label, of at most so many bytes each.
 SAMPLE_TEXTS, SAMPLE_BYTES = 3000, 40_000
 ORDINARY_DICTIONARY, TOXIC_DICTIONARY = 32_768, 16_384
-#: A word is characteristic if toxic texts have it in so many surroundings, and so many times as often.
-LEAST_SURROUNDINGS, LEAST_RATIO = 5, 8.0
+#: A beginning of a word is characteristic if toxic texts have it in so many surroundings, and so many times as often.
+LEAST_SURROUNDINGS, LEAST_RATIO = 5, 25.0
 #: Stands before every window and in both dictionaries, so that both lengths are of compressed
 #: blocks: a short block without any match would be stored as it is, whatever the dictionary.
 LEAD = hashlib.sha512(b"lead").digest() + hashlib.sha512(b"in").digest()
@@ -40,10 +40,9 @@ def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The word codes of all rows on end, and the first word of each row."""
     data = tk.lowered(data)
     starts, ends, first = tk.spans(data, offsets, tk.NON_ALNUM)
-    out = np.empty((len(starts), 2), "<u4")
-    out[:, 0] = tk.span_hashes(data, starts, np.minimum(ends, starts + STEM)) >> np.uint64(32)
-    out[:, 1] = tk.span_hashes(data, starts, ends, 1) >> np.uint64(32)
-    return out.tobytes(), first
+    bits = np.uint64(8 * STEM_CODE)
+    stem = tk.span_hashes(data, starts, np.minimum(ends, starts + STEM)) & np.uint64((1 << 8 * STEM_CODE) - 1)
+    return (stem | tk.span_hashes(data, starts, ends, 1) << bits).astype("<u8").tobytes(), first
 
 
 def _codes(text: str) -> list[bytes]:
@@ -101,11 +100,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 
 def _surroundings(texts: list[list[bytes]]) -> dict[bytes, int]:
-    """In how many different surroundings (word before, word after) each word stands."""
+    """In how many different surroundings (word before, word after) each beginning of a word stands."""
     seen = defaultdict(set)
     for words in texts:
         for before, word, after in zip([b"", *words], words, [*words[1:], b""], strict=False):
-            seen[word].add((before, after))
+            seen[word[:STEM_CODE]].add((before, after))
     return {k: len(v) for k, v in seen.items()}
 
 
@@ -123,27 +122,33 @@ class Model:
     weights: np.ndarray
 
     @classmethod
-    def learn(cls, samples: list[tuple[int, str]]) -> Model | None:
-        """Dictionaries from three quarters of the texts, thresholds from the last quarter."""
-        texts: dict[int, list[str]] = {k: sorted({t for y, t in samples if y == k}, key=lambda t: hashlib.md5(t.encode()).digest()) for k in (0, 1)}
-        if min(len(v) for v in texts.values()) < 8:
-            return None
-        cut = {k: len(v) * 3 // 4 for k, v in texts.items()}
-        learnt = {k: [_codes(t) for t in v[: cut[k]]] for k, v in texts.items()}
+    def train(cls, ordinary: list[str], toxic: list[str]) -> Model:
+        """The two dictionaries."""
+        learnt = {0: [_codes(t) for t in ordinary], 1: [_codes(t) for t in toxic]}
         count = {k: _surroundings(v) for k, v in learnt.items()}
         size = {k: max(1, sum(map(len, v))) for k, v in learnt.items()}
         ratio = lambda w: (count[1][w] + 0.5) / size[1] / ((count[0].get(w, 0) + 0.5) / size[0])
         marked = {w for w, n in count[1].items() if n >= LEAST_SURROUNDINGS and ratio(w) >= LEAST_RATIO}
         windows = sorted({b"".join(t[i : i + WINDOW]) for t in learnt[0] for i in range(0, len(t), WINDOW)}, key=lambda w: hashlib.md5(w).digest())
-        toxic = [b"".join(x) for t in learnt[1] if (x := [w for w in t if w in marked])]
-        model = cls(_dictionary(windows[:60_000], ORDINARY_DICTIONARY, 16), _dictionary(toxic * 3, TOXIC_DICTIONARY, 32) if toxic else b"", np.zeros(4))
+        found = [b"".join(x) for t in learnt[1] if (x := [w for w in t if w[:STEM_CODE] in marked])]
+        return cls(_dictionary(windows[:60_000], ORDINARY_DICTIONARY, 16), _dictionary(found * 3, TOXIC_DICTIONARY, 32) if found else b"", np.zeros(4))
+
+    @classmethod
+    def learn(cls, samples: list[tuple[int, str]]) -> Model | None:
+        """Thresholds from a quarter of the texts and dictionaries of the rest; then dictionaries of all."""
+        texts = {k: sorted({t for y, t in samples if y == k}, key=lambda t: hashlib.md5(t.encode()).digest()) for k in (0, 1)}
+        if min(len(v) for v in texts.values()) < 8:
+            return None
+        cut = {k: len(v) * 3 // 4 for k, v in texts.items()}
+        trial = cls.train(*(texts[k][: cut[k]] for k in (0, 1)))
+        savings = Savings(trial.ordinary, trial.toxic)
         x, y = [], []
-        savings = Savings(model.ordinary, model.toxic)
         for k, v in texts.items():
             for t in v[cut[k] :]:
                 raw = t.encode()
                 x.append(savings.of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
                 y.append(k)
+        model = cls.train(texts[0], texts[1])
         # The odds are those of the sample, which has at most about as many ordinary as toxic texts.
         model.weights = _logistic(_inputs(np.array(x)), np.array(y, float))
         return model
