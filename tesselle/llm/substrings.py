@@ -27,7 +27,7 @@ from tesselle.scratch import discard, stash
 
 WINDOW, LEAD = 50, 8
 #: A group with more distinct runs than this is split by whole windows.
-GROUP_RUNS = 20_000
+GROUP_RUNS = 2000
 #: Words of the groups whose trees are built together.
 TREE_WORDS = 300_000
 _LAST = (1 << 63) - 1
