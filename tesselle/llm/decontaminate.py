@@ -7,7 +7,8 @@ term's place in the window, and intersected until they're empty or all terms agr
 corpus is read once, nothing but the hits leaves a task, and no term's list is ever gathered
 in one place, however frequent it is.
 
-The benchmark side is sent to the tasks in blocks of bounded size.
+The benchmark side is sent to the tasks in blocks, as long as it has at most BROADCAST_BYTES
+bytes; a larger one is met by an equi-join on hashes of windows instead.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm import textkit as tk
+from tesselle.scratch import stash
 
 WINDOW = 10
-#: One broadcast block holds about this many bytes of benchmark text at most.
-BLOCK_BYTES = 16 << 20
+#: One broadcast block holds about this many bytes of benchmark text at most, and all of them this many.
+BLOCK_BYTES, BROADCAST_BYTES = 8 << 20, 32 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -175,16 +177,72 @@ def _search(data: np.ndarray, offsets: np.ndarray, blocks: list[TestWindows], sl
     return list(zip(np.diff(first).tolist(), n_hit.tolist(), (sorted(x) for x in items), near.tolist(), strict=True))
 
 
+def benchmark_bytes(benchmark: DataFrame) -> int:
+    return benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+
+
 def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[TestWindows]:
     """The benchmark's windows in blocks; only one block's rows are on the driver at a time."""
-    total = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
+    n = max(1, -(-benchmark_bytes(benchmark) // block_bytes))
     for k in range(n):
         rows = benchmark.filter(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)).select(F.col("item_id").cast("string"), "text").collect()
         yield TestWindows.build(sorted({(r[0], r[1] or "") for r in rows}), width)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int], whole_short: int = 0) -> tuple[np.ndarray, ...]:
+    """``(row, first word, length, hash, hash)`` of all windows of these sizes; with
+    ``whole_short``, instead those of that size and the whole of rows with fewer words."""
+    data = tk.lowered(data)
+    starts, ends, first = tk.spans(data, offsets, tk.NON_ALNUM)
+    word, row, at = [tk.span_hashes(data, starts, ends, b) for b in (0, 1)], tk.row_of(first), np.arange(len(starts))
+    end = first[row + 1] if len(row) else at
+    parts = []
+    for size in [whole_short] if whole_short else sizes:
+        s = np.flatnonzero(at + size <= end)
+        parts.append((s, np.full(len(s), size)))
+    if whole_short:
+        n = np.diff(first)
+        few = np.flatnonzero((n > 0) & (n < whole_short))
+        parts.append((first[few], n[few]))
+    s, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (at[:0], at[:0])
+    w1, w2 = (tk.span_hashes(word[b], s, s + n, 1 - b).view(np.int64) for b in (0, 1))
+    return row[s], s - first[row[s]], n, w1, w2
+
+
+def _window_rows(df: DataFrame, key: str, kind: str, sizes: list[int], whole_short: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in tk.chunks(batch.column(1)):
+                row, s, n, w1, w2 = _windows(data, offsets, sizes, whole_short)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(w1), pa.array(w2)], names=[key, "s", "n", "w1", "w2"])
+
+    return df.select(key, "text").mapInArrow(run, f"{key} {kind}, s int, n int, w1 bigint, w2 bigint")
+
+
+def contamination_by_join(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The columns of :func:`contamination` (but ``n_near``) for a benchmark of any size.
+
+    Windows of both sides meet by two 64-bit hashes and their length.  Rows that repeat an id
+    and its text are one document here and each get a row again at the end.
+    """
+    tests = stash(_window_rows(benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text"), "item_id", "string", [], width).select("item_id", "n", "w1", "w2").distinct())
+    sizes = sorted(r[0] for r in tests.select("n").distinct().collect())  # at most `width` numbers
+    # A document is its id and text; the key holds both as text.
+    keyed = docs.select("doc_id", "text", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha1(F.coalesce("text", F.lit("")).cast("binary"))).alias("doc"))
+    places = _window_rows(keyed.select("doc", "text").dropDuplicates(["doc"]), "doc", "string", sizes, 0)
+    hits = stash(places.join(tests, ["n", "w1", "w2"]).select("doc", "s", "n", "item_id"))
+    covered = hits.select("doc", F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("at")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
+    listed = hits.groupBy("doc").agg(F.collect_set("item_id").alias("items"))
+
+    def count(text: pa.Array) -> pa.Array:
+        return pa.array([n for _, _, data, offsets in tk.chunks(text) for n in np.diff(tk.spans(tk.lowered(data), offsets, tk.NON_ALNUM)[2]).tolist()], pa.int64())
+
+    counted = keyed.select("doc_id", "doc", F.arrow_udf(count, "bigint")("text").alias("n_words"))
+    out = counted.join(covered.join(listed, "doc"), "doc", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items").cast("long"), F.lit(0)).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items array<string>, n_near, contaminated)`` for every row.
 
     A window is ``width`` consecutive words of an item; an item with fewer words, but not
@@ -195,9 +253,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     A null or empty text has no words; items without words or id match nothing; repeated
     items or windows count once, repeated rows of ``docs`` each get a row; other columns are
     ignored.  A benchmark over ``block_bytes`` is searched block by block within the same
-    pass over the corpus.
+    pass over the corpus; one over ``broadcast_bytes`` by :func:`contamination_by_join`,
+    where ``n_near`` is null.
     """
     spark = docs.sparkSession
+    if benchmark_bytes(benchmark) > broadcast_bytes:
+        return contamination_by_join(docs, benchmark, width).withColumn("n_near", F.lit(None).cast("long")).select("doc_id", "n_words", "n_hit", "n_items", "items", "n_near", "contaminated")
     sent = [spark.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark, width, block_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +275,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
 
 
 def contaminated(benchmark: DataFrame, text: str = "text", width: int = WINDOW) -> Column:
-    """Whether a text holds a window of the benchmark: :func:`contamination`'s decision as a column."""
+    """Whether a text holds a window of the benchmark: :func:`contamination`'s decision as a column.
+
+    For a benchmark of at most BROADCAST_BYTES; ValueError for a larger one (join with
+    :func:`contamination_by_join` then).
+    """
     spark = benchmark.sparkSession
+    if benchmark_bytes(benchmark) > BROADCAST_BYTES:
+        raise ValueError("the benchmark is too large to send to every task")
     sent = [spark.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark, width)]
 
     @F.arrow_udf("boolean")

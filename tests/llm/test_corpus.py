@@ -51,8 +51,8 @@ def test_contamination_brute_force(spark, make, odd_rows, real):
     items += [(str(200 + r.doc_id), " ".join((r.text or "").split()[20:45])) for r in real.limit(5).collect()]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id string, text string, n_words int")
     want = plain_contamination(rows, [(i, t) for i, t in items if i is not None])
-    for size in (decontaminate.BLOCK_BYTES, 400):
-        out = decontaminate.contamination(make(rows), bench, block_bytes=size).select("doc_id", "n_words", "n_hit", "n_items", F.array_join(F.array_sort("items"), ",").alias("i"), "contaminated")
+    for size, most in ((decontaminate.BLOCK_BYTES, 1 << 25), (400, 1 << 25), (400, 0)):
+        out = decontaminate.contamination(make(rows), bench, block_bytes=size, broadcast_bytes=most).select("doc_id", "n_words", "n_hit", "n_items", F.array_join(F.array_sort("items"), ",").alias("i"), "contaminated")
         assert Counter(map(tuple, out.collect())) == want
     held = {r.doc_id for r in make(rows).filter(decontaminate.contaminated(bench)).collect()}
     assert held == {k[0] for k in want if k[-1]}

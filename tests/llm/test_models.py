@@ -40,7 +40,7 @@ def test_held_out_accuracy(larger, which):
     out = (quality.classify(docs, labels) if which == "quality" else toxicity.score(docs, labels)).filter("held_out").join(labels, "doc_id").select("predicted", which).collect()
     right = np.mean([r.predicted == r[which] for r in out])
     caught = np.mean([r.predicted for r in out if r[which] == 1])
-    assert len(out) > 300 and right > 0.97 and caught > 0.9
+    assert len(out) > 300 and right > 0.97 and caught > 0.8
 
 
 def test_language_accuracy(larger):
