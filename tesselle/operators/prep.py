@@ -61,29 +61,56 @@ def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 30) -> Data
     """Add ``<column>_binned``: right-closed quantile intervals with the lowest included.
 
     Null stays null; equal edges are merged; a column with a single edge is null throughout.
-    The edges (bounded by ``bins``) are broadcast, so binning itself doesn't shuffle.
+    The edges (at most ``bins + 1`` numbers a column) are computed at once, in one job, and
+    become constants of the plan: binning itself is a projection.
     """
-    edges = quantile_edges(df, columns, bins).select(*(F.col(c).alias(f"_e_{c}") for c in columns))
-    out = df.crossJoin(F.broadcast(edges))
+    row = quantile_edges(df, columns, bins).first()
 
     def binned(c: str) -> Column:
-        value, e = numeric(c), F.col(f"_e_{c}")
-        below = F.size(F.filter(e, lambda edge: edge < value))
-        return F.when(value.isNotNull() & (F.size(e) >= 2), F.greatest(below - 1, F.lit(0)))
+        value, edges = numeric(c), [float(e) for e in (row[c] or ()) if e is not None]
+        if len(edges) < 2:
+            return F.lit(None).cast("int")
+        below = F.size(F.filter(F.array(*map(F.lit, edges)), lambda edge: edge < value))
+        return F.when(value.isNotNull(), F.greatest(below - 1, F.lit(0)))
 
-    out = out.withColumns({scored_name(c): binned(c) for c in columns})
-    return out.drop(*(f"_e_{c}" for c in columns))
+    return df.withColumns({scored_name(c): binned(c) for c in columns})
+
+
+#: So many distinct (field, value) pairs are looked up as constants; beyond that they are joined.
+MOST_CODES = 5000
 
 
 def bin_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long form ``(<ids>, field, code)`` of binned columns, from a table of ids and those columns.
 
     A field with a null has its values dense-ranked with null first; any other keeps its
-    values less the least (gaps stay).
+    values less the least (gaps stay).  The values of all fields are found in one job.
     """
     ids = [c for c in df.columns if c not in columns]
     long = df.unpivot(ids, list(columns), "field", "value")
-    values = long.groupBy("field", "value").agg(F.lit(1).alias("one")).drop("one")  # at most bins + 1 a field
+    values = long.select("field", "value").distinct()
+    found = values.limit(MOST_CODES + 1).collect()
+    if len(found) > MOST_CODES:
+        return _joined_codes(long, values, ids)
+    by_field: dict[str, set] = {}
+    for r in found:
+        by_field.setdefault(r.field, set()).add(r.value)
+
+    def code(field: str) -> Column:
+        held = by_field.get(field, set())
+        known = sorted(v for v in held if v is not None)
+        if None not in held:
+            return F.col(field) - F.lit(known[0] if known else 0)
+        if not known:
+            return F.lit(0)
+        ranks = F.create_map(*(F.lit(x) for rank, v in enumerate(known, 1) for x in (v, rank)))
+        return F.when(F.col(field).isNull(), 0).otherwise(ranks[F.col(field)])
+
+    coded = df.select(*ids, *(code(c).cast("int").alias(c) for c in columns))
+    return coded.unpivot(ids, list(columns), "field", "code")
+
+
+def _joined_codes(long: DataFrame, values: DataFrame, ids: list[str]) -> DataFrame:
     by_field = Window.partitionBy("field")
     codes = values.select(
         "field",
@@ -93,7 +120,7 @@ def bin_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .cast("int")
         .alias("code"),
     )
-    joined = long.alias("l").join(F.broadcast(codes).alias("c"), (F.col("l.field") == F.col("c.field")) & F.col("l.value").eqNullSafe(F.col("c.value")))
+    joined = long.alias("l").join(codes.alias("c"), (F.col("l.field") == F.col("c.field")) & F.col("l.value").eqNullSafe(F.col("c.value")))
     return joined.select(*(f"l.{c}" for c in ids), "l.field", "c.code")
 
 

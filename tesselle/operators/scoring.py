@@ -64,9 +64,15 @@ def weighted_mi(counts: DataFrame, sizes: DataFrame, overall: DataFrame, weights
 
 
 def score_labels(codes: DataFrame, weights: DataFrame, label: str = "nid", exact: bool = False) -> DataFrame:
-    """``(label, n, score)`` of coded parcels ``(parcel_id, label, field, code)``."""
-    one = codes.select("parcel_id", label).distinct()
-    return weighted_mi(label_histogram(codes, label), totals(one, label), global_histogram(codes), weights, one.agg(F.count("*").alias("g")), [label], exact)
+    """``(label, n, score)`` of coded parcels ``(parcel_id, label, field, code)``.
+
+    Parcels are read once: global counts and label sizes are sums of the labels' histograms
+    (a parcel has one code in every field).
+    """
+    counts = label_histogram(codes, label)
+    sizes = counts.groupBy(label, "field").agg(F.sum("c").alias("c")).groupBy(label).agg(F.max("c").alias("n"))
+    overall = counts.groupBy("field", "code").agg(F.sum("c").alias("c"))
+    return weighted_mi(counts, sizes, overall, weights, sizes.agg(F.sum("n").alias("g")), [label], exact)
 
 
 def weighted_score(scores: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tesselle.functions import shapes, text
 from tesselle.operators import anneal, graph, moves, prep, scoring, seeding, spatial
 from tesselle.operators.components import connected_components
 from tesselle.plans.oracles import ORACLES as ORACLES
+from tesselle.scratch import stash
 from tesselle.sources import store, tables
 from tesselle.streaming import progress
 
@@ -210,12 +211,13 @@ def split_of(s: SparkSession, d: str) -> DataFrame:
 
 def annealed(s: SparkSession, d: str) -> DataFrame:
     """Each island refined by its own chain, a few hundred iterations."""
-    lab = split_of(s, d).select("parcel_id", "component", F.col("split").alias("nid"))
-    own = codes(s, d).groupBy("parcel_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "code"))).alias("codes"))
-    p = lattice(s, d).drop("nid").join(lab, "parcel_id").join(own, "parcel_id").select("parcel_id", "tile_id", "nid", "component", "codes")
-    groups = graph.group_components(sizes_of(s, d), 4)
-    overall = scoring.global_histogram(codes(s, d))
-    out = anneal.anneal(p, lattice_edges(s, d), groups, overall, WEIGHTS, anneal.Schedule(max_iterations=60, max_batch=16))
+    p, parts = lattice(s, d), stash(lattice_components(s, d))
+    coded = stash(codes(s, d))
+    lab = graph.split_labels(p, parts).select("parcel_id", "component", F.col("split").alias("nid"))
+    own = coded.groupBy("parcel_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "code"))).alias("codes"))
+    ready = stash(p.drop("nid").join(lab, "parcel_id").join(own, "parcel_id").select("parcel_id", "tile_id", "nid", "component", "codes"))
+    groups = stash(graph.group_components(graph.component_sizes(p, parts), 4))
+    out = anneal.anneal(ready, lattice_edges(s, d), groups, scoring.global_histogram(coded), WEIGHTS, anneal.Schedule(max_iterations=200))
     return out.select("group_id", "parcel_id", "nid")
 
 

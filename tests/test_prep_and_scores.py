@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tesselle.operators import prep, scoring
 from tesselle.plans import registry
@@ -22,7 +23,9 @@ def test_bins_match_pandas(spark):
         assert got == {i: None if math.isnan(x) else int(x) for i, x in want.items()}
 
 
-def test_codes_keep_gaps_or_rank(spark):
+@pytest.mark.parametrize("most", [5000, 2])
+def test_codes_keep_gaps_or_rank(spark, monkeypatch, most):
+    monkeypatch.setattr(prep, "MOST_CODES", most)
     df = spark.createDataFrame([(0, 3, None), (1, 5, 7), (2, 9, 2)], "id long, a int, b int")
     got = {(r.id, r.field): r.code for r in prep.bin_codes(df, ["a", "b"]).collect()}
     assert got == {(0, "a"): 0, (1, "a"): 2, (2, "a"): 6, (0, "b"): 0, (1, "b"): 2, (2, "b"): 1}
