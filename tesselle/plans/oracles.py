@@ -221,6 +221,8 @@ ORACLES: dict[str, str] = {
     "mean_score": f"with {_SCORES}, ids as (select unnest(generate_series(0, (select max(nid) from score))) as nid) select count(*) as labels, count(score) as active, {_round('avg(coalesce(score, 2.0))')} as mean_score from ids left join score using (nid)",
     "grid_cells": f"select i || ':' || j as cell, i * 500.0 as x0, j * 500.0 as y0, (i + 1) * 500.0 as x1, (j + 1) * 500.0 as y1 from (select unnest(generate_series(floor(xmin / 500)::int, ceil(xmax / 500)::int - 1)) as i, ymin, ymax from {_GRID}) a, lateral (select unnest(generate_series(floor(ymin / 500)::int, ceil(ymax / 500)::int - 1)) as j) b",
     "grid_lines": "select i * 500.0 as x0, 0.0 as y0, i * 500.0 as x1, 1500.0 as y1 from range(-1, 5) t(i) union all select -500.0, j * 500.0, 2000.0, j * 500.0 from range(0, 4) u(j)",
+    "shatter_tiles": "select 1 as area_id, k as tile_id, case when k < 90 then 1000000.0 else 500000.0 end as sqft from range(0, 100) t(k)",
+    "water_clip": f"with {_COARSE} select tile_id, case when i = 2 then 800000.0 when i = 4 and j = 4 then 900000.0 else 1000000.0 end as sqft from ct",
     "point_in_tile": f"with {_GAPPED} select parcel_id, min(id) as tile_id from pos left join gt on px > x0 and px < x1 and py > y0 and py < y1 group by parcel_id",
     "virtual_tiles": f"with {_GAPPED}, seat as (select parcel_id, min(id) as tile_id from pos left join gt on px > x0 and px < x1 and py > y0 and py < y1 group by parcel_id) select parcel_id, tile_id, false as is_virtual from seat where tile_id is not null union all select parcel_id, (select max(tile_id) from seat) + row_number() over (order by parcel_id), true from seat where tile_id is null",
     "populated_tiles": f"with {_POSITIONS} select distinct floor(px / 1000)::int || ':' || floor(py / 1000)::int as cell from pos",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselle.functions import shapes, text
+from tesselle.functions import linework, shapes, text
 from tesselle.operators import anneal, graph, moves, prep, scoring, seeding, spatial
 from tesselle.operators.components import connected_components
 from tesselle.plans.oracles import ORACLES as ORACLES
@@ -286,6 +286,8 @@ QUERIES = {
     # tiles and spatial joins
     "grid_cells": lambda s, d: spatial.grid_cells(tab(s, [(-120.0, 30.0, 1950.0, 1210.0)], "xmin double, ymin double, xmax double, ymax double"), 500.0),
     "grid_lines": lambda s, d: spatial.grid_lines(tab(s, [(-120.0, 30.0, 1950.0, 1210.0)], "xmin double, ymin double, xmax double, ymax double"), 500.0),
+    "shatter_tiles": lambda s, d: shattered(s, d).select("area_id", "tile_id", number("sqft", 3).alias("sqft")),
+    "water_clip": lambda s, d: clipped(s, d).groupBy("tile_id").agg(number(F.sum("sqft"), 3).alias("sqft")),
     "point_in_tile": lambda s, d: spatial.points_in_tiles(tables.positions(s, d), gapped_tiles(s, d), 1000.0).select("parcel_id", "tile_id"),
     "virtual_tiles": lambda s, d: spatial.virtual_tiles(spatial.points_in_tiles(tables.positions(s, d), gapped_tiles(s, d), 1000.0)),
     "populated_tiles": lambda s, d: spatial.grid_cells(tab(s, [(0.0, 0.0, 12000.0, 10000.0)], "xmin double, ymin double, xmax double, ymax double"), 1000.0).join(
@@ -367,6 +369,26 @@ def obstacle_modes(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def rectangle(x0: float, y0: float, x1: float, y1: float) -> bytearray:
+    return bytearray(shapes.polygon_wkb([[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]))
+
+
+def shattered(s: SparkSession, d: str) -> DataFrame:
+    """A 10,000 by 9,500 ft area cut along the lattice of 1000 ft."""
+    bounds = tab(s, [(0.0, 0.0, 10000.0, 10000.0)], "xmin double, ymin double, xmax double, ymax double")
+    areas = tab(s, [(1, rectangle(0.0, 0.0, 10000.0, 9500.0))], "area_id long, geom binary")
+    return linework.shatter_areas(areas, spatial.grid_lines(bounds, 1000.0).withColumn("area_id", F.lit(1).cast("long")))
+
+
+def clipped(s: SparkSession, d: str) -> DataFrame:
+    """The populated 1000 ft tiles without a river and a pond."""
+    boxes = "x0 double, y0 double, x1 double, y1 double"
+    t = tile_boxes(tables.placed(s, d), 1000.0, 10)
+    geoms = tab(s, [(i * 10 + j, rectangle(i * 1000.0, j * 1000.0, i * 1000.0 + 1000, j * 1000.0 + 1000)) for i in range(10) for j in range(10)], "id long, geom binary")
+    water = tab(s, [(rectangle(2500.0, -100.0, 2700.0, 20000.0), 2500.0, -100.0, 2700.0, 20000.0), (rectangle(4100.0, 4100.0, 4600.0, 4300.0), 4100.0, 4100.0, 4600.0, 4300.0)], "geom binary, " + boxes)
+    return linework.clip_out(t.join(geoms, "id"), water)
+
+
 def worker_messages(s: SparkSession, d: str) -> DataFrame:
     """Events as messages of four workers."""
     e = tables.scan(s, d, "events")
