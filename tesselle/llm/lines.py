@@ -277,7 +277,8 @@ def line_links(keyed: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     tokens = lines.filter(F.size("keys") > 0).select(F.col("h1").alias("id"), F.posexplode("keys").alias("place", "key")).select("key", "id", own.alias("own"))
     shared = stash(_shared_keys(tokens))
     ids = shared.select("id").distinct()
-    first = lines.select(F.col("h1").alias("id"), "doc", "rid", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "rid", "line")).alias("f")).select("id", "f.*")
+    # Grouped before the join, so that a common line is one row for each task.
+    first = lines.groupBy(F.col("h1").alias("id")).agg(F.min(F.struct("doc", "rid", "line")).alias("f")).join(ids, "id", "left_semi").select("id", "f.*")
     contents = stash(_contents(keyed, first))
     return _near_lines(split(shared, ["key"], "id", CELL_ROWS).join(contents, "id"), edits)
 
@@ -300,7 +301,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, carry: bool = False) -> Dat
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), "text")
     lines = stash(_keyed_lines(keyed, edits))
     links = stash(line_links(keyed, lines, edits))
-    classes = connected_components(links).select(F.col("node").alias("h1"), F.col("component").alias("c"))
+    classes = stash(connected_components(links).select(F.col("node").alias("h1"), F.col("component").alias("c")))
     # A class is its least line's hash; a line without near ones is a class by both its hashes.
     placed = lines.select("h1", "h2", "doc", "rid", "line").join(classes, "h1", "left")
     placed = stash(placed.select("h1", "doc", "rid", "line", F.coalesce("c", "h1").alias("c1"), F.when(F.col("c").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2")).distinct())
