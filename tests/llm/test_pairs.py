@@ -97,6 +97,56 @@ def test_groups_need_similar_sets(make):
     assert got == {3: 2, 2: 2, 9: 2, 4: 4, 5: 5, 6: 5}
 
 
+def plain_groups(rows, width=5):
+    """Least id of every document's component over all pairs with Jaccard 0.8 or more."""
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (t.split() for _, t in rows)]
+    near = np.array([[len(a & b) * 5 >= len(a | b) * 4 for b in sets] for a in sets])
+    label = components(near)
+    least = {c: min(rows[i][0] for i in np.flatnonzero(label == c)) for c in set(label.tolist())}
+    return {rows[i][0]: least[label[i]] for i in range(len(rows))}, near
+
+
+def replaced(rng, words, times):
+    words = list(words)
+    for at in rng.sample(range(len(words)), times):
+        words[at] = f"n{rng.randrange(10**9)}"
+    return words
+
+
+def test_groups_of_star_and_chain_shape(make):
+    rng = random.Random(11)
+    base = [f"s{i}" for i in range(300)]
+    star = [(1000, " ".join(base))] + [(i, " ".join(replaced(rng, base, 6))) for i in range(50)]
+    chain, words = [], [f"c{i}" for i in range(300)]
+    ids = rng.sample(range(2000, 2030), 30)
+    for i in ids:
+        chain.append((i, " ".join(words)))
+        words = replaced(rng, words, 6)
+    rows = star + chain
+    want, near = plain_groups(rows)
+    assert near[0, :51].all() and near[1:51, 1:51].mean() < 0.2 and len(set(want.values())) == 2
+    assert {r.doc_id: r.group_id for r in simhash.duplicate_groups(make(rows)).collect()} == want
+
+
+def test_a_prefix_meets_every_similar_set():
+    rng = np.random.default_rng(5)
+    common, count = np.arange(0, 300, 3, dtype=np.uint64), rng.integers(2, 9, 100)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 300, rng.integers(1, 120))).astype(np.uint64)
+        b = np.unique(np.where(rng.random(len(a)) < 0.1, rng.integers(0, 300, len(a)), a)).astype(np.uint64)
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(simhash.prefix(a, 0.8, common, count), simhash.prefix(b, 0.8, common, count)))
+
+
+def test_parities_never_part_similar_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400))).astype(np.uint64)
+        b = np.union1d(rng.permutation(a)[: int(len(a) * rng.uniform(0.78, 1))], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert simhash.close_roots(np.array([len(a), len(b)]), [simhash.parities(a), simhash.parities(b)], 0.8).tolist() == [0, 0]
+
+
 def test_forest_over_any_links():
     rng = np.random.default_rng(3)
     near = rng.random((90, 90)) < 0.012
