@@ -29,7 +29,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest id."""
+    """One document of each group of near-duplicates (all pairs of similarity 0.8 in five-word shingles): the smallest id."""
     groups = simhash.duplicate_groups(docs, width=5, radius=8, similarity=0.8)
     gone = groups.filter("doc_id <> group_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)

@@ -128,6 +128,17 @@ def test_groups_of_star_and_chain_shape(make):
     assert {r.doc_id: r.group_id for r in simhash.duplicate_groups(make(rows)).collect()} == want
 
 
+def test_lone_pairs_of_every_similarity(make):
+    rng = random.Random(12)
+    rows = []
+    for k in range(80):
+        words = [f"p{k}x{i}" for i in range(400)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(replaced(rng, words, 1 + k % 10)))]
+    want, _ = plain_groups(rows)
+    assert 40 < sum(want[i] != i for i in want) < 80
+    assert {r.doc_id: r.group_id for r in simhash.duplicate_groups(make(rows)).collect()} == want
+
+
 def test_a_prefix_meets_every_similar_set():
     rng = np.random.default_rng(5)
     common, count = np.arange(0, 300, 3, dtype=np.uint64), rng.integers(2, 9, 100)
