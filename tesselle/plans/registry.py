@@ -21,8 +21,6 @@ from tesselle.streaming import progress
 #: Fields that the score queries use and their weights.
 WEIGHTS = {"assr_impr_ppsf": 1.5, "assr_land_ppsf": 1.5, "assr_market_value": 0.5}
 BINS = 30
-#: Spatial self-joins of footprints take the parcels below this id: a dense study area.
-AREA_IDS = 12_000
 REACH_FT = 100.0
 
 
@@ -90,8 +88,8 @@ def coarse_edges(s: SparkSession, d: str) -> DataFrame:
     return spatial.within_distance(tile_boxes(tables.placed(s, d), 1000.0, 10), REACH_FT).select("src", "dst")
 
 
-def footprints(s: SparkSession, d: str, limit: int = AREA_IDS) -> DataFrame:
-    return tables.boxes(s, d, limit)
+def footprints(s: SparkSession, d: str) -> DataFrame:
+    return tables.boxes(s, d)
 
 
 def near_footprints(s: SparkSession, d: str) -> DataFrame:
@@ -299,7 +297,7 @@ QUERIES = {
     "adjacency_isolates": lambda s, d: spatial.adjacency_with_isolates(lattice_edges(s, d), lattice(s, d)),
     "obstacles_by_mode": lambda s, d: obstacle_modes(s, d),
     "nearest_tile": near_point,
-    "union_dedupe": lambda s, d: footprints(s, d, 400).select("x0", "y0", "x1", "y1").unionByName(footprints(s, d, 800).select("x0", "y0", "x1", "y1")).dropDuplicates(),
+    "union_dedupe": lambda s, d: footprints(s, d).filter("id < 400").select("x0", "y0", "x1", "y1").unionByName(footprints(s, d).filter("id < 800").select("x0", "y0", "x1", "y1")).dropDuplicates(),
     "states_for_bounds": lambda s, d: tab(s, [("12", -87.6, 24.5, -80.0, 31.0), ("13", -85.6, 30.4, -80.8, 35.0), ("01", -88.5, 30.2, -84.9, 35.0), ("13", -85.6, 30.4, -80.8, 35.0), ("48", -106.6, 25.8, -93.5, 36.5)], "state string, x0 double, y0 double, x1 double, y1 double").filter("x0 <= -84.0 and x1 >= -85.2 and y0 <= 30.9 and y1 >= 30.1").select("state").dropDuplicates(),
     "crs_choice": lambda s, d: tab(s, [("EPSG:2236", 90.0, False), ("EPSG:2237", 80.0, False), ("EPSG:26759", 12.0, True), ("EPSG:6438", 95.0, False)], "crs string, area double, nad27 boolean").agg(F.min_by("crs", F.col("area") * F.when(F.col("nad27"), 10.0).otherwise(1.0)).alias("crs")),
     # graph

@@ -53,9 +53,9 @@ def placed(spark: SparkSession, sf_dir: str, tile: float = 1000.0, label: float
     return positions(spark, sf_dir).withColumns({"tile_id": lattice_id("px", "py", tile, 10), "nid": lattice_id("px", "py", label, 4)})
 
 
-def boxes(spark: SparkSession, sf_dir: str, below: int, half: float = 25.0) -> DataFrame:
-    """Square footprints of the parcels with an id below a bound (a smaller study area)."""
-    p = positions(spark, sf_dir).filter(F.col("parcel_id") < below)
+def boxes(spark: SparkSession, sf_dir: str, half: float = 25.0) -> DataFrame:
+    """Square footprints of all parcels."""
+    p = positions(spark, sf_dir)
     return p.select(F.col("parcel_id").alias("id"), (F.col("px") - half).alias("x0"), (F.col("py") - half).alias("y0"), (F.col("px") + half).alias("x1"), (F.col("py") + half).alias("y1"))
 
 

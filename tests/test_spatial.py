@@ -132,3 +132,22 @@ def test_articulation(spark):
         ways = moves.donations(moves.boundary(edges, labels), labels)
         got = {r.tile for r in moves.disconnecting(ways, edges, labels).collect()}
         assert got & {1} == splits
+
+
+def test_footprint_queries_take_every_parcel(spark, tmp_path):
+    """Parcels of high ids too: pairs, lifted tiles and the nearest box against brute force."""
+    from tesselle.plans import registry
+
+    ids = [*range(1, 400), *range(11_900, 12_300), *range(149_000, 149_400)]
+    spark.createDataFrame([(i,) for i in ids], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    at = {i: (i * 7919 % 9973, i * 104729 % 9967) for i in ids}
+    gap = lambda p, q: max(0, abs(p - q) - 50)
+    pairs = {(i, j) for i in ids for j in ids if i < j and gap(at[i][0], at[j][0]) ** 2 + gap(at[i][1], at[j][1]) ** 2 <= 100**2}
+    assert any(j >= 12_000 for _, j in pairs)
+    assert {(r.src, r.dst) for r in registry.QUERIES["dwithin_boxes"](spark, str(tmp_path)).collect()} == pairs
+    tile = lambda i: at[i][0] // 1000 * 10 + at[i][1] // 1000
+    lifted = {(min(tile(i), tile(j)), max(tile(i), tile(j))) for i, j in pairs if tile(i) != tile(j)}
+    assert {(r.src, r.dst) for r in registry.QUERIES["tile_lift"](spark, str(tmp_path)).collect()} == lifted
+    out = lambda p, q: max(0, abs(p - q) - 25)
+    near = {k: min((out(at[i][0], x) ** 2 + out(at[i][1], y) ** 2, i) for i in ids) for k, (x, y) in enumerate([(700, 700), (5000, 5000), (9990, 10)])}
+    assert {r.query: r.id for r in registry.QUERIES["nearest_tile"](spark, str(tmp_path)).collect()} == {k: i for k, (d, i) in near.items() if d <= 400**2}
