@@ -1,6 +1,6 @@
 """Line deduplication by a segment-partition edit join.
 
-Equal lines are found by hash.  For lines that differ in at most ``edits`` bytes: a line of
+Equal lines are found by hash.  For lines that differ in at most ``edits`` characters: a line of
 length l is cut into edits + 1 segments, and any line within that many edits of it holds one
 of them whole, near its place.  Segments are index keys; a line probes, for its own and each
 slightly smaller length, only those substrings whose shift a match could have (both from the
@@ -24,8 +24,9 @@ from tesselle.operators.components import connected_components
 from tesselle.scratch import discard, stash
 
 EDITS = 2
-#: Shorter lines (in bytes, without outer blanks) always stay; only lines of NEAR_BYTES are joined by edits.
-LEAST_BYTES, NEAR_BYTES = 16, 40
+#: Equal lines are found from this length on (without outer blanks): all that aren't blank.  Lines of
+#: NEAR_BYTES characters are joined by edits too: in shorter ones EDITS edits are over a sixth of the line.
+LEAST_BYTES, NEAR_BYTES = 1, 12
 #: A task remembers this many lines it has made keys for, so that a common line makes them rarely.
 REMEMBERED = 500_000
 CELL_ROWS = 4096
@@ -40,7 +41,7 @@ def segments(length: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.nd
     """Start and length of each of the edits + 1 segments of lines of these lengths."""
     parts = edits + 1
     short, longer = length // parts, length % parts
-    for i in range(parts):  # the last ones are a byte longer
+    for i in range(parts):  # the last ones are one longer
         extra = np.maximum(0, i - (parts - longer))
         yield i * short + extra, short + (i >= parts - longer)
 
@@ -95,8 +96,17 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start[keep], last[keep], row[keep], (breaks[begin] - breaks[offsets[row]])[keep]
 
 
+def characters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and where in them the spans start and end."""
+    if not len(data) or data.max() < 128:
+        return data, start, end
+    begins = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=begins[1:])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4"), begins[start], begins[end]
+
+
 def _keyed_lines(keyed: DataFrame, edits: int) -> DataFrame:
-    """``(h1, h2, doc, rid, line, keys array<bigint>)`` of all lines of LEAST_BYTES; keys are null for lines that aren't joined by edits or whose keys the task has made."""
+    """``(h1, h2, doc, rid, line, keys array<bigint>)`` of all lines that aren't blank; keys are null for lines that aren't joined by edits or whose keys the task has made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -107,7 +117,8 @@ def _keyed_lines(keyed: DataFrame, edits: int) -> DataFrame:
                 long = end - start >= LEAST_BYTES
                 start, end, row, line = start[long], end[long], row[long], line[long]
                 h1, h2 = tk.span_hashes(data, start, end), tk.span_hashes(data, start, end, 1)
-                near = np.flatnonzero(end - start >= NEAR_BYTES)
+                points, begin, stop = characters(data, start, end)
+                near = np.flatnonzero(stop - begin >= NEAR_BYTES)
                 fresh = []
                 for i, h in zip(near.tolist(), h1[near].tolist(), strict=True):
                     if h not in seen:
@@ -119,7 +130,7 @@ def _keyed_lines(keyed: DataFrame, edits: int) -> DataFrame:
                 count = np.zeros(len(start), np.int64)
                 flat = np.zeros(0, np.int64)
                 if len(fresh):
-                    keys, valid = line_keys(data, start[fresh], (end - start)[fresh], edits)
+                    keys, valid = line_keys(points, begin[fresh], (stop - begin)[fresh], edits)
                     # Own segments first: their number is the same for all lines.
                     flat, count[fresh] = keys[valid].view(np.int64), valid.sum(1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat))
@@ -149,7 +160,12 @@ def _shared_keys(tokens: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-def within_edits(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
+def points_of(line: bytes | str) -> np.ndarray:
+    """The code points of a line; bytes are ASCII or any other single-byte symbols."""
+    return np.frombuffer(line, np.uint8) if isinstance(line, bytes) else np.frombuffer(line.encode("utf-32-le"), "<u4")
+
+
+def within_edits(a: list[bytes | str], b: list[bytes | str], edits: int) -> np.ndarray:
     """Whether each pair is at most ``edits`` insertions, deletions and replacements apart.
 
     Myers' bit-parallel column step in Hyyro's banded form: the band's vertical differences
@@ -167,11 +183,13 @@ def within_edits(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
     for at in range(0, len(live), 4096):
         rows = live[np.argsort(n[live], kind="stable")][at : at + 4096]
         tall, short = int(m[rows].max()), int(n[rows].max())
-        x = np.full((tall + 3 * edits + 2, len(rows)), 255, np.uint8)  # 255 and 254 are in no UTF-8 text
-        y = np.full((short, len(rows)), 254, np.uint8)
+        wide = any(isinstance(s, str) for r in rows.tolist() for s in swap[r])
+        symbol, none = (np.uint32, 1 << 31) if wide else (np.uint8, 254)  # these two symbols are in no text
+        x = np.full((tall + 3 * edits + 2, len(rows)), none + 1, symbol)
+        y = np.full((short, len(rows)), none, symbol)
         for c, r in enumerate(rows.tolist()):
-            x[edits : edits + m[r], c] = np.frombuffer(swap[r][0], np.uint8)
-            y[: n[r], c] = np.frombuffer(swap[r][1], np.uint8)
+            x[edits : edits + m[r], c] = points_of(swap[r][0])
+            y[: n[r], c] = points_of(swap[r][1])
         # Rows from 1 on differ by +1 from the one above before the first column, others don't.
         up = np.full(len(rows), ones & ~kind((1 << edits) - 1), kind)
         down = np.zeros(len(rows), kind)
@@ -198,15 +216,15 @@ def within_edits(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
     return out
 
 
-def profiles(lines: list[bytes]) -> np.ndarray:
-    """How often the bytes of each of 32 kinds occur; an edit changes two counts by one at most."""
+def profiles(lines: list[bytes | str]) -> np.ndarray:
+    """How often the characters of each of 32 kinds occur; an edit changes two counts by one at most."""
     size = np.array([len(x) for x in lines], np.int64)
-    flat = np.frombuffer(b"".join(lines), np.uint8)
+    flat = np.concatenate([np.zeros(0, np.uint8), *map(points_of, lines)])
     kind = np.repeat(np.arange(len(lines)) * 32, size) + (flat & 31)
     return np.bincount(kind, minlength=32 * len(lines)).reshape(-1, 32).astype(np.int32)
 
 
-def near_pairs(lines: list[bytes], counts: np.ndarray, a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+def near_pairs(lines: list[bytes | str], counts: np.ndarray, a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
     """Which pairs of lines are within ``edits``: by profile first, then by edit distance."""
     out = np.zeros(len(a), bool)
     for at in range(0, len(a), 100_000):
@@ -221,7 +239,7 @@ def _near_lines(cells: DataFrame, edits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, rows in whole_cells(batches, 3):
-            ident, lines = rows.column("id").to_numpy(), rows.column("content").to_pylist()
+            ident, lines = rows.column("id").to_numpy(), [x if x.isascii() else x.decode() for x in rows.column("content").to_pylist()]
             # A line may have a cell's key more than once.
             order = np.lexsort((ident, cell))
             fresh = np.ones(len(order), bool)
@@ -287,14 +305,14 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, carry: bool = False) -> Dat
     """``(doc_id, n_lines, n_removed, n_near, n_links, kept string)`` for every row of ``docs``;
     with ``carry`` also ``row``, the input row as a struct.
 
-    Lines are what ``\\n`` separates, compared without outer blanks.  Equal lines of at least
-    LEAST_BYTES bytes, and lines of at least NEAR_BYTES bytes that differ in at most ``edits``
-    bytes, are linked; linked lines are a class, of which the first (by doc_id, then place)
+    Lines are what ``\\n`` separates, compared without outer blanks.  Equal lines of any
+    length, and lines of at least NEAR_BYTES characters that differ in at most ``edits``
+    characters, are linked; linked lines are a class, of which the first (by doc_id, then place)
     stays and the others go.  ``n_near`` counts removed lines that differ from their class's
     first, ``n_links`` the other lines of all classes that a document's lines are in.  Kept
     lines are unchanged.
 
-    Null and empty texts have no lines; shorter and blank lines stay; a null doc_id counts as
+    Null and empty texts have no lines; blank lines stay; a null doc_id counts as
     larger than any other; rows that repeat an id and its text are one document and each get
     a row; other columns are ignored; an empty table gives no rows.
     """

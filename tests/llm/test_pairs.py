@@ -260,6 +260,13 @@ def test_line_dedup_brute_force(make):
         assert got[doc] == (len(parts), len(gone[doc]), near[doc], links[doc], kept), doc
 
 
+def test_short_lines_and_edits_in_characters(make):
+    """Equal lines of any length go; near ones count characters, not bytes."""
+    rows = [(1, "Read more\n目次\nCopyright 2019 Example Inc.\n这是一个关于机器学习的很长的句子\nэто строка текста для проверки"), (2, "Read more\n目次\nCopyright 2020 Example Inc.\n这是一个关于机械学习的很长的句子\nэто строка текстов для проверки"), (3, "Readmore\n目录")]
+    got = {r.doc_id: (r.n_removed, r.n_near, r.kept) for r in lines.deduplicate(make(rows)).collect()}
+    assert got == {1: (0, 0, rows[0][1]), 2: (5, 3, ""), 3: (0, 0, rows[2][1])}
+
+
 def test_repeated_rows_and_empty_table(make, odd_rows):
     out = lines.deduplicate(make(odd_rows), carry=True).collect()
     assert len(out) == len(odd_rows)
