@@ -1,6 +1,6 @@
 """Line deduplication by a segment-partition edit join.
 
-Equal lines are found by hash.  For lines that differ in at most ``edits`` characters: a line of
+Equal lines are found by digest (128 bits of BLAKE2).  For lines that differ in at most ``edits`` characters: a line of
 length l is cut into edits + 1 segments, and any line within that many edits of it holds one
 of them whole, near its place.  Segments are index keys; a line probes, for its own and each
 slightly smaller length, only those substrings whose shift a match could have (both from the
@@ -53,12 +53,10 @@ def line_keys(data: np.ndarray, start: np.ndarray, length: np.ndarray, edits: in
     the same key as the index entry and isn't repeated.
     """
     columns, valid = [], []
-    up, down = tk._powers(0, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    sums, scale = tk.rolling(data)
 
     def key(at: np.ndarray, size: np.ndarray, indexed: np.ndarray, part: int) -> np.ndarray:
-        raw = (sums[at + size] - sums[at]) * down[at]
+        raw = (sums[at + size] - sums[at]) * scale[at]
         return tk.mixed(raw ^ tk.mixed(indexed.astype(np.uint64) * np.uint64(8) + np.uint64(part)))
 
     parts = list(segments(length, edits))
@@ -116,7 +114,7 @@ def _keyed_lines(keyed: DataFrame, edits: int) -> DataFrame:
                 start, end, row, line = line_spans(data, offsets)
                 long = end - start >= LEAST_BYTES
                 start, end, row, line = start[long], end[long], row[long], line[long]
-                h1, h2 = tk.span_hashes(data, start, end), tk.span_hashes(data, start, end, 1)
+                h1, h2 = tk.digests(data.tobytes(), start, end)
                 points, begin, stop = characters(data, start, end)
                 near = np.flatnonzero(stop - begin >= NEAR_BYTES)
                 fresh = []
@@ -141,20 +139,47 @@ def _keyed_lines(keyed: DataFrame, edits: int) -> DataFrame:
     return keyed.select("doc", "rid", "text").mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, rid bigint, line int, keys array<bigint>")
 
 
+def shared_rows(key: np.ndarray, ident: np.ndarray, own: np.ndarray, held: tuple | None) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+    """The rows of one step of ``_shared_keys`` that go on, and what the next step needs of the last key.
+
+    Rows are sorted by key, a line's own segments first; ``held`` is ``(key, id, settled)``: the
+    first line of the key that the step before ended in, and whether a second one was there.
+    A key whose first row isn't an own segment has none and needs no memory either.
+    """
+    edge = np.flatnonzero(np.diff(key)) + 1
+    first = np.concatenate([[0], edge])
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    leader, has_own = ident[first].copy(), own[first].copy()
+    goes_on = held is not None and held[0] == key[0]
+    if goes_on:
+        leader[0], has_own[0] = held[1] if held[1] is not None else ident[0], held[1] is not None
+    several = np.logical_or.reduceat(ident != leader[group], first)
+    if goes_on and held[2]:
+        several[0] = True
+    keep = (several & has_own)[group]
+    out_key, out_id = key[keep], ident[keep]
+    if goes_on and not held[2] and has_own[0] and several[0]:
+        out_key, out_id = np.append(out_key, key[0]), np.append(out_id, leader[0])
+    last = (int(key[-1]), int(leader[-1]) if has_own[-1] else None, bool(several[-1]))
+    return out_key, out_id, last
+
+
 def _shared_keys(tokens: DataFrame) -> DataFrame:
-    """``(key, id)`` of the keys that two different lines have, one of them as its own segment."""
+    """``(key, id)`` of the keys that two different lines have, one of them as its own segment.
+
+    A key's rows are passed on as they come: a task remembers one line of its last key,
+    however many lines have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, rows in whole_cells(batches, 1, 200_000, 16 << 20):
-            key, ident, own = (rows.column(c).to_numpy() for c in ("key", "id", "own"))
-            n = int(cell[-1]) + 1
-            first = np.searchsorted(cell, np.arange(n))
-            several = np.minimum.reduceat(ident, first) != np.maximum.reduceat(ident, first)
-            several &= np.maximum.reduceat(own.astype(np.int8), first) > 0
-            keep = several[cell]
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ident[keep])], names=["key", "id"])
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                key, ident, held = shared_rows(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2)), held)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident)], names=["key", "id"])
 
-    return tokens.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, id bigint")
+    rows = tokens.select("key", "id", "own").repartition("key").sortWithinPartitions("key", F.desc("own"))
+    return rows.mapInArrow(run, "key bigint, id bigint")
 
 
 # ---------------------------------------------------------------- verification
@@ -316,7 +341,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, carry: bool = False) -> Dat
     larger than any other; rows that repeat an id and its text are one document and each get
     a row; other columns are ignored; an empty table gives no rows.
     """
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), "text")
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), tk.row_key("doc_id", "text").alias("rid"), "text")
     lines = stash(_keyed_lines(keyed, edits))
     links = stash(line_links(keyed, lines, edits))
     classes = stash(connected_components(links).select(F.col("node").alias("h1"), F.col("component").alias("c")))
@@ -332,7 +357,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, carry: bool = False) -> Dat
 
     discard(links)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), *[whole] * carry)
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), tk.row_key("doc_id", "text").alias("rid"), *[whole] * carry)
     joined = keyed.join(cuts, ["doc", "rid"], "left").withColumn("out", F.arrow_udf(without_lines, "struct<n_lines:bigint,n_removed:bigint,kept:string>")("text", "cut"))
     return joined.select("doc_id", "out.n_lines", "out.n_removed", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "out.kept", *["row"] * carry)
 

@@ -7,17 +7,24 @@ text and not the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Texts of one step together hold at most this many bytes (a longer text is a step alone).
 CHUNK_BYTES = 1 << 18
 
-_MASK = (1 << 64) - 1
-_BASES = {0: 0x9E3779B97F4A7C15, 1: 0xD6E8FEB86659FD93}  # odd, so they have inverses mod 2**64
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The field of the span hashes, and two points of it (the first digits of pi and e).
+_P = np.uint64((1 << 61) - 1)
+_POINTS = {0: 0x243F6A8885A308D3 % ((1 << 61) - 1), 1: 0xB7E151628AED2A6A % ((1 << 61) - 1)}
+_LOW, _HALF = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_ODD = 0x9E3779B97F4A7C15
+_ROLLING: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def lut(members: bytes | range) -> np.ndarray:
@@ -93,32 +100,96 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    got = _POWERS.get(base)
+def _kept(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values as members of the field."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """Members of the field times 2**31."""
+    return (x >> np.uint64(30)) + ((x & _HALF) << np.uint64(31))
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products in the field, from 31-bit halves."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW, b >> np.uint64(31), b & _LOW
+    return _kept(np.uint64(2) * a1 * b1 + _shifted(a1 * b0 + a0 * b1) + a0 * b0)
+
+
+def _run_of_powers(factor: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _times(out, np.full(len(out), pow(factor, len(out), int(_P)), np.uint64))])
+    return out[:n]
+
+
+def _powers(point: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The low and high halves of the powers of a point, and the powers of its inverse."""
+    got = _POWERS.get(point)
     if got is None or len(got[0]) < n:
         size = max(n, CHUNK_BYTES + 1024)
-        b = _BASES[base]
-        rows = []
-        for factor in (b, pow(b, -1, 1 << 64)):
-            out = np.full(size, factor, np.uint64)
-            out[0] = 1
-            rows.append(np.cumprod(out))
-        got = (rows[0], rows[1])
+        up, down = (_run_of_powers(f, size) for f in (_POINTS[point], pow(_POINTS[point], -1, int(_P))))
+        got = ((up & _LOW).astype(np.uint32), (up >> np.uint64(31)).astype(np.uint32), down)
         if size <= 4 * CHUNK_BYTES:
-            _POWERS[base] = got
+            _POWERS[point] = got
     return got
 
 
+def _sums(terms: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(terms) + 1, np.uint64)
+    np.cumsum(terms, out=out[1:])
+    return out
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
-    """A 64-bit hash of ``values[start:end]`` for every span, from one running sum.
+    """A 64-bit hash of ``values[start:end]`` for every span, from running sums.
 
-    Equal sequences have equal hashes wherever they stand in whichever buffer.
+    The span is a polynomial over the field of 2**61 - 1 at a fixed point, so two different
+    sequences of length n agree at no more than n of all points, whatever pattern they have.
+    Equal sequences have equal hashes wherever they stand in whichever buffer.  Bytes are
+    taken as they are, wider values after a scramble.
+    """
+    low, high, down = _powers(base, len(values) + 1)
+    low, high = low[: len(values)], high[: len(values)]
+    v = values.astype(np.uint64) + np.uint64(1)
+    if values.dtype == np.uint8 and not len(values) >> 24:  # no sum can overflow
+        small, large = _sums(v * low), _sums(v * high)
+    else:
+        powers = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(31)
+        terms = _times(v if values.dtype == np.uint8 else _kept(mixed(v)), powers)
+        small, large = _sums(terms & _LOW), _sums(terms >> np.uint64(31))
+    raw = _kept(_shifted(_kept(large[ends] - large[starts])) + _kept(small[ends] - small[starts]))
+    return mixed(_times(raw, down[starts]) ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+
+
+def rolling(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums and scale of a cheap rolling key: ``(sums[b] - sums[a]) * scale[a]`` for ``values[a:b]``.
+
+    Equal sequences have equal keys, but unequal ones can be made to agree: for candidates that
+    are compared afterwards.
     """
-    up, down = _powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    return mixed(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+    n = len(values) + 1
+    if not _ROLLING or len(_ROLLING[0][0]) < n:
+        up, down = (np.cumprod(np.append(np.uint64(1), np.full(max(n, CHUNK_BYTES + 1024), f, np.uint64))) for f in (_ODD, pow(_ODD, -1, 1 << 64)))
+        if n > 4 * CHUNK_BYTES:
+            return _sums((values.astype(np.uint64) + np.uint64(1)) * up[: n - 1]), down
+        _ROLLING[:] = [(up, down)]
+    up, down = _ROLLING[0]
+    return _sums((values.astype(np.uint64) + np.uint64(1)) * up[: n - 1]), down
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a BLAKE2 digest of every ``raw[start:end]``: what decides that texts are equal."""
+    made = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    halves = np.frombuffer(made, "<u8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
+def row_key(*columns: str) -> Column:
+    """60 bits of a SHA-1 over columns: tells rows with equal ids and different texts apart."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.conv(F.substring(F.sha1(F.concat_ws("\x01", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def row_of(first: np.ndarray) -> np.ndarray:
