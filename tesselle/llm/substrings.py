@@ -6,11 +6,13 @@ equal windows have equal leads and neighbouring windows mostly share one.  Windo
 document with the same lead form a run, and runs are grouped by the lead: a prefix that
 splits all suffixes into groups of which only those met in several documents go on.
 
-Of such a group each distinct run is fetched once.  Groups fit in memory together with others
-and their suffixes are put into a truncated suffix tree level by level (depth 1, 2, 4, ...
-words, by doubling); the internal nodes at depth WINDOW are the repeated passages, and every
-one gets the least document in its subtree.  A group with very many distinct runs is split by
-the longest prefix there is, the window itself, which needs no tree and is counted in parts.
+Of such a group each distinct run (by a 128-bit digest of its words) is fetched once, and
+a generalised suffix tree is built over the runs of as many groups as fit in memory.  The
+tree's internal nodes of depth ``WINDOW`` or more are the repeated passages: the topmost ones give every
+window the least document below its node, and all of them the maximal repeats.  A group
+with too many runs for one tree is taken apart into suffixes, which are parted by longer prefixes,
+each as long as it takes for its group to fit; suffixes that agree in the whole window
+need no tree.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from tesselle.llm import textkit as tk
 from tesselle.scratch import discard, stash
 
 WINDOW, LEAD = 50, 8
-#: A group with more distinct runs than this is split by whole windows.
-GROUP_RUNS = 2000
+#: A group with more distinct runs than this is parted by longer prefixes, into groups of at most so many suffixes.
+GROUP_RUNS, GROUP_SUFFIXES = 2000, 4000
 #: Words of the groups whose trees are built together.
 TREE_WORDS = 300_000
 _LAST = (1 << 63) - 1
-_RUN = "p bigint, x bigint, n int"
+_KEYS = ["p", "x", "y", "n"]
+_RUN, _RUN_TYPES = "p bigint, x bigint, y bigint, n int", [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 _SPANS = "array<struct<a:int,b:int,low:bigint>>"
 
 
@@ -52,8 +55,19 @@ def least_lead(lead: np.ndarray, reach: int) -> np.ndarray:
     return best[: len(lead)]
 
 
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words with one space after each, and where each begins there."""
+    size = ends - starts
+    begins = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 32, np.uint8)
+    word = np.repeat(np.arange(len(size)), size)
+    inner = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    out[begins[word] + inner] = data[starts[word] + inner]
+    return out.tobytes(), begins
+
+
 def runs_of(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> dict[str, np.ndarray]:
-    """The runs of windows with one lead: prefix, hash of all their words, windows, row, and
+    """The runs of windows with one lead: prefix, digest of all their words, windows, row, and
     (``at``, cut by ``cuts``) the first words of the equal ones in that row."""
     starts, ends, first = tk.spans(data, offsets, tk.SPACES)
     word, row = tk.span_hashes(data, starts, ends), tk.row_of(first)
@@ -69,15 +83,17 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> dict[
     begin = np.flatnonzero(fresh)
     n = np.diff(np.append(begin, len(s)))
     lo = s[begin]
-    p, x, own = lead[led[begin]], tk.span_hashes(word, lo, lo + n + window - 1), row[lo]
+    p, own = lead[led[begin]], row[lo]
+    text, place = spaced(data, starts, ends)
+    last = lo + n + window - 2
+    x, y = tk.digests(text, place[lo], place[last] + (ends - starts)[last])
     # A row's equal runs (text that goes round in a circle has one every few words) are one entry.
-    key = tk.mixed(x ^ tk.mixed(p + (own.astype(np.uint64) << np.uint64(16)) + n.astype(np.uint64)))
-    order = np.argsort(key, kind="stable")
-    new = np.ones(len(key), bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
+    order = np.lexsort((lo, y, x, own))
+    new = np.ones(len(order), bool)
+    new[1:] = (x[order[1:]] != x[order[:-1]]) | (y[order[1:]] != y[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
     cuts = np.flatnonzero(new)
     one = order[cuts]
-    return {"p": p[one], "x": x[one], "n": n[one], "row": own[one], "at": (lo - first[own])[order], "cuts": np.append(cuts, len(key))}
+    return {"p": p[one], "x": x[one], "y": y[one], "n": n[one], "row": own[one], "at": (lo - first[own])[order], "cuts": np.append(cuts, len(order))}
 
 
 def _runs(keyed: DataFrame, window: int, k: int) -> DataFrame:
@@ -87,80 +103,129 @@ def _runs(keyed: DataFrame, window: int, k: int) -> DataFrame:
             for a, _, data, offsets in tk.chunks(batch.column(2)):
                 r = runs_of(data, offsets, window, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["p"].view(np.int64)), pa.array(r["x"].view(np.int64)), pa.array(r["n"].astype(np.int32)), pa.array(doc[a + r["row"]]), pa.array(rid[a + r["row"]]), pa.ListArray.from_arrays(pa.array(r["cuts"].astype(np.int32)), pa.array(r["at"].astype(np.int32)))],
-                    names=["p", "x", "n", "doc", "rid", "at"],
+                    [*(pa.array(r[c].view(np.int64)) for c in "pxy"), pa.array(r["n"].astype(np.int32)), pa.array(doc[a + r["row"]]), pa.array(rid[a + r["row"]]), pa.ListArray.from_arrays(pa.array(r["cuts"].astype(np.int32)), pa.array(r["at"].astype(np.int32)))],
+                    names=[*_KEYS, "doc", "rid", "at"],
                 )
 
     return keyed.select("doc", "rid", "text").mapInArrow(run, f"{_RUN}, doc bigint, rid bigint, at array<int>")
 
 
 def _contents(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the wanted runs ``(p, x, n, doc, rid, at)``: ``(p, x, n, low, words binary)``."""
-    lists = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("p", "x", "n", "at")).alias("want"))
+    """The words of the wanted runs ``(p, x, y, n, doc, rid, at)``: ``(p, x, y, n, low, words binary)``."""
+    lists = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct(*_KEYS, "at")).alias("want"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for doc, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or "").encode().split()
                 for w in want:
-                    for column, value in zip(out, (w["p"], w["x"], w["n"], doc, b" ".join(words[w["at"] : w["at"] + w["n"] + window - 1])), strict=True):
+                    for column, value in zip(out, (*(w[k] for k in _KEYS), doc, b" ".join(words[w["at"] : w["at"] + w["n"] + window - 1])), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["p", "x", "n", "low", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*_RUN_TYPES, pa.int64(), pa.binary()), strict=True)], names=[*_KEYS, "low", "words"])
 
     # Rows that repeat an id and its text have the same runs: one of them is read.
     texts = keyed.join(lists, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("doc", "text", "want")
     return texts.mapInArrow(run, f"{_RUN}, low bigint, words binary")
 
 
-def tree_nodes(words: np.ndarray, last: np.ndarray, depth: int) -> np.ndarray:
-    """The node at ``depth`` words of the suffix that begins at each position, -1 if it's shorter.
+class SuffixTree:
+    """The generalised suffix tree of some texts (of numbered words), held as arrays.
 
-    ``words`` are numbers of words and ``last[i]`` the end of the text that position i is in.
-    Nodes of depth 2d are pairs of nodes of depth d, and of a depth between, overlapping pairs.
+    ``order`` has all suffixes ascending, ``depth[i]`` how many words suffixes i and i + 1 of
+    that order share.  An internal node of depth d is a longest range of suffixes of which
+    all neighbours share d words or more and some just d.  ``last[i]`` is the end of the text that position i
+    is in; a suffix ends there.
     """
-    node, now = words, 1
-    at = np.arange(len(words))
-    while now < depth:
-        step = min(now, depth - now)
-        ok = np.flatnonzero(at + now + step <= last)
-        pair = node[ok].astype(np.int64) * (len(words) + 1) + node[ok + step]
-        node = np.full(len(words), -1, np.int64)
-        node[ok] = np.unique(pair, return_inverse=True)[1]
-        now += step
-    return node
+
+    def __init__(self, words: np.ndarray, last: np.ndarray) -> None:
+        n = len(words)
+        at = np.arange(n)
+        longest = int((last - at).max(initial=1))
+        rank, step, ranks = np.unique(words, return_inverse=True)[1] + 1, 1, []
+        while True:  # ranks of the first 1, 2, 4, ... words
+            ranks.append((step, rank))
+            if step >= longest:
+                break
+            later = np.zeros(n, np.int64)
+            inside = np.flatnonzero(at + step < last)
+            later[inside] = rank[inside + step]
+            rank, step = np.unique(rank * (n + 1) + later, return_inverse=True)[1] + 1, 2 * step
+        self.words, self.order = words, np.argsort(rank, kind="stable")
+        self.starts = np.ones(n, bool)
+        self.starts[1:] = last[1:] != last[:-1]
+        a, b = self.order[:-1], self.order[1:]
+        self.depth = np.zeros(max(0, n - 1), np.int64)
+        for step, rank in reversed(ranks):
+            more = np.flatnonzero((a + self.depth + step <= last[a]) & (b + self.depth + step <= last[b]))
+            more = more[rank[(a + self.depth)[more]] == rank[(b + self.depth)[more]]]
+            self.depth[more] += step
+
+    def topmost(self, least: int) -> np.ndarray:
+        """For each position the number of the topmost node of at least this depth that its suffix is below
+        (suffixes below none have numbers of their own)."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(np.append(0, self.depth < least))
+        return out
+
+    def deep_nodes(self, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(depth, first, end)``: the internal nodes of each depth from ``least`` on, as ranges of the order."""
+        for d in np.unique(self.depth[self.depth >= least]).tolist():
+            edge = np.concatenate([[0], np.flatnonzero(self.depth < d) + 1, [len(self.order)]])
+            first, end = edge[:-1], edge[1:]
+            wide = end - first > 1
+            first, end = first[wide], end[wide]
+            lowest = np.minimum.reduceat(np.append(self.depth, d + 1), np.stack([first, end - 1], 1).ravel())[::2]
+            yield d, first[lowest == d], end[lowest == d]
+
+    def maximal_repeats(self, least: int) -> list[tuple[int, list[int]]]:
+        """``(words, places)`` of every sequence of at least so many words that occurs more than once
+        and not always with the same word before or after it."""
+        before = np.where(self.starts, -1 - np.arange(len(self.words)), np.roll(self.words, 1))[self.order]
+        out = []
+        for d, first, end in self.deep_nodes(least):
+            for a, e in zip(first.tolist(), end.tolist(), strict=True):
+                if before[a:e].min() != before[a:e].max():
+                    out.append((d, sorted(self.order[a:e].tolist())))
+        return out
+
+
+def tree_of(texts: list[bytes]) -> tuple[SuffixTree, np.ndarray]:
+    """The tree of texts whose words are parted by one space, and where each text begins."""
+    numbers: dict[bytes, int] = {}
+    flat, sizes = [], []
+    for text in texts:
+        words = text.split(b" ")
+        flat += [numbers.setdefault(w, len(numbers)) for w in words]
+        sizes.append(len(words))
+    end = np.cumsum(sizes, dtype=np.int64)
+    return SuffixTree(np.array(flat, np.int64), np.repeat(end, sizes)), end - sizes
 
 
 def _subtree_minima(rows: list[tuple], window: int) -> pa.RecordBatch:
-    """For runs of whole groups the least document of each window, as spans of equal ones."""
-    numbers: dict[bytes, int] = {}
-    flat, last, owner, low = [], [], [], []
-    for i, (_, _, n, doc, words) in enumerate(rows):
-        flat += [numbers.setdefault(w, len(numbers)) for w in words.split(b" ")]
-        last += [len(flat)] * (n + window - 1)
-        owner += [i] * n + [-1] * (window - 1)
-        low += [doc] * (n + window - 1)
-    owner = np.array(owner)
-    node = tree_nodes(np.array(flat, np.int64), np.array(last), window)
-    begins = np.flatnonzero(owner >= 0)
-    node, owner = node[begins], owner[begins]
+    """For runs ``(.., n, low, words)`` of whole groups the least document of each window, as spans of equal ones."""
+    tree, begin = tree_of([r[-1] for r in rows])
+    n = np.array([r[-3] for r in rows])
+    low = np.array([r[-2] for r in rows], np.int64)
+    node = tree.topmost(window)
+    owner = np.repeat(np.arange(len(rows)), n)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    node = node[begin[owner] + inner]
     least = np.full(int(node.max()) + 1, _LAST, np.int64)
-    np.minimum.at(least, node, np.array(low, np.int64)[begins])
+    np.minimum.at(least, node, low[owner])
     value = least[node]
     fresh = np.ones(len(value), bool)
     fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    begin = np.flatnonzero(fresh)
-    end = np.append(begin[1:], len(value))
-    head = np.searchsorted(owner, np.arange(len(rows)))
-    a = begin - head[owner[begin]]
-    spans = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array((a + end - begin - 1).astype(np.int32)), pa.array(value[begin])], names=["a", "b", "low"])
-    cuts = np.searchsorted(owner[begin], np.arange(len(rows) + 1)).astype(np.int32)
-    keys = [pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))]
-    return pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(cuts), spans)], names=["p", "x", "n", "spans"])
+    at = np.flatnonzero(fresh)
+    end = np.append(at[1:], len(value))
+    spans = pa.StructArray.from_arrays([pa.array(inner[at].astype(np.int32)), pa.array(inner[end - 1].astype(np.int32)), pa.array(value[at])], names=["a", "b", "low"])
+    cuts = np.searchsorted(owner[at], np.arange(len(rows) + 1)).astype(np.int32)
+    keys = [pa.array([r[k] for r in rows], t) for k, t in enumerate(_RUN_TYPES, 1)]
+    return pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(cuts), spans)], names=[*_KEYS, "spans"])
 
 
-def _trees(contents: DataFrame, window: int) -> DataFrame:
-    """``(p, x, n, spans)`` of the runs of groups that fit in memory."""
+def _trees(contents: DataFrame, group: str, window: int) -> DataFrame:
+    """``(p, x, y, n, spans)`` of the runs of groups (one value of the column ``group``) that fit in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -171,32 +236,72 @@ def _trees(contents: DataFrame, window: int) -> DataFrame:
                     yield _subtree_minima(held, window)
                     held, words = [], 0
                 held.append(row)
-                words += row[2] + window - 1
+                words += row[4] + window - 1
         if held:
             yield _subtree_minima(held, window)
 
-    return contents.select("p", "x", "n", "low", "words").repartition("p").sortWithinPartitions("p").mapInArrow(run, f"{_RUN}, spans {_SPANS}")
+    rows = contents.select(F.col(group).alias("_group"), *_KEYS, "low", "words")
+    return rows.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, f"{_RUN}, spans {_SPANS}")
 
 
-def _by_window(contents: DataFrame, window: int) -> DataFrame:
-    """The same for groups of any size: every window is a prefix of its own."""
+def _suffixes(contents: DataFrame, window: int, lengths: list[int]) -> DataFrame:
+    """``(p, x, y, n, low, j, prefixes array<bigint>, words binary)``: every window of the runs, with a
+    key of each of its prefixes of these lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, x, n, low, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(words, np.uint8)
+            for *keys, low, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = np.frombuffer(text, np.uint8)
                 starts, ends, _ = tk.spans(data, np.array([0, len(data)]), tk.SPACES)
-                j = np.arange(n)
-                w = [tk.span_hashes(tk.span_hashes(data, starts, ends, b), j, j + window, 1 - b).view(np.int64) for b in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([v] * n, t) for v, t in ((p, pa.int64()), (x, pa.int64()), (n, pa.int32()), (low, pa.int64()))] + [pa.array(j.astype(np.int32)), *map(pa.array, w)], names=["p", "x", "n", "low", "j", "w1", "w2"])
+                word, j = tk.span_hashes(data, starts, ends), np.arange(keys[-1])
+                prefixes = np.stack([tk.span_hashes(word, j, j + k, 1) for k in lengths], axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array([v] * len(j), t) for v, t in zip((*keys, low), (*_RUN_TYPES, pa.int64()), strict=True)),
+                        pa.array(j.astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(lengths) * len(j) + 1, len(lengths), dtype=np.int32)), pa.array(prefixes.ravel())),
+                        pa.array([text[starts[i] : ends[i + window - 1]] for i in j.tolist()], pa.binary()),
+                    ],
+                    names=[*_KEYS, "low", "j", "prefixes", "words"],
+                )
 
-    windows = stash(contents.select("p", "x", "n", "low", "words").mapInArrow(run, f"{_RUN}, low bigint, j int, w1 bigint, w2 bigint"))
-    least = windows.groupBy("w1", "w2").agg(F.min("low").alias("least"))
-    parts = windows.join(least, ["w1", "w2"]).groupBy("p", "x", "n").agg(F.collect_list(F.struct(F.col("j").alias("a"), F.col("j").alias("b"), F.col("least").alias("low"))).alias("spans"))
-    return parts.select("p", "x", "n", F.col("spans").cast(_SPANS).alias("spans"))
+    return contents.select(*_KEYS, "low", "words").mapInArrow(run, f"{_RUN}, low bigint, j int, prefixes array<bigint>, words binary")
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, lead: int = LEAD, group_runs: int = GROUP_RUNS) -> DataFrame:
+def _parted(contents: DataFrame, window: int, lead: int, group_suffixes: int) -> DataFrame:
+    """``(p, x, y, n, spans)`` of the runs of groups of any size, by suffixes and longer prefixes.
+
+    A suffix is grouped by the shortest of its prefixes (of ``lead``, twice, four times, ...
+    words) that at most ``group_suffixes`` suffixes have.  Where even the longest one has more,
+    the suffixes are grouped by the whole window, counted in parts, word by word.
+    """
+    lengths = [k for i in range(16) if (k := lead << i) < window] or [window]
+    suffixes = stash(_suffixes(contents, window, lengths))
+    known, group, settled = suffixes, F.lit(None).cast("bigint"), F.lit(False)
+    for i in range(len(lengths)):
+        prefix = F.col("prefixes")[i]
+        hot = stash(suffixes.groupBy(prefix.alias(f"h{i}")).agg(F.count("*").alias("many")).filter(F.col("many") > group_suffixes).select(f"h{i}", F.lit(True).alias(f"hot{i}")))
+        known = known.withColumn(f"h{i}", prefix).join(hot, f"h{i}", "left")
+        fits = F.col(f"hot{i}").isNull()
+        group = F.when(settled, group).when(fits, F.xxhash64(F.lit(i), f"h{i}"))
+        settled = settled | fits
+    known = stash(known.select(*_KEYS, "low", "j", "words", group.alias("group")))
+    discard(suffixes)
+    # One suffix is a run of one window; its place in its own run is kept as n.
+    single = known.filter("group is not null").withColumn("x", F.struct(*_KEYS, "j"))
+    ids = single.select("group", F.monotonically_increasing_id().alias("p"), "x", "low", "words")
+    ids = stash(ids)
+    alone = ids.select("group", "p", F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit(1).alias("n"), "low", "words")
+    treed = _trees(alone, "group", window).select("p", F.col("spans")[0]["low"].alias("least"))
+    by_tree = ids.select("p", "x").join(treed, "p").select("x.*", "least")
+    rest = known.filter("group is null")
+    least = stash(rest.groupBy("words").agg(F.min("low").alias("least")))
+    by_window = rest.join(least, "words").select(*_KEYS, "j", "least")
+    parts = by_tree.unionByName(by_window).groupBy(*_KEYS).agg(F.collect_list(F.struct(F.col("j").alias("a"), F.col("j").alias("b"), F.col("least").alias("low"))).alias("spans"))
+    return parts.select(*_KEYS, F.col("spans").cast(_SPANS).alias("spans"))
+
+
+def deduplicate(docs: DataFrame, window: int = WINDOW, lead: int = LEAD, group_runs: int = GROUP_RUNS, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept string)`` for every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  A word goes if it is in a window of ``window`` words that
@@ -207,22 +312,25 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, lead: int = LEAD, group_r
     one document, and between rows with the same doc_id, stay; a null doc_id counts as larger
     than any other; other columns are ignored; an empty table gives no rows.
     """
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), "text")
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), tk.row_key("doc_id", "text").alias("rid"), "text")
     runs = stash(_runs(keyed, window, lead))
     shared = stash(runs.groupBy("p").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("p"))
     met = stash(runs.join(shared, "p"))
     discard(runs)
-    distinct = stash(met.groupBy("p", "x", "n").agg(F.min(F.struct("doc", "rid", F.col("at")[0].alias("at"))).alias("first")).select("p", "x", "n", "first.*"))
+    distinct = stash(met.groupBy(*_KEYS).agg(F.min(F.struct("doc", "rid", F.col("at")[0].alias("at"))).alias("first")).select(*_KEYS, "first.*"))
     sizes = stash(distinct.groupBy("p").agg(F.count("*").alias("many")))
     sized = distinct.join(sizes, "p")
     # A group of one run needs no tree: all its windows are first met in the same document.
-    alone = sized.filter("many = 1").select("p", "x", "n", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"), F.col("doc").alias("low"))).cast(_SPANS).alias("spans"))
+    alone = sized.filter("many = 1").select(*_KEYS, F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"), F.col("doc").alias("low"))).cast(_SPANS).alias("spans"))
     contents = stash(_contents(keyed, sized.filter("many > 1"), window).join(sizes, "p"))
-    found = alone.unionByName(_trees(contents.filter(F.col("many") <= group_runs), window)).unionByName(_by_window(contents.filter(F.col("many") > group_runs), window))
+    found = alone.unionByName(_trees(contents.filter(F.col("many") <= group_runs), "p", window))
+    large = contents.filter(F.col("many") > group_runs)
+    if not large.isEmpty():
+        found = found.unionByName(_parted(large, window, lead, group_suffixes))
     found = stash(found)
     discard(contents)
     earlier = F.filter("spans", lambda s: s["low"] < F.col("doc"))
-    covered = met.join(found, ["p", "x", "n"]).withColumn("spans", earlier).filter(F.size("spans") > 0)
+    covered = met.join(found, _KEYS).withColumn("spans", earlier).filter(F.size("spans") > 0)
     covered = covered.select("doc", "rid", F.flatten(F.transform("at", lambda w: F.transform("spans", lambda s: F.struct((w + s["a"]).alias("a"), (w + s["b"] + window).alias("b"))))).alias("cover"))
     covers = covered.groupBy("doc", "rid").agg(F.flatten(F.collect_list("cover")).alias("cover"))
 
