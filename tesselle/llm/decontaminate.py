@@ -1,34 +1,40 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The corpus is indexed where it lies: every task turns its texts into postings (test term ->
-ascending token positions over the task's step), and the windows of the benchmark are looked
-up there.  For each window the lists are taken from the rarest term on, shifted by the
-term's place in the window, and intersected until they're empty or all terms agree.  So the
-corpus is read once, nothing but the hits leaves a task, and no term's list is ever gathered
-in one place, however frequent it is.
-
-The benchmark side is sent to the tasks in blocks, as long as it has at most BROADCAST_BYTES
-bytes; a larger one is met by an equi-join on hashes of windows instead.
+The corpus is read once and stored as an index: a row is a segment (the texts of one step
+of a task) with its terms and, for each term, the ascending positions of its tokens.  A term's
+postings are therefore spread over all segments; none is ever gathered in one place, however
+frequent it is, and a search reads the index alone.
+
+The windows of the benchmark get the global frequency of each of their terms from the index.
+In a segment a window's lists are taken from the globally rarest term on, shifted by the
+term's place in the window, and intersected until they're empty or all terms agree: an exact
+phrase.  Proximity matches are places where a window's two rarest terms stand about as close
+as in the window.  Windows are sent to the tasks in blocks of bounded size, a pass over the
+index for each; a benchmark of any size takes the same path.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm import textkit as tk
-from tesselle.scratch import stash
+from tesselle.scratch import discard, stash
 
 WINDOW = 10
-#: One broadcast block holds about this many bytes of benchmark text at most, and all of them this many.
-BLOCK_BYTES, BROADCAST_BYTES = 8 << 20, 32 << 20
+#: A segment of the index covers about this many bytes of text (a longer text is a segment alone).
+SEGMENT_BYTES = 1 << 20
+#: One broadcast block holds the windows of about this many bytes of benchmark text.
+BLOCK_BYTES = 1 << 20
+
+_TO_WORDS = bytes(32 if tk.NON_ALNUM[tk._LOWER_LUT[b]] else tk.LOWER[b] for b in range(256))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -36,66 +42,197 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TO_WORDS).split()
 
 
-_TO_WORDS = bytes(32 if tk.NON_ALNUM[tk._LOWER_LUT[b]] else tk.LOWER[b] for b in range(256))
+def expanded(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists of the given lengths: which list, and which entry of it, one after another."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+
+
+# ---------------------------------------------------------------- the index
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each token's term, and a token of each term; equal bytes, equal terms."""
+    _, some, number = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    token, inner = expanded(size)
+    other = some[number]
+    if (size == size[other]).all() and (data[starts[token] + inner] == data[starts[other[token]] + inner]).all():
+        return number, some
+    held: dict[bytes, int] = {}  # a hash that two terms share
+    raw = data.tobytes()
+    number = np.array([held.setdefault(raw[a:b], len(held)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return number, np.unique(number, return_index=True)[1]
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as an array of strings."""
+    size = ends - starts
+    token, inner = expanded(size)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[starts[token] + inner])))
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The index as a table, a row a segment: ``(segment bigint, ids array<bigint>, first array<int>,
+    terms array<string>, count array<int>, gaps array<int>)``.
+
+    ``first`` has the first token of each document and the number of all; ``count`` the
+    length of each term's list; ``gaps`` all lists on end, the first position of each as it is and the
+    others less the one before.  A null text has no tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a, b, data, offsets in tk.chunks(batch.column(1), SEGMENT_BYTES):
+                data = tk.lowered(data)
+                starts, ends, first = tk.spans(data, offsets, tk.NON_ALNUM)
+                number, some = numbered(data, starts, ends)
+                order = np.argsort(number, kind="stable")
+                count = np.bincount(number, minlength=len(some))
+                gaps = np.diff(order, prepend=0)
+                head = np.cumsum(count) - count
+                gaps[head] = order[head]
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                small = lambda x: one(pa.array(x.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([segment]), one(batch.column(0).slice(a, b - a)), small(first), one(_strings(data, starts[some], ends[some])), small(count), small(gaps)], names=["segment", "ids", "first", "terms", "count", "gaps"])
+                segment += 1
+
+    return docs.select("doc_id", "text").mapInArrow(run, "segment bigint, ids array<bigint>, first array<int>, terms array<string>, count array<int>, gaps array<int>")
+
+
+@dataclass
+class Segment:
+    """A segment of the index, opened."""
+
+    first: np.ndarray  # the first token of each document, and the end
+    terms: list[str]
+    count: np.ndarray  # length of each term's list
+    head: np.ndarray  # where it begins in positions
+    positions: np.ndarray  # ascending within each term
+
+    @classmethod
+    def opened(cls, first: pa.Array, terms: pa.Array, count: pa.Array, gaps: pa.Array) -> Segment:
+        first, count, gaps = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (first, count, gaps))
+        head = np.cumsum(count) - count
+        total = np.cumsum(gaps)
+        return cls(first, terms.to_pylist(), count, head, total - np.repeat(total[head] - gaps[head], count))
+
+    @classmethod
+    def each(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, Segment]]:
+        """``(segment, ids, opened)`` of the rows ``(segment, ids, first, terms, count, gaps)``."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch.column(0)[i].as_py(), batch.column(1)[i].values, cls.opened(*(batch.column(c)[i].values for c in range(2, 6)))
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """The index term by term: ``(term, doc_id, positions array<int>)``, words of a document counted from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, s in Segment.each(batches):
+            term = np.repeat(np.arange(len(s.count)), s.count)
+            doc = np.searchsorted(s.first, s.positions, "right") - 1
+            edge = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(doc) != 0))) if len(term) else term
+            lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(term)).astype(np.int32)), pa.array((s.positions - s.first[doc]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(s.terms, pa.string()).take(pa.array(term[edge])), ids.take(pa.array(doc[edge])), lists], names=["term", "doc_id", "positions"])
+
+    return index.select("segment", "ids", "first", "terms", "count", "gaps").mapInArrow(run, "term string, doc_id bigint, positions array<int>")
+
+
+# ---------------------------------------------------------------- the windows
+
+
+def test_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``(phrase string, items array<string>)``: the distinct windows, words parted by a space, and whose they are.
+
+    A window is ``width`` consecutive words of an item; an item of fewer, but not none, is one.
+    Items without id are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            phrase, item = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = words(text)
+                found = {b" ".join(w[i : i + width]).decode() for i in range(max(1, len(w) - width + 1) if w else 0)}
+                phrase += found
+                item += [name] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.string()), pa.array(item, pa.string())], names=["phrase", "item"])
+
+    rows = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "phrase string, item string")
+    return rows.groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def weighed(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """``(phrase, items, rare array<struct<n, place, term>>)``: the different terms of each window by
+    how many tokens of the corpus are that term, rare ones first (ties: the earlier place)."""
+    places = windows.select("phrase", F.posexplode(F.split("phrase", " ")).alias("place", "term")).groupBy("phrase", "term").agg(F.min("place").alias("place"))
+    wanted = places.select("term").distinct()
+    counted = index.select(F.explode(F.arrays_zip("terms", "count")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.count").alias("n"))
+    often = counted.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    ranked = places.join(often, "term", "left").select("phrase", F.struct(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "place", "term").alias("t"))
+    return windows.join(ranked.groupBy("phrase").agg(F.sort_array(F.collect_list("t")).alias("rare")), "phrase")
 
 
 @dataclass
 class TestWindows:
-    """The distinct windows of a block of items, over a numbered vocabulary."""
+    """The distinct windows of a block, over a numbered vocabulary."""
 
-    terms: np.ndarray  # hash of each term, ascending
-    texts: list[bytes]  # the terms themselves, in the same order
+    number: dict[str, int]
     windows: np.ndarray  # W x width, numbers of terms, -1 after a shorter window's end
+    rare_first: np.ndarray  # W x width, places by global frequency
     length: np.ndarray  # W
-    items: list[list[str]] = field(default_factory=list)  # items of each window
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros((0, 3), np.int64))  # two terms and their distance, for proximity
+    items: list[list[str]]  # items of each window
+    pairs: np.ndarray  # the two rarest terms of the windows and their distance
 
     @classmethod
-    def build(cls, items: list[tuple[str, str]], width: int) -> TestWindows:
-        found: dict[tuple[bytes, ...], dict[str, None]] = defaultdict(dict)
-        for item_id, text in items:
-            w = words(text)
-            for i in range(max(1, len(w) - width + 1) if w else 0):
-                found[tuple(w[i : i + width])][item_id] = None
-        vocab = sorted({t for w in found for t in w})
-        joined = np.frombuffer(b"".join(vocab), np.uint8)
-        ends = np.cumsum([len(t) for t in vocab], dtype=np.int64)
-        hashes = tk.span_hashes(joined, ends - [len(t) for t in vocab], ends) if vocab else np.zeros(0, np.uint64)
-        order = np.argsort(hashes)
-        number = {vocab[j]: i for i, j in enumerate(order)}
-        grid = np.full((len(found), width), -1, np.int64)
-        for row, w in enumerate(found):
-            grid[row, : len(w)] = [number[t] for t in w]
-        # The two different terms of each window that the fewest windows have (ties: the earlier ones).
-        share = np.bincount(grid[grid >= 0], minlength=len(vocab))
+    def build(cls, rows: list[tuple[str, list[str], list[tuple[int, int, str]]]]) -> TestWindows:
+        """From rows of :func:`weighed`."""
+        split = [r[0].split(" ") for r in rows]
+        number: dict[str, int] = {}
+        width = max(map(len, split), default=1)
+        grid, many = np.full((len(rows), width), -1, np.int32), np.full((len(rows), width), np.iinfo(np.int64).max)
         pairs = set()
-        for w in grid.tolist():
-            places = sorted({t: i for i, t in reversed(list(enumerate(w))) if t >= 0}.items(), key=lambda x: (share[x[0]], x[1]))[:2]
-            if len(places) == 2:
-                (a, i), (b, j) = places
-                pairs.add((a, b, abs(i - j)))
-        near = np.array(sorted(pairs), np.int64).reshape(-1, 3)
-        return cls(hashes[order], [vocab[j] for j in order], grid, (grid >= 0).sum(1), [list(x) for x in found.values()], near)
+        for k, (w, (_, _, rare)) in enumerate(zip(split, rows, strict=True)):
+            often = {term: n for n, _, term in rare}
+            grid[k, : len(w)] = [number.setdefault(t, len(number)) for t in w]
+            many[k, : len(w)] = [often[t] for t in w]
+            if len(rare) > 1:
+                (_, i, a), (_, j, b) = rare[:2]
+                pairs.add((number[a], number[b], abs(i - j)))
+        return cls(number, grid, np.argsort(many, axis=1, kind="stable").astype(np.int8 if width < 128 else np.int32), (grid >= 0).sum(1), [r[1] for r in rows], np.array(sorted(pairs), np.int64).reshape(-1, 3))
+
+
+def window_blocks(weighed_windows: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[TestWindows]:
+    """The windows in blocks, one at a time on the driver; windows with the same two rarest terms share a block."""
+    size = weighed_windows.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
+    n = max(1, -(-size // (block_bytes * WINDOW)))
+    two = F.xxhash64(F.col("rare.term")[0], F.when(F.size("rare") > 1, F.col("rare.term")[1]))
+    for k in range(n):
+        rows = weighed_windows.filter(F.pmod(two, F.lit(n)) == k).orderBy("phrase").collect()
+        yield TestWindows.build([(r.phrase, list(r["items"]), [tuple(t) for t in r.rare]) for r in rows])
 
 
-@dataclass
-class Postings:
-    """A positional inverted index of one step of the corpus, for the test's terms."""
+# ---------------------------------------------------------------- the search
 
-    count: np.ndarray  # length of each term's list
-    first: np.ndarray  # where it begins in positions
-    positions: np.ndarray  # ascending within each term
-    keys: np.ndarray  # term << 40 | position, ascending
 
-    @classmethod
-    def build(cls, numbers: np.ndarray, n_terms: int) -> Postings:
-        """``numbers``: the term number of every token, -1 if no test has it."""
-        at = np.flatnonzero(numbers >= 0)
-        term = numbers[at]
-        order = np.argsort(term, kind="stable")
-        term, at = term[order], at[order]
-        count = np.bincount(term, minlength=n_terms)
-        return cls(count, np.cumsum(count) - count, at, (term << 40) | at)
+class Lists:
+    """The postings of a segment for the terms of a block."""
+
+    def __init__(self, segment: Segment, tests: TestWindows) -> None:
+        n = len(tests.number)
+        at = [(tests.number[t], i) for i, t in enumerate(segment.terms) if t in tests.number]
+        number, own = np.array(at, np.int64).reshape(-1, 2).T
+        order = np.argsort(number)
+        number, own = number[order], own[order]
+        self.count = np.zeros(n, np.int64)
+        self.count[number] = segment.count[own]
+        self.head = np.cumsum(self.count) - self.count
+        owner, entry = expanded(segment.count[own])
+        self.positions = segment.positions[segment.head[own][owner] + entry]
+        self.keys = (number[owner] << 40) | self.positions  # ascending
 
     def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -105,224 +242,136 @@ class Postings:
         return (self.keys[i] == key) & (position >= 0)
 
 
-def expanded(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For lists of the given lengths: which list, and which entry of it, one after another."""
-    owner = np.repeat(np.arange(len(count)), count)
-    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-
-
-def phrase_matches(index: Postings, tests: TestWindows, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(window, first token)`` of every exact occurrence that lies within one row."""
+def phrase_matches(lists: Lists, tests: TestWindows, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(window, first token)`` of every exact occurrence that lies within one document."""
     grid = tests.windows
-    many = np.where(grid >= 0, index.count[np.maximum(grid, 0)], np.iinfo(np.int64).max)
-    live = np.flatnonzero(many.min(1, initial=np.iinfo(np.int64).max) > 0) if len(grid) else np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64)
+    if not len(grid):
+        return none, none
+    live = np.flatnonzero(((lists.count[grid] > 0) | (grid < 0)).all(1))
     if not len(live):
-        return live, live
-    rare_first = np.argsort(many[live], axis=1, kind="stable")
-    term = grid[live, rare_first[:, 0]]
-    owner, entry = expanded(index.count[term])
-    start = index.positions[index.first[term[owner]] + entry] - rare_first[owner, 0]
-    inside = (start >= 0) & (start + tests.length[live[owner]] <= len(row))
+        return none, none
+    rare_first = tests.rare_first[live].astype(np.int64)
+    term = grid[live, rare_first[:, 0]].astype(np.int64)
+    owner, entry = expanded(lists.count[term])
+    start = lists.positions[lists.head[term[owner]] + entry] - rare_first[owner, 0]
+    inside = (start >= 0) & (start + tests.length[live[owner]] <= first[-1])
     owner, start = owner[inside], start[inside]
     for k in range(1, grid.shape[1]):
         if not len(owner):
             break
         place = rare_first[owner, k]
-        term = grid[live[owner], place]
-        keep = (term < 0) | index.holds(np.maximum(term, 0), start + place)
+        term = grid[live[owner], place].astype(np.int64)
+        keep = (term < 0) | lists.holds(np.maximum(term, 0), start + place)
         owner, start = owner[keep], start[keep]
     window = live[owner]
-    same = row[start] == row[start + tests.length[window] - 1] if len(start) else np.zeros(0, bool)
+    same = np.searchsorted(first, start, "right") == np.searchsorted(first, start + tests.length[window] - 1, "right")
     return window[same], start[same]
 
 
-def proximity_matches(index: Postings, tests: TestWindows, row: np.ndarray, slop: int, n_rows: int) -> np.ndarray:
-    """How many places of each row have a window's two rarest terms (by the windows that have
-    them) within ``slop`` tokens of their distance in the window, in either order."""
-    out = np.zeros(n_rows, np.int64)
-    pairs = tests.pairs[(index.count[tests.pairs[:, 0]] > 0) & (index.count[tests.pairs[:, 1]] > 0)] if len(tests.pairs) else tests.pairs
-    for a, b, apart in pairs.tolist():
-        first, second = (index.positions[index.first[t] : index.first[t] + index.count[t]] for t in (a, b))
-        lo, hi = np.searchsorted(second, first - apart - slop), np.searchsorted(second, first + apart + slop, "right")
-        owner, entry = expanded(hi - lo)
-        same = row[second[lo[owner] + entry]] == row[first[owner]]
-        out += np.bincount(row[first[np.unique(owner[same])]], minlength=n_rows)
-    return out
-
-
-def _search(data: np.ndarray, offsets: np.ndarray, blocks: list[TestWindows], slop: int | None) -> list[tuple[int, int, list[str], int]]:
-    """For each row: words, words hit, items, places near a window."""
-    n = len(offsets) - 1
-    data = tk.lowered(data)
-    starts, ends, first = tk.spans(data, offsets, tk.NON_ALNUM)
-    row, hashes = tk.row_of(first), tk.span_hashes(data, starts, ends)
-    cover, items, near = np.zeros(len(starts) + 1, np.int64), [set() for _ in range(n)], np.zeros(n, np.int64)
-    for tests in blocks:
-        if not len(tests.terms) or not len(hashes):
-            continue
-        i = np.minimum(np.searchsorted(tests.terms, hashes), len(tests.terms) - 1)
-        index = Postings.build(np.where(tests.terms[i] == hashes, i, -1), len(tests.terms))
-        window, start = phrase_matches(index, tests, row)
-        for k, (w, s) in enumerate(zip(window.tolist(), start.tolist(), strict=True)):
-            length = int(tests.length[w])
-            if any(data[starts[s + j] : ends[s + j]].tobytes() != tests.texts[tests.windows[w, j]] for j in range(length)):
-                continue  # a hash that two terms share
-            cover[s] += 1
-            cover[s + length] -= 1
-            items[row[s]].update(tests.items[w])
-        if slop is not None:
-            near += proximity_matches(index, tests, row, slop, n)
-    hit = np.cumsum(cover[:-1]) > 0
-    n_hit = np.bincount(row[hit], minlength=n)
-    return list(zip(np.diff(first).tolist(), n_hit.tolist(), (sorted(x) for x in items), near.tolist(), strict=True))
-
-
-def benchmark_bytes(benchmark: DataFrame) -> int:
-    return benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-
-
-def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[TestWindows]:
-    """The benchmark's windows in blocks; only one block's rows are on the driver at a time."""
-    n = max(1, -(-benchmark_bytes(benchmark) // block_bytes))
-    for k in range(n):
-        rows = benchmark.filter(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)).select(F.col("item_id").cast("string"), "text").collect()
-        yield TestWindows.build(sorted({(r[0], r[1] or "") for r in rows}), width)
-
-
-def _windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int], whole_short: int = 0) -> tuple[np.ndarray, ...]:
-    """``(row, first word, length, hash, hash)`` of all windows of these sizes; with
-    ``whole_short``, instead those of that size and the whole of rows with fewer words."""
-    data = tk.lowered(data)
-    starts, ends, first = tk.spans(data, offsets, tk.NON_ALNUM)
-    word, row, at = [tk.span_hashes(data, starts, ends, b) for b in (0, 1)], tk.row_of(first), np.arange(len(starts))
-    end = first[row + 1] if len(row) else at
-    parts = []
-    for size in [whole_short] if whole_short else sizes:
-        s = np.flatnonzero(at + size <= end)
-        parts.append((s, np.full(len(s), size)))
-    if whole_short:
-        n = np.diff(first)
-        few = np.flatnonzero((n > 0) & (n < whole_short))
-        parts.append((first[few], n[few]))
-    s, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (at[:0], at[:0])
-    w1, w2 = (tk.span_hashes(word[b], s, s + n, 1 - b).view(np.int64) for b in (0, 1))
-    return row[s], s - first[row[s]], n, w1, w2
-
-
-def _window_rows(df: DataFrame, key: str, kind: str, sizes: list[int], whole_short: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in tk.chunks(batch.column(1)):
-                row, s, n, w1, w2 = _windows(data, offsets, sizes, whole_short)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(w1), pa.array(w2)], names=[key, "s", "n", "w1", "w2"])
+def proximity_matches(lists: Lists, tests: TestWindows, first: np.ndarray, slop: int) -> np.ndarray:
+    """How many places of each document have one of a window's two rarest terms with the other at
+    most ``slop`` tokens farther away than in the window, on either side."""
+    n = len(first) - 1
+    pairs = tests.pairs
+    pairs = pairs[(lists.count[pairs[:, 0]] > 0) & (lists.count[pairs[:, 1]] > 0)] if len(pairs) else pairs
+    if not len(pairs):
+        return np.zeros(n, np.int64)
+    owner, entry = expanded(lists.count[pairs[:, 0]])
+    at = lists.positions[lists.head[pairs[owner, 0]] + entry]
+    doc = np.searchsorted(first, at, "right") - 1
+    other, reach = pairs[owner, 1] << 40, pairs[owner, 2] + slop
+    lo = np.searchsorted(lists.keys, other | np.maximum(at - reach, first[doc]))
+    hi = np.searchsorted(lists.keys, other | np.minimum(at + reach, first[doc + 1] - 1), "right")
+    return np.bincount(doc[hi > lo], minlength=n)
 
-    return df.select(key, "text").mapInArrow(run, f"{key} {kind}, s int, n int, w1 bigint, w2 bigint")
 
+_FOUND = "segment bigint, place int, doc_id bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<string>, n_near bigint"
 
-def contamination_by_join(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The columns of :func:`contamination` (but ``n_near``) for a benchmark of any size.
 
-    Windows of both sides meet by two 64-bit hashes and their length.  Rows that repeat an id
-    and its text are one document here and each get a row again at the end.
+def _search(index: DataFrame, tests: TestWindows, slop: int) -> DataFrame:
+    """A row for every document of the index: what the windows of a block hit in it."""
+    sent = index.sparkSession.sparkContext.broadcast(tests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment, ids, s in Segment.each(batches):
+            tests, n = sent.value, len(s.first) - 1
+            lists = Lists(s, tests)
+            window, start = phrase_matches(lists, tests, s.first)
+            near = proximity_matches(lists, tests, s.first, slop)
+            spans: list[list] = [[] for _ in range(n)]
+            items: list[set] = [set() for _ in range(n)]
+            doc = np.searchsorted(s.first, start, "right") - 1
+            for w, d, a, b in zip(window.tolist(), doc.tolist(), (start - s.first[doc]).tolist(), (start - s.first[doc] + tests.length[window]).tolist(), strict=True):
+                spans[d].append({"a": a, "b": b})
+                items[d].update(tests.items[w])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([segment] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(np.diff(s.first)), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(near)],
+                names=["segment", "place", "doc_id", "n_words", "spans", "items", "n_near"],
+            )
+
+    return index.select("segment", "ids", "first", "terms", "count", "gaps").mapInArrow(run, _FOUND)
+
+
+def covered(spans: pa.Array) -> pa.Array:
+    """How many words the spans of each row cover."""
+    out = []
+    for row in spans.to_pylist():
+        total, reach = 0, 0
+        for a, b in sorted((s["a"], s["b"]) for s in row or ()):
+            total += max(0, b - max(a, reach))
+            reach = max(reach, b)
+        out.append(total)
+    return pa.array(out, pa.int64())
+
+
+def matches(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(doc_id, n_words, spans, items, n_near)`` for every document of an index from :func:`build_index`.
+
+    ``spans`` are the exact occurrences of windows (first word, end), ``items`` whose they are,
+    ``n_near`` the proximity matches.  See :func:`contamination`.
     """
-    tests = stash(_window_rows(benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text"), "item_id", "string", [], width).select("item_id", "n", "w1", "w2").distinct())
-    sizes = sorted(r[0] for r in tests.select("n").distinct().collect())  # at most `width` numbers
-    # A document is its id and text; the key holds both as text.
-    keyed = docs.select("doc_id", "text", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha1(F.coalesce("text", F.lit("")).cast("binary"))).alias("doc"))
-    places = _window_rows(keyed.select("doc", "text").dropDuplicates(["doc"]), "doc", "string", sizes, 0)
-    hits = stash(places.join(tests, ["n", "w1", "w2"]).select("doc", "s", "n", "item_id"))
-    covered = hits.select("doc", F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("at")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
-    listed = hits.groupBy("doc").agg(F.collect_set("item_id").alias("items"))
+    ready = stash(weighed(stash(test_windows(benchmark, width)), index))
+    found = None
+    for tests in window_blocks(ready, block_bytes):
+        one = _search(index, tests, slop)
+        found = one if found is None else stash(_merged(found.unionByName(one)))
+    discard(ready)
+    return found.drop("segment", "place")
 
-    def count(text: pa.Array) -> pa.Array:
-        return pa.array([n for _, _, data, offsets in tk.chunks(text) for n in np.diff(tk.spans(tk.lowered(data), offsets, tk.NON_ALNUM)[2]).tolist()], pa.int64())
 
-    counted = keyed.select("doc_id", "doc", F.arrow_udf(count, "bigint")("text").alias("n_words"))
-    out = counted.join(covered.join(listed, "doc"), "doc", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items").cast("long"), F.lit(0)).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row a document of what two blocks found."""
+    both = rows.groupBy("segment", "place", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_near").alias("n_near"))
+    return both.select("segment", "place", "doc_id", "n_words", "spans", "items", "n_near")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items array<string>, n_near, contaminated)`` for every row.
 
     A window is ``width`` consecutive words of an item; an item with fewer words, but not
     none, is one window.  A word of a document inside any occurrence of a window is hit;
-    ``items`` are those with an occurring window.  With ``slop``, ``n_near`` counts the
-    places where a window's two rarest terms stand about as close as in the window.
+    ``items`` are those with an occurring window.  ``n_near`` counts proximity: places of the
+    rarer of a window's two rarest terms (by tokens of the corpus; ties: the earlier place)
+    that have the other one at most ``slop`` words farther away than in the window.
 
     A null or empty text has no words; items without words or id match nothing; repeated
     items or windows count once, repeated rows of ``docs`` each get a row; other columns are
-    ignored.  A benchmark over ``block_bytes`` is searched block by block within the same
-    pass over the corpus; one over ``broadcast_bytes`` by :func:`contamination_by_join`,
-    where ``n_near`` is null.
+    ignored; an empty table gives no rows.  The benchmark may have any size: it is searched in
+    blocks, each a pass over the stored index.
     """
-    spark = docs.sparkSession
-    if benchmark_bytes(benchmark) > broadcast_bytes:
-        return contamination_by_join(docs, benchmark, width).withColumn("n_near", F.lit(None).cast("long")).select("doc_id", "n_words", "n_hit", "n_items", "items", "n_near", "contaminated")
-    sent = [spark.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark, width, block_bytes)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in tk.chunks(batch.column(1)):
-                found = _search(data, offsets, [x.value for x in sent], slop)
-                n_words, n_hit, items, near = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(near, pa.int64()), pa.array([x > 0 for x in n_hit])],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items", "n_near", "contaminated"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<string>, n_near bigint, contaminated boolean")
-
-
-def contaminated(benchmark: DataFrame, text: str = "text", width: int = WINDOW) -> Column:
-    """Whether a text holds a window of the benchmark: :func:`contamination`'s decision as a column.
-
-    For a benchmark of at most BROADCAST_BYTES; ValueError for a larger one (join with
-    :func:`contamination_by_join` then).
-    """
-    spark = benchmark.sparkSession
-    if benchmark_bytes(benchmark) > BROADCAST_BYTES:
-        raise ValueError("the benchmark is too large to send to every task")
-    sent = [spark.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark, width)]
-
-    @F.arrow_udf("boolean")
-    def decide(column: pa.Array) -> pa.Array:
-        blocks = [x.value for x in sent]
-        return pa.array([n_hit > 0 for _, _, data, offsets in tk.chunks(column) for _, n_hit, _, _ in _search(data, offsets, blocks, None)], pa.bool_())
-
-    return decide(text)
-
-
-def postings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The index as a table: ``(term, doc_id, positions array<int>)`` for the benchmark's terms.
-
-    For storing the postings or for looking at them; :func:`contamination` builds the same
-    lists step by step.  Positions count words from 0 within the document.
-    """
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark, WINDOW)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in tk.chunks(batch.column(1)):
-                data = tk.lowered(data)
-                starts, ends, first = tk.spans(data, offsets, tk.NON_ALNUM)
-                row, hashes = tk.row_of(first), tk.span_hashes(data, starts, ends)
-                ids = batch.column(0).slice(a, b - a).to_pylist()
-                for tests in (x.value for x in sent):
-                    if not len(tests.terms) or not len(hashes):
-                        continue
-                    i = np.minimum(np.searchsorted(tests.terms, hashes), len(tests.terms) - 1)
-                    at = np.flatnonzero(tests.terms[i] == hashes)
-                    lists = defaultdict(list)
-                    for t, r, p in zip(i[at].tolist(), row[at].tolist(), (at - first[row[at]]).tolist(), strict=True):
-                        lists[r, t].append(p)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([tests.texts[t].decode("utf-8", "replace") for _, t in lists], pa.string()), pa.array([ids[r] for r, _ in lists], pa.int64()), pa.array(list(lists.values()), pa.list_(pa.int32()))],
-                        names=["term", "doc_id", "positions"],
-                    )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "term string, doc_id bigint, positions array<int>")
+    index = stash(build_index(docs))
+    found = matches(index, benchmark, width, slop, block_bytes)
+    hit = found.withColumn("n_hit", F.arrow_udf(covered, "bigint")("spans"))
+    return hit.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "n_near", (F.size("spans") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark, with all their columns."""
+    key, name = tk.row_key("doc_id", "text"), max(docs.columns, key=len) + "_"
+    found = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, width)
+    held = stash(found.filter("contaminated").select(F.col("doc_id").alias(name)).distinct())
+    return docs.withColumn(name, key).join(held, name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def items_digest(items: list[str]) -> str:

@@ -37,7 +37,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of the benchmark that every document holds."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +105,17 @@ ORACLES: dict[str, str] = {
             where i + n - 1 <= len(w)),
         hit as (select row, i, h.n, item_id from place h join win using (phrase) where h.n = win.n),
         covered as (select row, count(distinct p) as n_hit from (select row, unnest(generate_series(i, i + n - 1)) as p from (select distinct row, i, n from hit)) group by row),
-        listed as (select row, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items from hit group by row)
+        listed as (select row, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items from hit group by row),
+        token as (select row, unnest(w) as term, unnest(generate_series(1, len(w))) as at from doc),
+        often as (select term, count(*) as n from token group by term),
+        word as (select phrase, unnest(string_split(phrase, ' ')) as term, unnest(generate_series(1, n)) as place from (select distinct phrase, n from win)),
+        rare as (select phrase, term, place, row_number() over (partition by phrase order by n, place) as k from (select phrase, term, min(place) as place from word group by all) join often using (term)),
+        pair as (select distinct a.term as a, b.term as b, abs(a.place - b.place) + 2 as reach from rare a join rare b using (phrase) where a.k = 1 and b.k = 2
+                 and phrase not in (select phrase from word where term not in (select term from often))),
+        close as (select row, count(*) as n_near from (select distinct x.row, a, b, reach, x.at from pair join token x on x.term = a join token y on y.term = b and y.row = x.row and abs(y.at - x.at) <= reach) group by row)
         select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-               sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-        from doc left join covered using (row) left join listed using (row)""",
+               sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near
+        from doc left join covered using (row) left join listed using (row) left join close using (row)""",
     "op6_substring_dedup": r"""
         with
         doc as (select doc_id, row_number() over () as row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
