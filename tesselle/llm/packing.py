@@ -11,6 +11,7 @@ pieces find their r by counts per partition, without gathering a length anywhere
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -60,12 +61,42 @@ def load_vocabulary(path: str) -> dict:
     return {"ranks": {bytes(letters[c] for c in t): i for t, i in words.items()}, "special": special}
 
 
+#: Runs of this many blanks are cut out before the splitting pattern runs, whose look-ahead recurses over them.
+LONG_BLANK = 1000
+#: White space in Unicode's sense, as the pattern has it (a fixed value).
+_BLANKS = "[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def encoder(vocabulary: dict) -> Callable[[str], list[int]]:
-    """``text -> ids``, the ids that the vocabulary's own library gives."""
+    """``text -> ids``, the ids that the vocabulary's own library gives.
+
+    The splitting pattern makes all of a run of blanks but its last character one piece (all of
+    it at a text's or special token's edge).  A very long run is taken out as that piece here.
+    """
     import tiktoken
 
     made = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=vocabulary["ranks"], special_tokens=vocabulary["special"])
-    return lambda text: made.encode(text, allowed_special="all")
+    long = re.compile(_BLANKS + "{%d,}" % LONG_BLANK)
+    special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary["special"], key=len, reverse=True))) + ")") if vocabulary["special"] else None
+    whole = lambda text: made.encode(text, allowed_special="all")
+
+    def between(text: str) -> list[int]:
+        """Ids of a text without special tokens."""
+        out, done = [], 0
+        for run in long.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += made.encode_ordinary(text[done : run.start()])
+            out += made._encode_single_piece(text[run.start() : end])
+            done = end
+        return out + made.encode_ordinary(text[done:])
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_BLANK or not long.search(text):
+            return whole(text)
+        parts = special.split(text) if special else [text]
+        return [i for k, part in enumerate(parts) for i in (whole(part) if k % 2 else between(part))]
+
+    return encode
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -216,8 +247,9 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, with_i
     counts = stash(rows.groupBy("part", "length").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     plan = docs.sparkSession.sparkContext.broadcast(best_fit_decreasing(histogram, capacity))
+    # A row for each partition and length: it grows with the corpus, so it's never broadcast.
     base = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
-    ranked = rows.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("k")).alias("rank"), *["ids"] * with_ids)
+    ranked = rows.join(base.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("k")).alias("rank"), *["ids"] * with_ids)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
