@@ -17,25 +17,26 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
 
 
-#: A sample is drawn for at most this many groups, the most frequent ones, and has about this many texts at most.
-MAX_GROUPS, MAX_TEXTS = 1000, 8000
+def group_sizes(known: DataFrame) -> list[tuple]:
+    """``(group, rows)`` of every group of ``known (doc_id, group)``, by group: a row for each label or language."""
+    known = known.filter("doc_id is not null and group is not null")
+    return sorted((r.group, r.n) for r in known.groupBy("group").agg(F.count("*").alias("n")).collect())
 
 
-def sample(docs: DataFrame, known: DataFrame, rows: int, max_bytes: int) -> list[tuple]:
-    """``(group, text)`` of about ``rows`` documents of each group (fewer of many groups), sorted.
+def sample(docs: DataFrame, known: DataFrame, sizes: list[tuple], rows: int, max_bytes: int) -> list[tuple]:
+    """``(group, text)`` of about ``rows`` documents of each of the groups ``sizes``, sorted.
 
     ``known`` is ``(doc_id, group)``.  Rows are chosen by a hash of doc_id, over narrow
     columns; only the chosen ids (at most ``2 * rows`` a group) are broadcast to fetch their
-    texts.  Texts over ``max_bytes`` are left out of the sample.
+    texts.  Texts over ``max_bytes`` are left out of the sample.  What is held at once is bounded by
+    the number of groups asked for.
     """
-    spark = docs.sparkSession
-    known = known.filter("doc_id is not null and group is not null").select("doc_id", "group")
-    sizes = known.groupBy("group").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group").limit(MAX_GROUPS).collect()
     if not sizes:
         return []
-    rows = min(rows, max(1, MAX_TEXTS // len(sizes)))
-    share = spark.createDataFrame([(r.group, rows / r.n) for r in sizes], known.select("group").schema.add("share", "double"))
-    chosen = known.join(F.broadcast(share), "group").filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.lit(1_000_000) * F.col("share"))
+    spark = docs.sparkSession
+    known = known.filter("doc_id is not null and group is not null").select("doc_id", "group")
+    share = spark.createDataFrame([(g, rows / n) for g, n in sizes], known.select("group").schema.add("share", "double"))
+    chosen = known.join(F.broadcast(share), "group").filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000_000)) < F.lit(1_000_000_000) * F.col("share"))
     ids = chosen.select("doc_id", "group").distinct().limit(2 * rows * len(sizes))
     got = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "doc_id")
     return sorted((r.group, r.text) for r in got.select("group", "text").toLocalIterator())

@@ -12,7 +12,6 @@ table, shared by all languages; scoring a text is two array look-ups a byte.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm import textkit as tk
-from tesselle.llm.labelled import held_out, sample
+from tesselle.llm.labelled import group_sizes, held_out, sample
 
 ORDER = 3
 #: The trees are learned from at most about this many texts a language, each of at most so many bytes.
 SAMPLE_TEXTS, SAMPLE_BYTES = 1000, 20_000
 #: Contexts of two or more bytes are held if they occur this often in a language's sample.
 LEAST = 24
+#: So many languages are learned together; each one's code lengths are the same whichever they are.
+TOGETHER = 16
 _LETTER = tk.lut([*range(65, 91), *range(97, 123)])
-_ANY_LETTER = re.compile(r"[^\W\d_]")
 _START = 32  # what stands before a text's first byte
 
 
@@ -89,6 +89,8 @@ class ContextTrees:
                 at = np.searchsorted(wanted, key // size)
                 keep = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == key // size) if len(wanted) else np.zeros(len(key), bool)
                 table[at[keep], key[keep] % size, k] = n[keep]
+            if order > 1:  # another language's context is none of this one's if it's too rare here
+                table[np.broadcast_to(table.sum(1, keepdims=True) < LEAST, table.shape)] = 0
             if order:
                 # The context one byte shorter, or the longest held one after that.
                 shorter = np.array([_longest(held, c % size ** (order - 1), order - 1, size) for c in wanted.tolist()], np.int64)
@@ -138,47 +140,55 @@ def _longest(held: list[dict[int, int]], context: int, order: int, size: int) ->
     return held[order][context if order else 0]
 
 
-def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES) -> ContextTrees | None:
-    """Trees from a bounded sample of the labelled rows that aren't held out; None without any.
+def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES) -> list[ContextTrees]:
+    """Trees of all languages, TOGETHER in each, from bounded samples of the labelled rows that aren't held out.
 
-    The driver gets at most 2 * ``texts`` texts a language, each of at most ``max_bytes``
-    bytes (chosen by a hash of doc_id).  Languages are those with a non-null ``lang``.
+    The driver holds at most 2 * ``texts`` texts of TOGETHER languages at a time, each of at most
+    ``max_bytes`` bytes (chosen by a hash of doc_id).  Languages are those with a non-null ``lang``.
     """
-    samples: dict[str, list[bytes]] = {}
-    for lang, text in sample(docs, docs.filter(~held_out()).select("doc_id", F.col("lang").alias("group")), texts, max_bytes):
-        samples.setdefault(lang, []).append(text.encode())
-    return ContextTrees.learn(samples) if samples else None
+    known = docs.filter(~held_out()).select("doc_id", F.col("lang").alias("group"))
+    sizes = group_sizes(known)
+    out = []
+    for at in range(0, len(sizes), TOGETHER):
+        samples: dict[str, list[bytes]] = {}
+        for lang, text in sample(docs, known, sizes[at : at + TOGETHER], texts, max_bytes):
+            samples.setdefault(lang, []).append(text.encode())
+        if samples:
+            out.append(ContextTrees.learn(samples))
+    return out
 
 
 def identify(docs: DataFrame, unknown: str = "und") -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, n_bits)`` for every row of ``docs``.
 
     ``score`` is the share of the best language if code lengths are taken as log
-    probabilities; ``n_bits`` its code length.  A null text, and one without any letter, is
-    ``und`` with score 0 (as is every text if nothing could be learned); of languages with
-    equal code lengths the first by name wins.  Whole texts are scored; repeated rows each
-    get a row; a null doc_id is kept; other columns are ignored; an empty table gives none.
+    probabilities; ``n_bits`` its code length.  A null text, and one without any letter
+    (Unicode's categories of letters; numerals and symbols are none), is ``und`` with score 0
+    (as is every text if nothing could be learned); of languages with equal code lengths the
+    first by name wins.  Whole texts are scored; repeated rows each get a row; a null doc_id is
+    kept; other columns are ignored; an empty table gives none.
     """
     trees = learn(docs)
+    languages = np.array([x for t in trees for x in t.languages] or [unknown], object)
     sent = docs.sparkSession.sparkContext.broadcast(trees)
     names = ["doc_id", "held_out", "lang_pred", "score", "n_bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        models = sent.value
         for batch in batches:
             for a, b, data, offsets in tk.chunks(batch.column(2), tk.CHUNK_BYTES // 2):
                 letters = tk.per_row(_LETTER[data], offsets) > 0
                 for i in np.flatnonzero(~letters).tolist():
-                    letters[i] = bool(_ANY_LETTER.search(data[offsets[i] : offsets[i + 1]].tobytes().decode()))
-                if model is None:
+                    letters[i] = any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode()))
+                if not models:
                     bits, best, score = np.zeros((b - a, 1)), np.zeros(b - a, int), np.zeros(b - a)
                     letters[:] = False
                 else:
-                    bits = model.lengths(data, offsets)
+                    bits = np.concatenate([m.lengths(data, offsets) for m in models], axis=1)
                     best = bits.argmin(1)
                     least = bits[np.arange(b - a), best]
                     score = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
-                pred = np.where(letters, np.array(model.languages if model else [unknown], object)[best], unknown)
+                pred = np.where(letters, languages[best], unknown)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(bits[np.arange(b - a), best])],
                     names=names,

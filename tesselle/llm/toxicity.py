@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm import textkit as tk
-from tesselle.llm.labelled import held_out, one_label, sample
+from tesselle.llm.labelled import group_sizes, held_out, one_label, sample
 
 #: Words of a window, bytes of a word that its beginning has, bytes of a word code, and of those the beginning's.
 WINDOW, STEM, CODE, STEM_CODE = 16, 5, 8, 6
@@ -164,7 +164,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, texts: int
     is scored; other columns are ignored; an empty table gives no rows.
     """
     known = one_label(labels, "toxic").filter(~held_out()).select("doc_id", F.col("y").alias("group"))
-    sent = docs.sparkSession.sparkContext.broadcast(Model.learn(sample(docs, known, texts, SAMPLE_BYTES)))
+    sent = docs.sparkSession.sparkContext.broadcast(Model.learn(sample(docs, known, group_sizes(known), texts, SAMPLE_BYTES)))
     names = ["doc_id", "held_out", "score", "predicted", "saved_bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
