@@ -18,10 +18,10 @@ def make(spark):
 
 @pytest.fixture(scope="session")
 def odd_rows():
-    """Null and empty texts, a null id, one word, a very long text, copies and repeated rows."""
+    """Null and empty texts, a null id, one word, very long texts and runs of blanks, copies and repeated rows."""
     base = "The quick brown fox jumps over the lazy dog while seven other animals watch it closely."
     long = " ".join(f"word{i % 977}" for i in range(60_000))
-    return [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, base), (6, base), (5, base), (None, base), (7, long), (8, "é" * 5000), (9, base + "\n" + base), (9, "another text under the same id, which is allowed"), (10, "a,b;c!" * 50), (11, "0123 4567\x00\x01 <|endoftext|> x")]
+    return [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, base), (6, base), (5, base), (None, base), (7, long), (8, "é" * 5000), (9, base + "\n" + base), (9, "another text under the same id, which is allowed"), (10, "a,b;c!" * 50), (11, "0123 4567\x00\x01 <|endoftext|> x"), (12, "a" + " " * 1_000_000 + "b\n" + "\n" * 5000 + "<|endoftext|>" + "\t" * 3000)]
 
 
 @pytest.fixture(scope="session")

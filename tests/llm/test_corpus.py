@@ -51,21 +51,53 @@ def test_contamination_brute_force(spark, make, odd_rows, real):
     items += [(str(200 + r.doc_id), " ".join((r.text or "").split()[20:45])) for r in real.limit(5).collect()]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id string, text string, n_words int")
     want = plain_contamination(rows, [(i, t) for i, t in items if i is not None])
-    for size, most in ((decontaminate.BLOCK_BYTES, 1 << 25), (400, 1 << 25), (400, 0)):
-        out = decontaminate.contamination(make(rows), bench, block_bytes=size, broadcast_bytes=most).select("doc_id", "n_words", "n_hit", "n_items", F.array_join(F.array_sort("items"), ",").alias("i"), "contaminated")
-        assert Counter(map(tuple, out.collect())) == want
-    held = {r.doc_id for r in make(rows).filter(decontaminate.contaminated(bench)).collect()}
-    assert held == {k[0] for k in want if k[-1]}
-    assert decontaminate.contamination(make([]), bench).count() == 0
+    near = plain_proximity(rows, [(i, t) for i, t in items if i is not None])
+    for size in (decontaminate.BLOCK_BYTES, 400):
+        out = decontaminate.contamination(make(rows), bench, block_bytes=size).select("doc_id", "n_words", "n_hit", "n_items", F.array_join(F.array_sort("items"), ",").alias("i"), "contaminated", "n_near").collect()
+        assert Counter(tuple(r)[:6] for r in out) == want
+        assert Counter((r.doc_id, r.n_words, r.n_near) for r in out) == near
+    held = {k[0] for k in want if k[-1]}
+    kept = decontaminate.clean(make(rows).withColumn("_held", F.lit(1)), bench)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, *_, bad in want.elements() if not bad) and "_held" in kept.columns
+    assert held and decontaminate.contamination(make([]), bench).count() == 0
     assert decontaminate.contamination(make(rows), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def plain_proximity(docs, items, width=10, slop=2):
+    texts = [(d, words(t)) for d, t in docs]
+    often = Counter(t for _, w in texts for t in w)
+    pairs = set()
+    for _, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            place = {t: j for j, t in reversed(list(enumerate(w[i : i + width])))}
+            rare = sorted(place, key=lambda t: (often[t], place[t]))[:2]
+            if len(rare) == 2:
+                pairs.add((*rare, abs(place[rare[0]] - place[rare[1]])))
+    out = []
+    for d, w in texts:
+        at = defaultdict(list)
+        for i, t in enumerate(w):
+            at[t].append(i)
+        out.append((d, len(w), sum(any(abs(x - y) <= apart + slop for y in at[b]) for a, b, apart in pairs for x in at[a])))
+    return Counter(out)
+
+
 def test_proximity_and_postings(spark, make):
     bench = spark.createDataFrame([("1", "alpha beta")], "item_id string, text string")
     docs = make([(1, "alpha x beta"), (2, "beta alpha"), (3, "alpha " + "x " * 30 + "beta"), (4, None)])
     assert {r.doc_id: r.n_near > 0 for r in decontaminate.contamination(docs, bench, slop=3).collect()} == {1: True, 2: True, 3: False, 4: False}
-    got = {(r.term, r.doc_id): r.positions for r in decontaminate.postings(docs, bench).collect()}
-    assert got["beta", 1] == [2] and got["alpha", 2] == [1] and got["beta", 3] == [31]
+    got = {(r.term, r.doc_id): r.positions for r in decontaminate.postings(decontaminate.build_index(docs)).collect()}
+    assert got["beta", 1] == [2] and got["alpha", 2] == [1] and got["beta", 3] == [31] and got["x", 3] == list(range(1, 31)) and len(got) == 8
+
+
+def test_terms_are_told_apart_by_their_bytes(monkeypatch):
+    data = np.frombuffer(b"ab cd ab ef", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
+    plain = decontaminate.numbered(data, starts, ends)[0]
+    monkeypatch.setattr(decontaminate.tk, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    number, some = decontaminate.numbered(data, starts, ends)
+    assert number.tolist() == [0, 1, 0, 2] and some.tolist() == [0, 1, 3] and plain[0] == plain[2] and len(set(plain.tolist())) == 3
 
 
 # ---------------------------------------------------------------- packing

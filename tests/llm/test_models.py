@@ -124,14 +124,24 @@ def test_code_length_of_a_plain_ppm():
 
 def test_no_letters_is_unknown(make):
     rows = [(i, "the cat sat on the mat and looked at the dog " * 3, "en") for i in range(20)] + [(50 + i, "der hund und die katze sind nicht im haus gewesen " * 3, "de") for i in range(20)]
-    odd = [(100, None, None), (101, "", None), (102, "123 ... 456", None), (103, "日本語", None), (104, "der hund", None), (104, "der hund", None), (None, "the cat", None)]
+    odd = [(100, None, None), (101, "", None), (102, "123 ... 456", None), (105, "½ ² ① Ⅷ", None), (103, "日本語", None), (104, "der hund", None), (104, "der hund", None), (None, "the cat", None)]
     out = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(make(rows + odd)).filter("doc_id >= 100 or doc_id is null").collect()]
     got = {d: p for d, p, _ in out}
-    assert len(out) == 7 and got[100] == got[101] == got[102] == "und" and got[103] != "und" and got[104] == "de" and got[None] == "en"
+    assert len(out) == 8 and got[100] == got[101] == got[102] == got[105] == "und" and got[103] != "und" and got[104] == "de" and got[None] == "en"
     assert all(s == 0 for d, p, s in out if p == "und")
     assert [r.lang_pred for r in language.identify(make([(1, "text", None)])).collect()] == ["und"] and language.identify(make([])).count() == 0
 
 
+def test_languages_are_learned_each_for_itself(make, monkeypatch):
+    rng = np.random.default_rng(4)
+    stock = ["".join(rng.choice(list("abcdefghij")[k : k + 5], 4)) for k in range(6) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(stock[30 * k : 30 * k + 30], 60)), f"l{k}") for k in range(6) for i in range(k * 100, k * 100 + 30)]
+    score = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 6)) for r in language.identify(make(rows)).collect())
+    together = score()
+    monkeypatch.setattr(language, "TOGETHER", 2)
+    assert score() == together and len({p for _, p, _ in together}) == 6
+
+
 def test_scores_are_those_of_the_whole_text():
     """Texts of one step don't leak into each other."""
     trees = language.ContextTrees.learn({"a": [b"one two three " * 40], "b": [b"uno dos tres " * 40]})

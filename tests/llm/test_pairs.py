@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tesselle.llm import lines, simhash, substrings
+from tesselle.llm import lines, simhash, substrings, textkit
 from tesselle.llm.cells import component_roots
 
 LAST = 2**63 - 1
@@ -306,11 +306,12 @@ def plain_passages(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("group_runs", [20_000, 2, 0])
-def test_passages_brute_force(make, odd_rows, real, group_runs):
+@pytest.mark.parametrize("group_runs, group_suffixes", [(20_000, 4000), (2, 30), (0, 1)])
+def test_passages_brute_force(make, odd_rows, real, group_runs, group_suffixes):
     rows = [(r.doc_id + 100, r.text) for r in real.limit(120).collect()] + odd_rows
     rows += [(20, "go round " * 300), (21, "x go round " + "go round " * 200 + "y"), (22, "w " * 500), (23, "w " * 49), (24, "w " * 50)]
-    assert Counter(map(tuple, substrings.deduplicate(make(rows), group_runs=group_runs).collect())) == plain_passages(rows, 50)
+    rows += [(30 + k, " ".join(f"x{i}" for i in range(45)) + f" {t} y z") for k, t in enumerate(alike())]
+    assert Counter(map(tuple, substrings.deduplicate(make(rows), group_runs=group_runs, group_suffixes=group_suffixes).collect())) == plain_passages(rows, 50)
 
 
 def test_short_windows_and_empty_table(make):
@@ -320,15 +321,62 @@ def test_short_windows_and_empty_table(make):
     assert substrings.deduplicate(make([])).count() == 0
 
 
-def test_tree_nodes_are_equal_windows():
-    rng = np.random.default_rng(0)
-    words = rng.integers(0, 2, 200)
-    last = np.repeat([90, 200], [90, 110])
-    node = substrings.tree_nodes(words, last, 11)
-    text = {}
-    for i in range(200):
-        if i + 11 > last[i]:
-            assert node[i] == -1
-        else:
-            text.setdefault(tuple(words[i : i + 11]), set()).add(int(node[i]))
-    assert all(len(v) == 1 for v in text.values()) and len({next(iter(v)) for v in text.values()}) == len(text)
+def test_maximal_repeats_brute_force():
+    rng = random.Random(3)
+    for _ in range(20):
+        texts = [rng.choices("ab", k=rng.randint(1, 40)) for _ in range(3)]
+        tree, begin = substrings.tree_of([" ".join(t).encode() for t in texts])
+        where = {}
+        for t, at in zip(texts, begin.tolist(), strict=True):
+            for i in range(len(t)):
+                for j in range(i + 1, len(t) + 1):
+                    where.setdefault(tuple(t[i:j]), []).append((at + i, t[i - 1] if i else (at,), t[j] if j < len(t) else (at, 1)))
+        want = sorted((len(k), [p for p, _, _ in v]) for k, v in where.items() if len(v) > 1 and len({b for _, b, _ in v}) > 1 and len({a for _, _, a in v}) > 1)
+        assert sorted(tree.maximal_repeats(1)) == want
+        group = tree.topmost(4)
+        four = {k: [p for p, _, _ in v] for k, v in where.items() if len(k) == 4}
+        assert all(len({int(group[p]) for p in v}) == 1 for v in four.values()) and len({int(group[v[0]]) for v in four.values()}) == len(four)
+
+
+# ---------------------------------------------------------------- texts that are made to collide
+
+
+def alike(*powers):
+    """Pairs of strings of a and b that no polynomial modulo 2**64 tells apart."""
+    out = []
+    for n in powers or (10,):
+        order = ["ab"[bin(i).count("1") % 2] for i in range(1 << n)]
+        out += ["".join(order), "".join("a" if c == "b" else "b" for c in order)]
+    return out
+
+
+def test_patterned_texts_are_told_apart(make):
+    pairs = alike(10, 11, 12)
+    assert {(r.doc_id, r.n_removed) for r in lines.deduplicate(make(list(enumerate(pairs)))).collect()} == {(i, 0) for i in range(6)}
+    for k in (0, 1):
+        hashes = [int(textkit.span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]), k)[0]) for t in pairs]
+        wide = [int(textkit.span_hashes(np.array([ord(c) for c in t]) * 2**40, np.array([0]), np.array([len(t)]), k)[0]) for t in pairs]
+        assert len(set(hashes)) == len(set(wide)) == 6
+    head = " ".join(f"w{i}" for i in range(49))
+    rows = [(i, f"{head} {t}") for i, t in enumerate(pairs)] + [(9, f"{head} {pairs[0]}")]
+    assert Counter(map(tuple, substrings.deduplicate(make(rows)).collect())) == plain_passages(rows, 50)
+    # A whole run of words that a and b stand for.
+    rows = [(i, " ".join(t)) for i, t in enumerate(pairs[:2])]
+    assert Counter(map(tuple, substrings.deduplicate(make(rows)).collect())) == plain_passages(rows, 50)
+
+
+def test_keys_shared_over_steps():
+    """Whatever the steps, the rows that go on are those of keys that two lines have, one as its own segment."""
+    rng = random.Random(1)
+    for _ in range(100):
+        rows = sorted({(rng.randint(0, 5), rng.randint(0, 3), rng.random() < 0.4) for _ in range(30)}, key=lambda r: (r[0], not r[2], rng.random()))
+        key, ident, own = (np.array(c) for c in zip(*rows, strict=True))
+        got, held, at = [], None, 0
+        while at < len(rows):
+            end = at + rng.randint(1, 4)
+            k, i, held = lines.shared_rows(key[at:end], ident[at:end], own[at:end], held)
+            got += zip(k.tolist(), i.tolist(), strict=True)
+            at = end
+        by_key = {k: [r for r in rows if r[0] == k] for k in key.tolist()}
+        want = {(k, r[1]) for k, v in by_key.items() if len({r[1] for r in v}) > 1 and any(r[2] for r in v) for r in v}
+        assert set(got) == want
