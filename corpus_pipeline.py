@@ -37,11 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    if decontaminate.benchmark_bytes(benchmark) <= decontaminate.BROADCAST_BYTES:
-        return docs.filter(~decontaminate.contaminated(benchmark))
-    held = decontaminate.contamination_by_join(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.withColumn("_id", F.xxhash64("doc_id", "text")).join(held.withColumnRenamed("doc_id", "_id"), "_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
