@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: The tables that each running :func:`settled` has made so far.
+_MADE: list[list[DataFrame]] = []
 #: Settings that hold while a table is written: nothing reads the shuffle files of the written
 #: plan again, so Spark deletes them when the write ends; and Arrow batches are kept small,
 #: since rows with whole texts are wide.
@@ -50,6 +53,23 @@ def stash(df: DataFrame) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
+    if _MADE:
+        _MADE[-1].append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written; the tables that were stashed on the way are deleted."""
+    _MADE.append([])
+    try:
+        out = stash(make())
+    finally:
+        made = _MADE.pop()
+    for table in made:
+        if table is not out:
+            discard(table)
+    if _MADE:
+        _MADE[-1].append(out)
     return out
 
 
