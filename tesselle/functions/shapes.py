@@ -43,6 +43,25 @@ def polygon_wkb(rings: list[list[tuple[float, float]]]) -> bytes:
     return struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + np.array(r, "<f8").tobytes() for r in rings)
 
 
+def box_wkb(x0: str, y0: str, x1: str, y1: str) -> Column:
+    """The outline of a box as WKB, counter-clockwise from its lower left corner."""
+
+    def run(*sides: pa.Array) -> pa.Array:
+        a, b, c, d = (x.to_numpy(zero_copy_only=False).astype("<f8") for x in sides)
+        rings = np.stack([a, b, c, b, c, d, a, d, a, b], axis=1)
+        head = np.frombuffer(struct.pack("<BIII", 1, 3, 1, 5), np.uint8)
+        whole = np.hstack([np.broadcast_to(head, (len(a), len(head))), np.ascontiguousarray(rings).view(np.uint8)])
+        offsets = np.arange(0, whole.size + 1, whole.shape[1], dtype=np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(whole.tobytes())])
+
+    return F.arrow_udf(run, "binary")(x0, y0, x1, y1)
+
+
+def distinct_shapes(geoms: DataFrame) -> DataFrame:
+    """One row of each geometry ``geom`` (by its bytes); empty and null ones go."""
+    return geoms.filter("geom is not null and octet_length(geom) > 0").dropDuplicates(["geom"])
+
+
 def parse_wkb(data: bytes) -> list[list[np.ndarray]]:
     """The polygons (lists of rings) of a WKB polygon, multipolygon or collection; lines and points have none."""
     at = 0

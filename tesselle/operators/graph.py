@@ -35,12 +35,15 @@ def component_summary(sizes: DataFrame) -> DataFrame:
 def split_labels(parcels: DataFrame, components: DataFrame) -> DataFrame:
     """``(parcel_id, nid, component, split)``: a new label for every (label, component) that occurs.
 
-    New labels are dense from 0 in the order of label and component.  Only the distinct pairs
-    are ranked, not the parcels.
+    New labels are dense from 0 in the order of label and component.  The distinct pairs are ranked
+    label by label; only the labels' numbers of pairs are summed in one place.
     """
     both = parcels.join(components, "tile_id")
     pairs = both.select("nid", "component").distinct()
-    ranked = pairs.withColumn("split", (F.dense_rank().over(Window.orderBy("nid", "component")) - 1).cast("long"))
+    many = pairs.groupBy("nid").agg(F.count("*").alias("_many"))
+    before = many.select("nid", (F.sum("_many").over(Window.orderBy("nid")) - F.col("_many")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("nid").orderBy("component")) - 1
+    ranked = pairs.withColumn("_in", inner).join(before, "nid").select("nid", "component", (F.col("_before") + F.col("_in")).cast("long").alias("split"))
     return both.join(ranked, ["nid", "component"]).select("parcel_id", "nid", "component", "split")
 
 
@@ -114,6 +117,11 @@ def neighbours_of(edges: DataFrame, vertex: int) -> DataFrame:
     return out.orderBy("edge_class", "neighbour")
 
 
+def owned_labels(tile_labels: DataFrame) -> DataFrame:
+    """``(nid, tiles)`` of the labels that have a tile."""
+    return tile_labels.groupBy("nid").agg(F.count("*").alias("tiles"))
+
+
 def expand_labels(parcels: DataFrame, tile_labels: DataFrame) -> DataFrame:
     """Parcels with the label of their tile where there's a new one, else their own."""
     new = tile_labels.select("tile_id", F.col("nid").alias("_new"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tesselle.operators import scoring
 from tesselle.operators.components import connected_components
+from tesselle.scratch import stash
 
 
 def tile_labels(parcels: DataFrame) -> DataFrame:
@@ -57,15 +58,16 @@ def swap_sides(moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sides.select("cand", "nid", "shift"), sides.select("cand", "nid", F.inline(ways))
 
 
-def gains(sides: tuple[DataFrame, DataFrame], codes: DataFrame, weights: DataFrame) -> DataFrame:
+def gains(sides: tuple[DataFrame, DataFrame], cells: DataFrame, weights: DataFrame) -> DataFrame:
     """``(cand, gain)``: how much the two labels of each candidate would score more together.
 
-    ``codes``: ``(parcel_id, tile_id, nid, field, code)`` of all parcels.
+    ``cells``: :func:`scoring.tile_cells` of all parcels, written; everything else is a sum of them.
     """
     shifts, tiles = sides
-    counts, overall, deltas = scoring.label_histogram(codes), scoring.global_histogram(codes), scoring.tile_deltas(codes)
-    parcels = codes.select("parcel_id", "nid").distinct()
-    sizes, total = scoring.totals(parcels), parcels.agg(F.count("*").alias("g"))
+    counts = stash(scoring.summed(cells, ["nid", "field", "code"]))
+    overall, deltas = scoring.summed(counts, ["field", "code"]), scoring.summed(cells, ["tile_id", "field", "code"], "cnt")
+    sizes = stash(scoring.label_sizes(counts, ["nid"]))
+    total = sizes.agg(F.sum("n").alias("g"))
     now = scoring.weighted_mi(counts, sizes, overall, weights, total, ["nid"]).select("nid", F.col("score").alias("now"))
     whole = shifts.join(counts, "nid").select("cand", "nid", "field", "code", "c")
     moved = tiles.join(deltas, "tile_id").select("cand", "nid", "field", "code", (F.col("sign") * F.col("cnt")).alias("c"))
@@ -112,21 +114,30 @@ def disconnecting(moves: DataFrame, edges: DataFrame, labels: DataFrame) -> Data
     return split.select("cand", F.col("leaver").alias("tile"))
 
 
-def consolidate_at_once(codes: DataFrame, weights: DataFrame) -> DataFrame:
+def breaking(donated: DataFrame, swapped: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(cand)``: donations that split the label they leave, and swaps of which either tile splits
+    the label it leaves or has no other neighbour where it goes (four tests)."""
+    leaves = F.inline(F.array(F.struct(F.col("t1").alias("tile"), F.col("n1")), F.struct(F.col("t2").alias("tile"), F.col("n2").alias("n1"))))
+    ways = donated.select("cand", "tile", "n1").unionByName(swapped.select("cand", leaves))
+    splits = disconnecting(ways, edges, labels)
+    return splits.select("cand").unionByName(islands(swapped, edges, labels).select("cand")).distinct()
+
+
+def consolidate_at_once(cells: DataFrame, weights: DataFrame) -> DataFrame:
     """``(tile_id, nid, score)``: for each mixed tile the label that would score best with all of it.
 
     Every mixed tile is judged on the counts before any of them changes (ties: least label).
+    ``cells``: :func:`scoring.tile_cells` of all parcels, written.
     """
-    parcels = codes.select("parcel_id", "tile_id", "nid").distinct()
-    held = parcels.groupBy("tile_id", "nid").agg(F.count("*").alias("own"))
+    held = scoring.label_sizes(cells, ["tile_id", "nid"]).withColumnRenamed("n", "own")
     size = held.groupBy("tile_id").agg(F.count("*").alias("labels"), F.sum("own").alias("all")).filter("labels > 1")
-    ways = held.join(size, "tile_id").select(F.concat_ws(":", "tile_id", "nid").alias("cand"), "tile_id", "nid", (F.col("all") - F.col("own")).alias("shift"))
-    counts, overall = scoring.label_histogram(codes), scoring.global_histogram(codes)
-    sizes, total = scoring.totals(parcels), parcels.agg(F.count("*").alias("g"))
-    part = codes.groupBy("tile_id", F.col("nid").alias("from"), "field", "code").agg(F.count("*").alias("c"))
+    ways = stash(held.join(size, "tile_id").select(F.concat_ws(":", "tile_id", "nid").alias("cand"), "tile_id", "nid", (F.col("all") - F.col("own")).alias("shift")))
+    counts = stash(scoring.summed(cells, ["nid", "field", "code"]))
+    overall, sizes = scoring.summed(counts, ["field", "code"]), scoring.label_sizes(counts, ["nid"])
+    part = cells.withColumnRenamed("nid", "from")
     arriving = ways.join(part, "tile_id").filter("from <> nid").select("cand", "nid", "field", "code", "c")
     after = ways.join(counts, "nid").select("cand", "nid", "field", "code", "c").unionByName(arriving).groupBy("cand", "nid", "field", "code").agg(F.sum("c").alias("c"))
     new_sizes = ways.join(sizes, "nid").select("cand", "nid", (F.col("n") + F.col("shift")).alias("n"))
-    scored = scoring.weighted_mi(after, new_sizes, overall, weights, total, ["cand", "nid"]).join(ways.select("cand", "tile_id"), "cand")
+    scored = scoring.weighted_mi(after, new_sizes, overall, weights, sizes.agg(F.sum("n").alias("g")), ["cand", "nid"]).join(ways.select("cand", "tile_id"), "cand")
     best = Window.partitionBy("tile_id").orderBy(F.desc(F.round("score", 12)), "nid")
     return scored.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("tile_id", "nid", "score")

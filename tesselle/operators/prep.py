@@ -48,30 +48,90 @@ def filter_equal(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.filter(F.col(column).cast("string") == value) if column in df.columns else df
 
 
-def quantile_edges(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
-    """One row: for each column its distinct quantile edges at 0, 1/bins, ..., 1 (interpolated).
+#: A pass of :func:`quantiles` cuts the values in question into about this many parts a column.
+PARTS = 4096
+_LARGEST = 1.7976931348623157e308
 
-    One pass over the table for all columns; the result has ``bins + 1`` numbers a column.
+
+def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of each column (nulls left out; None without values).
+
+    The value of a rank is found by narrowing: each pass counts the values of the intervals that
+    hold a wanted rank in equal parts, and goes on with the parts that hold one, until a part has one
+    value or two.  A pass sends a few thousand numbers a column; no task holds a column's values.
     """
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    return df.agg(*(F.array_distinct(F.percentile(numeric(c), at)).alias(c) for c in columns))
+    named = [f"_q{k}" for k in range(len(columns))]
+    finite = lambda v: F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(_LARGEST)), F.lit(-_LARGEST)))
+    values = df.select(*(finite(numeric(c)).alias(n) for n, c in zip(named, columns, strict=True)))
+    ends = values.agg(*(f(n).alias(f"{n}_{k}") for n in named for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max)))).first()
+    known: dict[str, dict[int, float]] = {n: {} for n in named}
+    # name -> intervals (least, largest, values below, values in it, wanted ranks), all closed and apart
+    todo: dict[str, list[tuple]] = {}
+    for n in named:
+        many = ends[f"{n}_n"]
+        ranks = sorted({r for q in at for r in (int(q * (many - 1)), -int(-q * (many - 1) // 1))}) if many else []
+        todo[n] = [(ends[f"{n}_lo"], ends[f"{n}_hi"], 0, many, ranks)] if many else []
+    while any(todo.values()):
+        for n, intervals in todo.items():
+            left = []
+            for lo, hi, below, many, ranks in intervals:
+                if lo == hi or many <= 2:  # two values are the least and the largest
+                    known[n] |= {r: lo if lo == hi or r == below else hi for r in ranks}
+                else:
+                    left.append((lo, hi, below, many, ranks))
+            todo[n] = left
+        asked = []
+        for n, intervals in todo.items():
+            parts = max(2, PARTS // max(1, len(intervals)))
+            part = F.lit(None).cast("int")
+            for k, (lo, hi, *_) in enumerate(intervals):
+                along = (F.col(n) / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+                part = F.when(F.col(n).between(lo, hi), k * parts + F.least(F.floor(along * parts), F.lit(parts - 1))).otherwise(part)
+            if intervals:
+                asked.append(F.struct(F.lit(n).alias("name"), part.cast("int").alias("part"), F.col(n).alias("v")))
+        if not asked:
+            break
+        counted = values.select(F.inline(F.array(*asked))).filter("part is not null").groupBy("name", "part").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        got: dict[str, list] = {n: [] for n in named}
+        for r in counted.collect():
+            got[r.name].append((r.part, r.n, r.lo, r.hi))
+        for n, intervals in todo.items():
+            parts, found, rows = max(2, PARTS // max(1, len(intervals))), [], sorted(got[n])
+            for k, (_, _, below, _, ranks) in enumerate(intervals):
+                for part, many, lo, hi in rows:
+                    if part // parts == k:
+                        if mine := [r for r in ranks if below <= r < below + many]:
+                            found.append((lo, hi, below, many, mine))
+                        below += many
+            todo[n] = found
+    out = {}
+    for c, n in zip(columns, named, strict=True):
+        last = (ends[f"{n}_n"] or 0) - 1
+        row = []
+        for q in at:
+            position = q * last
+            a, b = int(position), -int(-position // 1)
+            row.append(None if last < 0 else known[n][a] if a == b or known[n][a] == known[n][b] else (b - position) * known[n][a] + (position - a) * known[n][b])
+        out[c] = row
+    return out
 
 
 def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
     """Add ``<column>_binned``: right-closed quantile intervals with the lowest included.
 
     Null stays null; equal edges are merged; a column with a single edge is null throughout.
-    The edges (at most ``bins + 1`` numbers a column) are computed at once, in one job, and
-    become constants of the plan: binning itself is a projection.
+    The edges (at most ``bins + 1`` numbers a column, see :func:`quantiles`) are computed at once and
+    become constants of the plan: binning itself is a projection.  They are looked for in several
+    passes, so ``df`` should be a written table.
     """
-    row = quantile_edges(df, columns, bins).first()
+    found = quantiles(df, columns, [i / bins for i in range(bins + 1)])
 
     def binned(c: str) -> Column:
-        value, edges = numeric(c), [float(e) for e in (row[c] or ()) if e is not None]
+        value, edges = numeric(c), sorted({e for e in found[c] if e is not None})
         if len(edges) < 2:
             return F.lit(None).cast("int")
-        below = F.size(F.filter(F.array(*map(F.lit, edges)), lambda edge: edge < value))
-        return F.when(value.isNotNull(), F.greatest(below - 1, F.lit(0)))
+        below = sum(((value > e).cast("int") for e in edges[1:]), F.lit(0))
+        return F.when(value.isNotNull(), F.least(below, F.lit(len(edges) - 2)))
 
     return df.withColumns({scored_name(c): binned(c) for c in columns})
 
@@ -80,18 +140,16 @@ def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 30) -> Data
 MOST_CODES = 5000
 
 
-def bin_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long form ``(<ids>, field, code)`` of binned columns, from a table of ids and those columns.
+def wide_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
+    """``df`` with its binned columns replaced by codes; None if there are over MOST_CODES distinct values.
 
     A field with a null has its values dense-ranked with null first; any other keeps its
     values less the least (gaps stay).  The values of all fields are found in one job.
     """
     ids = [c for c in df.columns if c not in columns]
-    long = df.unpivot(ids, list(columns), "field", "value")
-    values = long.select("field", "value").distinct()
-    found = values.limit(MOST_CODES + 1).collect()
+    found = df.unpivot(ids, list(columns), "field", "value").select("field", "value").distinct().limit(MOST_CODES + 1).collect()
     if len(found) > MOST_CODES:
-        return _joined_codes(long, values, ids)
+        return None
     by_field: dict[str, set] = {}
     for r in found:
         by_field.setdefault(r.field, set()).add(r.value)
@@ -106,7 +164,17 @@ def bin_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ranks = F.create_map(*(F.lit(x) for rank, v in enumerate(known, 1) for x in (v, rank)))
         return F.when(F.col(field).isNull(), 0).otherwise(ranks[F.col(field)])
 
-    coded = df.select(*ids, *(code(c).cast("int").alias(c) for c in columns))
+    return df.select(*ids, *(code(c).cast("int").alias(c) for c in columns))
+
+
+def bin_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Long form ``(<ids>, field, code)`` of binned columns, from a table of ids and those columns:
+    see :func:`wide_codes`."""
+    ids = [c for c in df.columns if c not in columns]
+    coded = wide_codes(df, columns)
+    if coded is None:
+        long = df.unpivot(ids, list(columns), "field", "value")
+        return _joined_codes(long, long.select("field", "value").distinct(), ids)
     return coded.unpivot(ids, list(columns), "field", "code")
 
 
@@ -139,6 +207,11 @@ def distinct_values(df: DataFrame, column: str, limit: int = 200) -> DataFrame:
     return counted.orderBy(F.desc("n"), "value").limit(limit)
 
 
+def transparent_classes(df: DataFrame, column: str, keywords: Sequence[str] = TRANSPARENT_KEYWORDS, limit: int = 12) -> DataFrame:
+    """The most frequent of the land classes that count as transparent: ``(value, n)``."""
+    return distinct_values(df.filter(transparent(column, keywords)), column, limit)
+
+
 def validate_fields(spark, universe: Sequence[tuple[str, str]], config: dict, filter_values: Sequence[str] | None = None) -> DataFrame:
     """``(setting, value, detail, fatal)``: every way the configured fields fail against the table."""
     kinds = dict(universe)

@@ -49,18 +49,35 @@ def weighted_mi(counts: DataFrame, sizes: DataFrame, overall: DataFrame, weights
 
     ``counts (<keys>, field, code, c)``, ``overall (field, code, c)``, ``weights (field,
     weight)``, ``total``: one row ``(g)``.  By default a bin counts only where the label has
-    it; with ``exact`` every bin that other labels have counts too.  Bins and weights are a
-    few hundred rows and are broadcast.
+    it; with ``exact`` every bin that other labels have counts too: such bins add their weight
+    times their size times one logarithm, so their sum is the whole sum less that of the bins the
+    label has.  Bins are joined as any table; only the one row of totals is broadcast.
     """
-    bins = overall.join(F.broadcast(weights), "field").select("field", "code", F.col("c").alias("everywhere"), "weight")
-    if exact:
-        base = sizes.crossJoin(F.broadcast(bins)).join(counts, [*keys, "field", "code"], "left").withColumn("inside", F.coalesce("c", F.lit(0)))
-    else:
-        base = counts.join(F.broadcast(bins), ["field", "code"]).join(sizes, keys).withColumn("inside", F.col("c"))
-    base = base.crossJoin(F.broadcast(total))
-    scored = base.groupBy(*keys).agg(F.sum(F.col("weight") * _terms(F.col("inside"), F.col("everywhere"), F.col("n"), F.col("g"))).alias("s"))
+    bins = overall.join(weights, "field").select("field", "code", F.col("c").alias("everywhere"), "weight")
+    base = counts.join(bins, ["field", "code"]).join(sizes, keys).withColumn("inside", F.col("c")).crossJoin(F.broadcast(total))
+    mass = F.col("weight") * F.col("everywhere")
+    scored = base.groupBy(*keys).agg(F.sum(F.col("weight") * _terms(F.col("inside"), F.col("everywhere"), F.col("n"), F.col("g"))).alias("s"), F.sum(mass).alias("seen"))
     out = sizes.join(scored, keys, "left").crossJoin(F.broadcast(total))
-    return out.select(*keys, "n", _degenerate(F.col("n"), F.col("g"), F.coalesce(F.col("s"), F.lit(0.0)) / F.col("g")).alias("score"))
+    s = F.coalesce(F.col("s"), F.lit(0.0))
+    if exact:
+        out = out.crossJoin(F.broadcast(bins.agg(F.sum(mass).alias("mass"))))
+        s = s + (F.col("mass") - F.coalesce("seen", F.lit(0.0))) * (F.ln("g") - F.ln(F.col("g") - F.col("n")))
+    return out.select(*keys, "n", _degenerate(F.col("n"), F.col("g"), s / F.col("g")).alias("score"))
+
+
+def tile_cells(codes: DataFrame) -> DataFrame:
+    """``(tile_id, nid, field, code, c)``: what all other histograms are sums of."""
+    return codes.groupBy("tile_id", "nid", "field", "code").agg(F.count("*").alias("c"))
+
+
+def summed(cells: DataFrame, keys: list[str], name: str = "c") -> DataFrame:
+    """A histogram over fewer keys, from a finer one."""
+    return cells.groupBy(*keys).agg(F.sum("c").alias(name))
+
+
+def label_sizes(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``(<keys>, n)`` from a histogram: a parcel has one code in every field."""
+    return counts.groupBy(*keys, "field").agg(F.sum("c").alias("c")).groupBy(*keys).agg(F.max("c").alias("n"))
 
 
 def score_labels(codes: DataFrame, weights: DataFrame, label: str = "nid", exact: bool = False) -> DataFrame:
@@ -70,8 +87,7 @@ def score_labels(codes: DataFrame, weights: DataFrame, label: str = "nid", exact
     (a parcel has one code in every field).
     """
     counts = label_histogram(codes, label)
-    sizes = counts.groupBy(label, "field").agg(F.sum("c").alias("c")).groupBy(label).agg(F.max("c").alias("n"))
-    overall = counts.groupBy("field", "code").agg(F.sum("c").alias("c"))
+    sizes, overall = label_sizes(counts, [label]), summed(counts, ["field", "code"])
     return weighted_mi(counts, sizes, overall, weights, sizes.agg(F.sum("n").alias("g")), [label], exact)
 
 

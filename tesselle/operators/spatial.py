@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselle.operators.prep import quantiles
+
 #: Two shapes at most this far apart touch (sightlines; edge classes use the smaller one).
 TOUCH_FT, CLASS_TOUCH_FT = 1e-6, 1e-9
 #: A shared border longer than this is a wall between two tiles, a shorter one a corner.
@@ -146,11 +148,12 @@ def grid_cells(bounds: DataFrame, size: float) -> DataFrame:
 
 
 def grid_lines(bounds: DataFrame, size: float) -> DataFrame:
-    """``(x0, y0, x1, y1)``: the full-length lines of the same lattice, both ways."""
-    snap = bounds.select(*((F.floor(F.col(c) / size) * size).alias(c) for c in ("xmin", "ymin")), *((F.ceil(F.col(c) / size) * size).alias(c) for c in ("xmax", "ymax")))
+    """``(x0, y0, x1, y1)``: the full-length lines of the same lattice, both ways, for each row of bounds (other columns are kept)."""
+    keep = [c for c in bounds.columns if c not in ("xmin", "ymin", "xmax", "ymax")]
+    snap = bounds.select(*keep, *((F.floor(F.col(c) / size) * size).alias(c) for c in ("xmin", "ymin")), *((F.ceil(F.col(c) / size) * size).alias(c) for c in ("xmax", "ymax")))
     at = lambda lo, hi: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.round((F.col(hi) - F.col(lo)) / size).cast("long")), lambda k: F.col(lo) + k * size))
-    upright = snap.select(at("xmin", "xmax").alias("x0"), F.col("ymin").alias("y0"), F.col("ymax").alias("y1")).select("x0", "y0", F.col("x0").alias("x1"), "y1")
-    level = snap.select(at("ymin", "ymax").alias("y0"), F.col("xmin").alias("x0"), F.col("xmax").alias("x1")).select("x0", "y0", "x1", F.col("y0").alias("y1"))
+    upright = snap.select(*keep, at("xmin", "xmax").alias("x0"), F.col("ymin").alias("y0"), F.col("ymax").alias("y1")).select(*keep, "x0", "y0", F.col("x0").alias("x1"), "y1")
+    level = snap.select(*keep, at("ymin", "ymax").alias("y0"), F.col("xmin").alias("x0"), F.col("xmax").alias("x1")).select(*keep, "x0", "y0", "x1", F.col("y0").alias("y1"))
     return upright.unionByName(level)
 
 
@@ -202,6 +205,31 @@ def lift_edges(edges: DataFrame, tile_of: DataFrame) -> DataFrame:
     return a.filter("ta <> tb").select(F.least("ta", "tb").alias("src"), F.greatest("ta", "tb").alias("dst")).distinct()
 
 
+def tile_adjacency(mode: str, tiles: DataFrame, parcels: DataFrame, tile_of: DataFrame, reach: float, sightline: bool = True, obstacles: DataFrame | None = None, epsilon: float = 0.5) -> DataFrame:
+    """``(src, dst)`` between tiles, by the rule of the mode.
+
+    ``tile``: tiles (boxes) within reach.  ``parcel``: tiles of parcels (boxes) within reach,
+    with ``sightline`` only those whose sightline no obstacle crosses (the parcels themselves,
+    unless others are given).
+    """
+    if mode == "tile":
+        return within_distance(tiles, reach).select("src", "dst")
+    if mode != "parcel":
+        raise ValueError(f"no such adjacency mode: {mode}")
+    near = within_distance(parcels, reach)
+    edges = line_of_sight(near, (parcels if obstacles is None else obstacles).select("x0", "y0", "x1", "y1"), epsilon) if sightline else near.select("src", "dst")
+    return lift_edges(edges, tile_of)
+
+
+def tiles_of(parcels: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The tiles ``(id, x0, y0, x1, y1)`` and, for the tile ids of ``parcels (parcel_id, tile_id, x0, ...)``
+    that aren't among them, the outline of the first parcel that has them."""
+    sides = ("x0", "y0", "x1", "y1")
+    first = parcels.groupBy("tile_id").agg(F.min_by(F.struct(*sides), "parcel_id").alias("box"))
+    lone = first.join(tiles.select(F.col("id").alias("tile_id")), "tile_id", "left_anti")
+    return tiles.select("id", *sides).unionByName(lone.select(F.col("tile_id").alias("id"), "box.*"))
+
+
 def adjacency_with_isolates(edges: DataFrame, tiles: DataFrame) -> DataFrame:
     """``(tile_id, neighbours)``: how many neighbours every tile has, isolated ones included."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -214,7 +242,7 @@ def nearest(point: tuple[float, float], boxes: DataFrame, within: float) -> Data
     x, y = point
     gx = F.greatest(F.lit(0.0), F.col("x0") - x, x - F.col("x1"))
     gy = F.greatest(F.lit(0.0), F.col("y0") - y, y - F.col("y1"))
-    near = boxes.filter(F.col("x0").between(x - 1e9, x + within) & (F.col("x1") >= x - within) & (F.col("y0") <= y + within) & (F.col("y1") >= y - within))
+    near = boxes.filter((F.col("x0") <= x + within) & (F.col("x1") >= x - within) & (F.col("y0") <= y + within) & (F.col("y1") >= y - within))
     return near.select("id", F.sqrt(gx * gx + gy * gy).alias("distance")).filter(F.col("distance") <= within).orderBy("distance", "id").limit(1)
 
 
@@ -249,7 +277,11 @@ def weak_tiles(edges: DataFrame) -> DataFrame:
 
 
 def class_summary(edges: DataFrame) -> DataFrame:
-    """``(edge_class, n, percent, median_gap, max_gap)``."""
+    """``(edge_class, n, percent, median_gap, max_gap)``, a row for each class that occurs."""
+    kinds = ("rook", "corner", "gap")
+    own = edges.select("edge_class", "gap_ft", *(F.when(F.col("edge_class") == k, F.col("gap_ft")).alias(f"gap_{k}") for k in kinds))
+    middle = quantiles(own, [f"gap_{k}" for k in kinds], [0.5])
+    median = F.create_map(*(x for k in kinds for x in (F.lit(k), F.lit(middle[f"gap_{k}"][0]).cast("double"))))
     whole = edges.agg(F.count("*").alias("whole"))
-    by = edges.groupBy("edge_class").agg(F.count("*").alias("n"), F.percentile("gap_ft", F.lit(0.5)).alias("median_gap"), F.max("gap_ft").alias("max_gap"))
-    return by.crossJoin(F.broadcast(whole)).select("edge_class", "n", (100.0 * F.col("n") / F.col("whole")).alias("percent"), "median_gap", "max_gap")
+    by = edges.groupBy("edge_class").agg(F.count("*").alias("n"), F.max("gap_ft").alias("max_gap"))
+    return by.crossJoin(F.broadcast(whole)).select("edge_class", "n", (100.0 * F.col("n") / F.col("whole")).alias("percent"), median[F.col("edge_class")].alias("median_gap"), "max_gap")

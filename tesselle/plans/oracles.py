@@ -11,7 +11,7 @@ def _round(x: str, digits: int = 6) -> str:
     return f"(round({x}, {digits}) + 0.0)"
 
 
-_POSITIONS = """pos as (select o_orderkey as parcel_id, cast((o_orderkey * 7919) % 9973 as double) as px, cast((o_orderkey * 104729) % 9967 as double) as py from orders)"""
+_POSITIONS = """pos as (select o_orderkey as parcel_id, cast((o_orderkey * 7919) % 9973 + 10000 * (o_orderkey // 12000) as double) as px, cast((o_orderkey * 104729) % 9967 as double) as py from orders)"""
 _PLACED = _POSITIONS + """,
  placed as (select parcel_id, px, py, cast(floor(px / 1000) * 10 + floor(py / 1000) as bigint) as tile_id, cast(floor(px / 2500) * 4 + floor(py / 2500) as bigint) as nid from pos)"""
 _DERIVED = _PLACED + """,
@@ -22,6 +22,7 @@ _DERIVED = _PLACED + """,
    from placed p join orders o on o.o_orderkey = p.parcel_id left join area a using (parcel_id))"""
 _FIELDS = ("assr_impr_ppsf", "assr_land_ppsf", "assr_market_value")
 _AT = "[" + ", ".join(f"{i}/30.0::double" for i in range(31)) + "]"
+_TENTHS = "[" + ", ".join(f"{i}/10.0::double" for i in range(11)) + "]"
 _BINNED = (
     _DERIVED
     + ", edge as (select "
@@ -71,9 +72,9 @@ _SCORED = (
 _SCORES = _SCORED + ", score as (" + _mi("cin", "nsize", "nid") + ")"
 
 _LATTICE = _POSITIONS + """,
- lat as (select parcel_id, cast(floor(px / 500) * 100 + floor(py / 500) as bigint) as tile_id, cast(floor(px / 4000) * 3 + floor(py / 4000) as bigint) as nid from pos where px - 2500 * floor(px / 2500) < 2000),
+ lat as (select parcel_id, cast(floor(px / 500) * 100 + floor(py / 500) as bigint) as tile_id, cast(floor(px / 4000) * 3 + floor(py / 4000) as bigint) as nid from pos),
  lt as (select distinct tile_id, tile_id // 100 as i, tile_id % 100 as j from lat),
- le as (select a.tile_id as src, b.tile_id as dst from lt a join lt b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and a.tile_id < b.tile_id)"""
+ le as (select a.tile_id as src, b.tile_id as dst from lt a join lt b on a.i // 5 = b.i // 5 and abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and a.tile_id < b.tile_id)"""
 _COMPONENTS = _LATTICE + """,
  both_ways as (select src, dst from le union all select dst, src from le),
  reach as (select tile_id as v, tile_id as r from lt union select b.dst as v, reach.r from reach join both_ways b on b.src = reach.v),
@@ -81,6 +82,23 @@ _COMPONENTS = _LATTICE + """,
 _SIZES = _COMPONENTS + """,
  per as (select tile_id, count(*) as n from lat group by tile_id),
  size as (select component, count(*) as tiles, sum(n)::bigint as parcels from comp join per using (tile_id) group by component)"""
+_PIECES = _LATTICE + """,
+ tl as (select tile_id, arg_min(nid, parcel_id) as nid, count(*) as parcels, count(distinct nid) > 1 as mixed from lat group by tile_id),
+ ie as (select src, dst, a.nid from le join tl a on a.tile_id = src join tl b on b.tile_id = dst where a.nid = b.nid),
+ iw as (select src, dst, nid from ie union all select dst, src, nid from ie)"""
+_PIECE_COUNT = _PIECES + """,
+ r(v, c) as (select tile_id, tile_id from tl union select iw.dst, r.c from r join iw on iw.src = r.v),
+ pieces as (select nid, count(distinct c) as pieces from (select v, min(c) as c from r group by v) m join tl on tl.tile_id = v group by nid)"""
+_GROUPED = _SIZES + """,
+ heavy as (select component, parcels, row_number() over (order by parcels desc, component) as k from size where parcels > 0),
+ lpt(k, component, g, a, b, c) as (
+   select 0::bigint, null::bigint, null::bigint, 0::hugeint, 0::hugeint, 0::hugeint
+   union all
+   select h.k, h.component, case when a <= b and a <= c then 0 when b <= c then 1 else 2 end,
+          a + case when a <= b and a <= c then h.parcels else 0 end, b + case when not (a <= b and a <= c) and b <= c then h.parcels else 0 end,
+          c + case when not (a <= b and a <= c) and not b <= c then h.parcels else 0 end
+   from lpt join heavy h on h.k = lpt.k + 1),
+ grouped as (select component, g as group_id from lpt where k > 0)"""
 _COARSE = _PLACED + """,
  ct as (select distinct tile_id, tile_id // 10 as i, tile_id % 10 as j from placed),
  ce as (select a.tile_id as src, b.tile_id as dst from ct a join ct b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and a.tile_id < b.tile_id),
@@ -118,6 +136,18 @@ def _gain(sides: str) -> str:
     )
 
 
+_REFUSED = """
+ rinner as (select src, dst, a.nid from ce join lab a on a.tile_id = src join lab b on b.tile_id = dst where a.nid = b.nid),
+ rboth as (select src, dst, nid from rinner union all select dst, src, nid from rinner),
+ rpair as (select i, j, a.nid as ni, b.nid as nj from border join lab a on a.tile_id = i join lab b on b.tile_id = j where i <> j),
+ rside as (select 's:' || i || ':' || j as cand, i as tile, ni as own, j as other, nj as goal from rpair union all select 's:' || i || ':' || j, j, nj, i, ni from rpair
+           union all select 'd:' || i || ':' || nj, i, ni, null, null from rpair union all select 'd:' || j || ':' || ni, j, nj, null, null from rpair),
+ rnear as (select distinct tile, dst as v from rside join rboth on rboth.src = tile and rboth.nid = own),
+ rwalk(tile, v) as (select tile, min(v) from rnear group by tile union select rwalk.tile, rboth.dst from rwalk join rboth on rboth.src = rwalk.v where rboth.dst <> rwalk.tile),
+ rsplit as (select distinct tile from rnear n where not exists (select 1 from rwalk w where w.tile = n.tile and w.v = n.v)),
+ rall as (select src, dst from ce union all select dst, src from ce),
+ ralone as (select cand from rside s where other is not null and not exists (select 1 from rall join lab on lab.tile_id = rall.dst where rall.src = s.tile and rall.dst <> s.other and lab.nid = s.goal)),
+ refused as (select distinct cand from (select cand from rside where tile in (select tile from rsplit) union all select cand from ralone))"""
 _DONATE = _MOVES + _gain("""
  , dcand as (select 'd:' || tile || ':' || n2 as cand, * from give),
  shift as (select cand, n1 as nid, -parcels as shift from dcand union all select cand, n2, parcels from dcand),
@@ -128,9 +158,9 @@ _SWAP = _MOVES + _gain("""
  part as (select cand, ni as nid, i as tile_id, -1 as sign from scand union all select cand, ni, j, 1 from scand
           union all select cand, nj, j, -1 from scand union all select cand, nj, i, 1 from scand)""")
 
-_BOXES = _POSITIONS + ", box as (select parcel_id as id, px - 25 as x0, py - 25 as y0, px + 25 as x1, py + 25 as y1 from pos where parcel_id < 12000)"
+_BOXES = _POSITIONS + ", box as (select parcel_id as id, px - 25 as x0, py - 25 as y0, px + 25 as x1, py + 25 as y1 from pos)"
 _DIST = "sqrt(pow(greatest(0, b.x0 - a.x1, a.x0 - b.x1), 2) + pow(greatest(0, b.y0 - a.y1, a.y0 - b.y1), 2))"
-_NEAR = _BOXES + f", near as (select a.id as src, b.id as dst, {_DIST} as distance, a.x0 as ax0, a.y0 as ay0, a.x1 as ax1, a.y1 as ay1, b.x0 as bx0, b.y0 as by0, b.x1 as bx1, b.y1 as by1 from box a join box b on a.id < b.id and b.x0 <= a.x1 + 100 and b.x1 >= a.x0 - 100 and b.y0 <= a.y1 + 100 and b.y1 >= a.y0 - 100 where {_DIST} <= 100)"
+_NEAR = _BOXES + f", near as (select a.id as src, b.id as dst, {_DIST} as distance, a.x0 as ax0, a.y0 as ay0, a.x1 as ax1, a.y1 as ay1, b.x0 as bx0, b.y0 as by0, b.x1 as bx1, b.y1 as by1 from (select *, unnest([floor(x0 / 400) - 1, floor(x0 / 400), floor(x0 / 400) + 1]) as cell from box) a join box b on floor(b.x0 / 400) = a.cell and a.id < b.id and b.x0 <= a.x1 + 100 and b.x1 >= a.x0 - 100 and b.y0 <= a.y1 + 100 and b.y1 >= a.y0 - 100 where {_DIST} <= 100)"
 
 
 def _ends(c: str) -> str:
@@ -145,8 +175,8 @@ _SIGHT = (
  line0 as (select src, dst, distance, {_ends("x")}, {_ends("y")} from near where distance > 1e-6),
  line as (select src, dst, px + k * (qx - px) as px, py + k * (qy - py) as py, qx + k * (px - qx) as qx, qy + k * (py - qy) as qy from (select *, least(0.5, 0.25 * distance) / distance as k from line0)),
  blocked as (
-   select distinct src, dst from line l join box o
-     on o.x0 <= greatest(px, qx) and o.x1 >= least(px, qx) and o.y0 <= greatest(py, qy) and o.y1 >= least(py, qy)
+   select distinct src, dst from (select *, unnest([floor(least(px, qx) / 400) - 1, floor(least(px, qx) / 400), floor(least(px, qx) / 400) + 1]) as cell from line) l join box o
+     on floor(o.x0 / 400) = l.cell and o.x0 <= greatest(px, qx) and o.x1 >= least(px, qx) and o.y0 <= greatest(py, qy) and o.y1 >= least(py, qy)
    where (px <> qx or px between o.x0 and o.x1) and (py <> qy or py between o.y0 and o.y1)
      and greatest(0, case when px <> qx then least((o.x0 - px) / (qx - px), (o.x1 - px) / (qx - px)) else 0 end, case when py <> qy then least((o.y0 - py) / (qy - py), (o.y1 - py) / (qy - py)) else 0 end)
       <= least(1, case when px <> qx then greatest((o.x0 - px) / (qx - px), (o.x1 - px) / (qx - px)) else 1 end, case when py <> qy then greatest((o.y0 - py) / (qy - py), (o.y1 - py) / (qy - py)) else 1 end))"""
@@ -221,8 +251,8 @@ ORACLES: dict[str, str] = {
     "mean_score": f"with {_SCORES}, ids as (select unnest(generate_series(0, (select max(nid) from score))) as nid) select count(*) as labels, count(score) as active, {_round('avg(coalesce(score, 2.0))')} as mean_score from ids left join score using (nid)",
     "grid_cells": f"select i || ':' || j as cell, i * 500.0 as x0, j * 500.0 as y0, (i + 1) * 500.0 as x1, (j + 1) * 500.0 as y1 from (select unnest(generate_series(floor(xmin / 500)::int, ceil(xmax / 500)::int - 1)) as i, ymin, ymax from {_GRID}) a, lateral (select unnest(generate_series(floor(ymin / 500)::int, ceil(ymax / 500)::int - 1)) as j) b",
     "grid_lines": "select i * 500.0 as x0, 0.0 as y0, i * 500.0 as x1, 1500.0 as y1 from range(-1, 5) t(i) union all select -500.0, j * 500.0, 2000.0, j * 500.0 from range(0, 4) u(j)",
-    "shatter_tiles": "select 1 as area_id, k as tile_id, case when k < 90 then 1000000.0 else 500000.0 end as sqft from range(0, 100) t(k)",
-    "water_clip": f"with {_COARSE} select tile_id, case when i = 2 then 800000.0 when i = 4 and j = 4 then 900000.0 else 1000000.0 end as sqft from ct",
+    "shatter_tiles": f"with {_POSITIONS} select area_id, k as tile_id, case when k < 90 then 1000000.0 else 500000.0 end as sqft from (select distinct floor(px / 10000)::bigint as area_id from pos) a, range(0, 100) t(k)",
+    "water_clip": f"with {_COARSE} select tile_id, (1000000.0 - case when i % 10 = 2 then 200000.0 else 0.0 end - coalesce(pow(100 + 50 * (s_suppkey % 5), 2), 0))::double as sqft from ct left join supplier on s_suppkey = tile_id",
     "point_in_tile": f"with {_GAPPED} select parcel_id, min(id) as tile_id from pos left join gt on px > x0 and px < x1 and py > y0 and py < y1 group by parcel_id",
     "virtual_tiles": f"with {_GAPPED}, seat as (select parcel_id, min(id) as tile_id from pos left join gt on px > x0 and px < x1 and py > y0 and py < y1 group by parcel_id) select parcel_id, tile_id, false as is_virtual from seat where tile_id is not null union all select parcel_id, (select max(tile_id) from seat) + row_number() over (order by parcel_id), true from seat where tile_id is null",
     "populated_tiles": f"with {_POSITIONS} select distinct floor(px / 1000)::int || ':' || floor(py / 1000)::int as cell from pos",
@@ -232,7 +262,25 @@ ORACLES: dict[str, str] = {
     "adjacency_isolates": f"with {_LATTICE} select tile_id, count(dst) as neighbours from lt left join (select src, dst from le union all select dst, src from le) e on e.src = tile_id group by tile_id",
     "obstacles_by_mode": f"with {_POSITIONS} select 'modeled' as mode, count(*) as obstacles from pos where parcel_id % 2 = 0 union all select 'all', count(*) from pos union all select 'all_except', count(*) from pos where parcel_id % 10 <> 0",
     "nearest_tile": f"with {_BOXES}, q as (select * from (values (0, 700.0, 700.0), (1, 5000.0, 5000.0), (2, 9990.0, 10.0)) q(query, x, y)), n as (select query, id, sqrt(pow(greatest(0, x0 - x, x - x1), 2) + pow(greatest(0, y0 - y, y - y1), 2)) as distance from q, box) select query, id, {_round('distance')} as distance from n where distance <= 400 qualify row_number() over (partition by query order by n.distance, id) = 1",
-    "union_dedupe": f"with {_BOXES} select distinct x0, y0, x1, y1 from box where id < 800",
+    "adjacency_modes": f"""with {_SIGHT}, {_GAPPED.removeprefix(_POSITIONS + ',')},
+        seen as (select src, dst from near where distance <= 1e-6 union all select src, dst from line l where not exists (select 1 from blocked k where k.src = l.src and k.dst = l.dst)),
+        pairs as (select 'near' as rule, src, dst from near union all select 'sight', src, dst from seen)
+        select distinct least(a.tile_id, b.tile_id) as src, greatest(a.tile_id, b.tile_id) as dst, rule from pairs join placed a on a.parcel_id = src join placed b on b.parcel_id = dst where a.tile_id <> b.tile_id
+        union all select a.id, b.id, 'tile' from gt a join gt b on a.id < b.id where {_DIST} <= 100""",
+    "tiles_from_cache": f"""with {_BOXES}, {_GAPPED.removeprefix(_POSITIONS + ',')},
+        lone as (select parcel_id from pos where not exists (select 1 from gt where px > x0 and px < x1 and py > y0 and py < y1))
+        select id, x0, y0, x1, y1 from gt
+        union all select (select max(gt.id) from gt where exists (select 1 from pos where px > x0 and px < x1 and py > y0 and py < y1)) + row_number() over (order by parcel_id), x0, y0, x1, y1 from lone join box on box.id = parcel_id""",
+    "parcel_scan": f"""with {_DERIVED}, own as (select d.* from derived d join orders o on o.o_orderkey = parcel_id where o_orderstatus = 'F' and px > 1000 and py > 500 and py < 9000),
+        edge as (select list_sort(list_distinct(quantile_cont(assr_market_value, {_TENTHS}))) as m, list_sort(list_distinct(quantile_cont(assr_impr_ppsf, {_TENTHS}))) as i from own)
+        select parcel_id, {_round('px')} as px, {_round('py')} as py, cast(greatest(len(list_filter(m, lambda z : z < assr_market_value)) - 1, 0) as integer) as assr_market_value_binned,
+               case when assr_impr_ppsf is not null then cast(greatest(len(list_filter(i, lambda z : z < assr_impr_ppsf)) - 1, 0) as integer) end as assr_impr_ppsf_binned from own, edge""",
+    "json_lines": f"""with {_POSITIONS} select parcel_id, 0 as line, case when parcel_id % 3 = 0 then 5 else 3 end as points, {_round('px - 25')} as lon, {_round('py - 25')} as lat from pos where parcel_id % 3 < 2
+        union all select parcel_id, line, points, {_round('px + dx')}, {_round('py + dx')} from pos, (values (0, 3, -25.0), (1, 5, -10.0), (2, 3, 25.0)) m(line, points, dx) where parcel_id % 3 = 2""",
+    "json_polygons": f"with {_POSITIONS} select parcel_id, 0 as part, case when parcel_id % 3 = 0 then 2500.0 else 2100.0 end::double as sqft from pos where parcel_id % 3 <> 1",
+    "transparent_report": "select p_name as value, count(*) as n from part where regexp_matches(lower(p_name), 'right-of-way|right of way|row|submerged|river|lake|canal|ditch|drain|waterway|utility|subsurface|sewage|waste land|common element|common area|street|road|highway|easement') group by p_name order by n desc, value limit 12",
+    "owned_labels": f"with {_PIECES} select nid, count(*) as tiles from tl group by nid",
+    "union_dedupe": f"with {_BOXES}, {_GAPPED.removeprefix(_POSITIONS + ',')} select x0, y0, x1, y1 from box union select x0, y0, x1, y1 from gt",
     "states_for_bounds": "select * from (values ('12'), ('13'), ('01')) s(state)",
     "crs_choice": "select arg_min(crs, area * case when nad27 then 10 else 1 end) as crs from (values ('EPSG:2236', 90.0, false), ('EPSG:2237', 80.0, false), ('EPSG:26759', 12.0, true), ('EPSG:6438', 95.0, false)) c(crs, area, nad27)",
     "connected_components": f"with recursive {_COMPONENTS} select tile_id as node, component from comp where tile_id in (select src from le union select dst from le)",
@@ -241,6 +289,18 @@ ORACLES: dict[str, str] = {
     "parcel_component": f"with recursive {_COMPONENTS} select parcel_id, component from lat join comp using (tile_id)",
     "split_labels": f"with recursive {_COMPONENTS} select parcel_id, nid, component, dense_rank() over (order by nid, component) - 1 as split from lat join comp using (tile_id)",
     "spanning": f"with recursive {_COMPONENTS} select nid, count(distinct component) as components from lat join comp using (tile_id) group by nid having count(distinct component) > 1",
+    "label_pieces": f"with recursive {_PIECE_COUNT} select nid, pieces from pieces",
+    "worst_labels": f"with recursive {_PIECE_COUNT} select nid, pieces from pieces where pieces > 1 order by pieces desc, nid limit 5",
+    "lpt_groups": f"with recursive {_GROUPED} select component, group_id from grouped",
+    "group_loads": f"with recursive {_GROUPED} select group_id, count(*) as components, sum(parcels)::bigint as parcels from grouped join size using (component) group by group_id",
+    "articulation_test": f"""with recursive {_PIECES},
+        edge as (select src, dst, a.nid as ns, b.nid as nd from le join tl a on a.tile_id = src join tl b on b.tile_id = dst where a.nid <> b.nid),
+        give as (select distinct src as tile, ns as n1, nd as n2 from edge union select dst, nd, ns from edge),
+        leaver as (select distinct tile, n1 from give),
+        near as (select tile, dst as v from leaver join iw on iw.src = tile and iw.nid = n1),
+        r(tile, v) as (select tile, min(v) from near group by tile union select r.tile, iw.dst from r join iw on iw.src = r.v where iw.dst <> r.tile),
+        split as (select distinct tile from near where not exists (select 1 from r where r.tile = near.tile and r.v = near.v))
+        select 'd:' || tile || ':' || n2 as cand, tile from give where tile in (select tile from split)""",
     "worker_count": f"with recursive {_SIZES} select cast(greatest(1, least(floor(sum(parcels) / max(parcels) + 0.5), count(*), 8)) as integer) as workers from size",
     "mixed_tiles": f"with {_COARSE} select tile_id, nid, parcels from lab where mixed",
     "boundary_edges": f"with {_COARSE} select i, j from border",
@@ -249,6 +309,10 @@ ORACLES: dict[str, str] = {
     "best_move": f"""with d as (with {_DONATE} select cand, 'donation' as kind, n1, n2, gain from gain join dcand using (cand)), s as (with {_SWAP} select cand, 'swap' as kind, ni as n1, nj as n2, gain from gain join scand using (cand)),
         a as (select cand, kind, least(n1, n2) % 4 as batch, round(gain, 9) + 0.0 as gain from (select * from d union all select * from s))
         select batch, cand, kind, {_round('gain')} as gain from a qualify row_number() over (partition by batch order by a.gain desc, cand) = 1""",
+    "refused_moves": f"with recursive {_COARSE}, {_REFUSED} select cand from refused",
+    "legal_move": f"""with recursive {_COARSE}, {_REFUSED}, d as (with {_DONATE} select cand, 'donation' as kind, n1, n2, gain from gain join dcand using (cand)), s as (with {_SWAP} select cand, 'swap' as kind, ni as n1, nj as n2, gain from gain join scand using (cand)),
+        a as (select cand, kind, least(n1, n2) % 4 as batch, round(gain, 9) + 0.0 as gain from (select * from d union all select * from s) where cand not in (select cand from refused))
+        select batch, cand, kind, {_round('gain')} as gain from a qualify row_number() over (partition by batch order by a.gain desc, cand) = 1""",
     "island_test": f"""with {_COARSE}, way as (select 's:' || i || ':' || j as cand, i, j, a.nid as ni, b.nid as nj from border join lab a on a.tile_id = i join lab b on b.tile_id = j where i <> j),
         side as (select cand, ni as nid, i as leaving, j as arriving from way union all select cand, nj, j, i from way),
         nb as (select src as t, dst as o from ce union all select dst, src from ce)

@@ -15,7 +15,8 @@ from tesselle.operators import anneal, graph, moves, prep, scoring, seeding, spa
 from tesselle.operators.components import connected_components
 from tesselle.plans.oracles import ORACLES as ORACLES
 from tesselle.scratch import stash
-from tesselle.sources import store, tables
+from tesselle.sources import features, store, tables
+from tesselle.sources import parcels as parcel_files
 from tesselle.streaming import progress
 
 #: Fields that the score queries use and their weights.
@@ -46,7 +47,9 @@ def derived(s: SparkSession, d: str) -> DataFrame:
 
 
 def binned(s: SparkSession, d: str) -> DataFrame:
-    out = prep.quantile_bins(derived(s, d), list(WEIGHTS), BINS)
+    """The scored fields in quantile bins; the fields are written first, since edges and bins read them several times."""
+    fields = stash(derived(s, d).select("parcel_id", "tile_id", "nid", *WEIGHTS))
+    out = prep.quantile_bins(fields, list(WEIGHTS), BINS)
     return out.select("parcel_id", "tile_id", "nid", *(F.col(prep.scored_name(f)).alias(f) for f in WEIGHTS))
 
 
@@ -54,14 +57,17 @@ def codes(s: SparkSession, d: str) -> DataFrame:
     return prep.bin_codes(binned(s, d), list(WEIGHTS))
 
 
+def tile_cells(s: SparkSession, d: str) -> DataFrame:
+    return stash(scoring.tile_cells(codes(s, d)))
+
+
 def scores(s: SparkSession, d: str, exact: bool = False) -> DataFrame:
     return scoring.score_labels(codes(s, d), weights(s), exact=exact)
 
 
 def lattice(s: SparkSession, d: str) -> DataFrame:
-    """Populated tiles of the 100 ft-lattice-like 500 ft tiles with strips left out: four islands."""
-    p = tables.positions(s, d).filter(F.col("px") - 2500 * F.floor(F.col("px") / 2500) < 2000)
-    return p.withColumns({"tile_id": tables.lattice_id("px", "py", 500.0, 100), "nid": tables.lattice_id("px", "py", 4000.0, 3)})
+    """All parcels on 500 ft tiles, with start labels that lie across the strips of :func:`lattice_pairs`."""
+    return tables.positions(s, d).withColumns({"tile_id": tables.lattice_id("px", "py", 500.0, 100), "nid": tables.lattice_id("px", "py", 4000.0, 3)})
 
 
 def tile_boxes(p: DataFrame, size: float, columns: int) -> DataFrame:
@@ -71,7 +77,9 @@ def tile_boxes(p: DataFrame, size: float, columns: int) -> DataFrame:
 
 
 def lattice_pairs(s: SparkSession, d: str) -> DataFrame:
-    return spatial.within_distance(tile_boxes(lattice(s, d), 500.0, 100), REACH_FT)
+    """Adjacent tiles of one strip of five columns: canals between the strips make islands of them."""
+    strip = lambda end: F.floor(F.col(end) / 500)
+    return spatial.within_distance(tile_boxes(lattice(s, d), 500.0, 100), REACH_FT).filter(strip("src") == strip("dst"))
 
 
 def lattice_edges(s: SparkSession, d: str) -> DataFrame:
@@ -105,25 +113,32 @@ def border(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return moves.boundary(coarse_edges(s, d), labels), labels
 
 
-def donation_gains(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def donation_gains(s: SparkSession, d: str, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     b, labels = border(s, d)
     ways = moves.donations(b, labels)
-    return ways, moves.gains(moves.donation_sides(ways), codes(s, d), weights(s))
+    return ways, moves.gains(moves.donation_sides(ways), cells or tile_cells(s, d), weights(s))
 
 
-def swap_gains(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def swap_gains(s: SparkSession, d: str, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     b, labels = border(s, d)
     ways = moves.swaps(b, labels)
-    return ways, moves.gains(moves.swap_sides(ways), codes(s, d), weights(s))
+    return ways, moves.gains(moves.swap_sides(ways), cells or tile_cells(s, d), weights(s))
 
 
 def all_gains(s: SparkSession, d: str) -> DataFrame:
     """Donations and swaps with their gains and the batch they were drawn in."""
-    (a, ga), (b, gb) = donation_gains(s, d), swap_gains(s, d)
+    cells = tile_cells(s, d)
+    (a, ga), (b, gb) = donation_gains(s, d, cells), swap_gains(s, d, cells)
     both = a.join(ga, "cand").select("cand", "kind", "n1", "n2", "gain").unionByName(b.join(gb, "cand").select("cand", "kind", "n1", "n2", "gain"))
     return both.withColumn("batch", F.least("n1", "n2") % 4).withColumn("gain", number("gain", 9))
 
 
+def refused(s: SparkSession, d: str) -> DataFrame:
+    """``(cand)``: the moves over the boundary that would split a label or set a swapped tile down alone."""
+    b, labels = border(s, d)
+    return moves.breaking(moves.donations(b, labels), moves.swaps(b, labels), coarse_edges(s, d), labels)
+
+
 def islands_of(s: SparkSession, d: str) -> DataFrame:
     b, labels = border(s, d)
     return moves.islands(moves.swaps(b, labels), coarse_edges(s, d), labels)
@@ -208,14 +223,16 @@ def split_of(s: SparkSession, d: str) -> DataFrame:
 
 
 def annealed(s: SparkSession, d: str) -> DataFrame:
-    """Each island refined by its own chain, a few hundred iterations."""
+    """Each island refined by its own chain, on the operator's own schedule."""
     p, parts = lattice(s, d), stash(lattice_components(s, d))
-    coded = stash(codes(s, d))
+    fields = list(WEIGHTS)
+    bins = stash(binned(s, d).select("parcel_id", *fields))
+    coded = prep.wide_codes(bins, fields)
     lab = graph.split_labels(p, parts).select("parcel_id", "component", F.col("split").alias("nid"))
-    own = coded.groupBy("parcel_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "code"))).alias("codes"))
-    ready = stash(p.drop("nid").join(lab, "parcel_id").join(own, "parcel_id").select("parcel_id", "tile_id", "nid", "component", "codes"))
+    ready = stash(p.drop("nid").join(lab, "parcel_id").join(coded, "parcel_id").select("parcel_id", "tile_id", "nid", "component", *fields))
     groups = stash(graph.group_components(graph.component_sizes(p, parts), 4))
-    out = anneal.anneal(ready, lattice_edges(s, d), groups, scoring.global_histogram(coded), WEIGHTS, anneal.Schedule(max_iterations=200))
+    overall = scoring.global_histogram(ready.unpivot(["parcel_id"], fields, "field", "code"))
+    out = anneal.anneal(ready, lattice_edges(s, d), groups, overall, WEIGHTS, anneal.Schedule())
     return out.select("group_id", "parcel_id", "nid")
 
 
@@ -228,6 +245,48 @@ def near_point(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def adjacency_modes(s: SparkSession, d: str) -> DataFrame:
+    """Edges between 1000 ft tiles by every rule."""
+    everything = footprints(s, d)
+    out = None
+    for name, mode, sightline in (("tile", "tile", False), ("near", "parcel", False), ("sight", "parcel", True)):
+        one = spatial.tile_adjacency(mode, gapped_tiles(s, d), everything, tables.placed(s, d), REACH_FT, sightline).withColumn("rule", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def tiles_from_cache(s: SparkSession, d: str) -> DataFrame:
+    """The gapped tiles, and the outlines of parcels that lie in none, rebuilt from placed parcels."""
+    t = gapped_tiles(s, d)
+    seats = spatial.virtual_tiles(spatial.points_in_tiles(tables.positions(s, d), t, 1000.0)).select("parcel_id", "tile_id")
+    return spatial.tiles_of(seats.join(footprints(s, d).withColumnRenamed("id", "parcel_id"), "parcel_id"), t)
+
+
+def scanned(s: SparkSession, d: str) -> DataFrame:
+    """A parcel file with outlines, filtered, clipped to an area, and binned."""
+    own = tables.parcels(s, d).join(tables.scan(s, d, "orders").select(F.col("o_orderkey").alias("parcel_id"), "o_orderstatus"), "parcel_id")
+    boxed = own.join(footprints(s, d).withColumnRenamed("id", "parcel_id"), "parcel_id").drop("px", "py")
+    file = stash(boxed.select("parcel_id", "o_orderstatus", "assr_market_value", "bldg_area_finished_sqft", parcel_files.with_crs(shapes.box_wkb("x0", "y0", "x1", "y1"), "EPSG:2237")))
+    config = store.RunConfig(parcel_filter_column="o_orderstatus", parcel_filter_value="F", continuous_variables=["assr_market_value", "assr_impr_ppsf"], max_bins=10, weights={"assr_market_value_binned": 1.0})
+    area = shapes.polygon_wkb([[(1000.0, 500.0), (9e9, 500.0), (9e9, 9000.0), (1000.0, 9000.0), (1000.0, 500.0)]])
+    out = parcel_files.load_parcels(s, file.stash_path, config, "EPSG:2237", area)
+    return out.select("parcel_id", number("px").alias("px"), number("py").alias("py"), "assr_market_value_binned", "assr_impr_ppsf_binned")
+
+
+def elements(s: SparkSession, d: str) -> DataFrame:
+    """Parcels as JSON map elements: closed ways, open ways, and relations of two halves with a hole."""
+    point = lambda dx, dy: F.struct((F.col("px") + dx).alias("lon"), (F.col("py") + dy).alias("lat"))
+    path = lambda *corners: F.array(*(point(*c) for c in corners))
+    member = lambda role, *corners: F.struct(F.lit(role).alias("role"), path(*corners).alias("geometry"))
+    ring = [(-25, -25), (25, -25), (25, 25), (-25, 25), (-25, -25)]
+    hole = [(-10, -10), (10, -10), (10, 10), (-10, 10), (-10, -10)]
+    parts = F.array(member("outer", *ring[:3]), member("inner", *hole), member("", *ring[2:]), member("outer", (0, 0)))
+    kind = F.col("parcel_id") % 3
+    way = F.struct(F.lit("way").alias("type"), F.col("parcel_id").alias("id"), F.when(kind == 0, path(*ring)).otherwise(path(*ring[:3])).alias("geometry"))
+    relation = F.struct(F.lit("relation").alias("type"), F.col("parcel_id").alias("id"), parts.alias("members"))
+    return tables.positions(s, d).select("parcel_id", F.when(kind < 2, F.to_json(way)).otherwise(F.to_json(relation)).alias("element"))
+
+
 def stream_novelty(s: SparkSession, d: str) -> DataFrame:
     """The novelty windows of ``events`` read as a stream, after the stream has ended."""
     import uuid
@@ -271,7 +330,7 @@ QUERIES = {
     "clip_within_polygon": lambda s, d: tables.positions(s, d).filter(shapes.within_polygon("px", "py", shapes.polygon_wkb([[(1000, 1000), (9000, 2000), (5000, 9000), (1000, 1000)], [(4000, 3000), (5000, 3000), (5000, 4000), (4000, 4000), (4000, 3000)]]))).select("parcel_id"),
     "bounds_aggregate": lambda s, d: tables.positions(s, d).agg(F.min("px").alias("xmin"), F.min("py").alias("ymin"), F.max("px").alias("xmax"), F.max("py").alias("ymax")),
     "viewport_count": lambda s, d: tables.placed(s, d).filter("px between 2000 and 6000 and py between 1000 and 3000").agg(F.count("*").alias("visible"), F.countDistinct("tile_id").alias("tiles")),
-    "median_impute": lambda s, d: seeding.impute(derived(s, d), ["assr_impr_ppsf", "bldg_area_finished_sqft"]).select("parcel_id", number("assr_impr_ppsf").alias("assr_impr_ppsf"), number("bldg_area_finished_sqft").alias("bldg_area_finished_sqft")),
+    "median_impute": lambda s, d: seeding.impute(stash(derived(s, d).select("parcel_id", "assr_impr_ppsf", "bldg_area_finished_sqft")), ["assr_impr_ppsf", "bldg_area_finished_sqft"]).select("parcel_id", number("assr_impr_ppsf").alias("assr_impr_ppsf"), number("bldg_area_finished_sqft").alias("bldg_area_finished_sqft")),
     # histograms and scores
     "hist_global": lambda s, d: scoring.global_histogram(codes(s, d)),
     "hist_by_neighborhood": lambda s, d: scoring.label_histogram(codes(s, d)),
@@ -288,7 +347,7 @@ QUERIES = {
     "water_clip": lambda s, d: clipped(s, d).groupBy("tile_id").agg(number(F.sum("sqft"), 3).alias("sqft")),
     "point_in_tile": lambda s, d: spatial.points_in_tiles(tables.positions(s, d), gapped_tiles(s, d), 1000.0).select("parcel_id", "tile_id"),
     "virtual_tiles": lambda s, d: spatial.virtual_tiles(spatial.points_in_tiles(tables.positions(s, d), gapped_tiles(s, d), 1000.0)),
-    "populated_tiles": lambda s, d: spatial.grid_cells(tab(s, [(0.0, 0.0, 12000.0, 10000.0)], "xmin double, ymin double, xmax double, ymax double"), 1000.0).join(
+    "populated_tiles": lambda s, d: spatial.grid_cells(tables.positions(s, d).agg(F.min("px").alias("xmin"), F.min("py").alias("ymin"), (F.max("px") + 2000).alias("xmax"), F.max("py").alias("ymax")), 1000.0).join(
         tables.positions(s, d).select(F.concat_ws(":", F.floor(F.col("px") / 1000), F.floor(F.col("py") / 1000)).alias("cell")), "cell", "left_semi"
     ).select("cell"),
     "dwithin_boxes": lambda s, d: near_footprints(s, d).select("src", "dst", number("distance").alias("distance")),
@@ -297,7 +356,14 @@ QUERIES = {
     "adjacency_isolates": lambda s, d: spatial.adjacency_with_isolates(lattice_edges(s, d), lattice(s, d)),
     "obstacles_by_mode": lambda s, d: obstacle_modes(s, d),
     "nearest_tile": near_point,
-    "union_dedupe": lambda s, d: footprints(s, d).filter("id < 400").select("x0", "y0", "x1", "y1").unionByName(footprints(s, d).filter("id < 800").select("x0", "y0", "x1", "y1")).dropDuplicates(),
+    "adjacency_modes": adjacency_modes,
+    "tiles_from_cache": tiles_from_cache,
+    "parcel_scan": scanned,
+    "json_lines": lambda s, d: features.lines(elements(s, d)).select("parcel_id", "line", F.size("points").alias("points"), number(F.col("points")[0]["lon"]).alias("lon"), number(F.col("points")[0]["lat"]).alias("lat")),
+    "json_polygons": lambda s, d: features.polygons(elements(s, d)).select("parcel_id", "part", number(shapes.wkb_area("geom"), 3).alias("sqft")),
+    "transparent_report": lambda s, d: prep.transparent_classes(tables.scan(s, d, "part"), "p_name"),
+    "owned_labels": lambda s, d: graph.owned_labels(moves.tile_labels(lattice(s, d))),
+    "union_dedupe": lambda s, d: shapes.distinct_shapes(outlines(footprints(s, d)).unionByName(outlines(gapped_tiles(s, d))).unionByName(outlines(footprints(s, d)))).select("x0", "y0", "x1", "y1"),
     "states_for_bounds": lambda s, d: tab(s, [("12", -87.6, 24.5, -80.0, 31.0), ("13", -85.6, 30.4, -80.8, 35.0), ("01", -88.5, 30.2, -84.9, 35.0), ("13", -85.6, 30.4, -80.8, 35.0), ("48", -106.6, 25.8, -93.5, 36.5)], "state string, x0 double, y0 double, x1 double, y1 double").filter("x0 <= -84.0 and x1 >= -85.2 and y0 <= 30.9 and y1 >= 30.1").select("state").dropDuplicates(),
     "crs_choice": lambda s, d: tab(s, [("EPSG:2236", 90.0, False), ("EPSG:2237", 80.0, False), ("EPSG:26759", 12.0, True), ("EPSG:6438", 95.0, False)], "crs string, area double, nad27 boolean").agg(F.min_by("crs", F.col("area") * F.when(F.col("nad27"), 10.0).otherwise(1.0)).alias("crs")),
     # graph
@@ -317,12 +383,14 @@ QUERIES = {
     "donation_gain": lambda s, d: donation_gains(s, d)[1].select("cand", number("gain").alias("gain")),
     "swap_gain": lambda s, d: swap_gains(s, d)[1].select("cand", number("gain").alias("gain")),
     "best_move": lambda s, d: moves.best_moves(all_gains(s, d)).select("batch", "cand", "kind", number("gain").alias("gain")),
+    "legal_move": lambda s, d: moves.best_moves(all_gains(s, d).join(refused(s, d), "cand", "left_anti")).select("batch", "cand", "kind", number("gain").alias("gain")),
+    "refused_moves": refused,
     "island_test": islands_of,
     "articulation_test": splits_of,
-    "consolidate_jacobi": lambda s, d: moves.consolidate_at_once(codes(s, d), weights(s)).select("tile_id", "nid", number("score").alias("score")),
+    "consolidate_jacobi": lambda s, d: moves.consolidate_at_once(tile_cells(s, d), weights(s)).select("tile_id", "nid", number("score").alias("score")),
     "expand_labels": lambda s, d: graph.expand_labels(tables.placed(s, d).select("parcel_id", "tile_id", "nid"), moves.tile_labels(tables.placed(s, d)).filter("mixed")),
     "edge_class": lambda s, d: classed(s, d).withColumn("gap_ft", number("gap_ft")),
-    "edge_class_pct": lambda s, d: spatial.class_summary(classed(s, d)).select("edge_class", "n", number("percent").alias("percent"), number("median_gap").alias("median_gap"), number("max_gap").alias("max_gap")),
+    "edge_class_pct": lambda s, d: spatial.class_summary(stash(classed(s, d))).select("edge_class", "n", number("percent").alias("percent"), number("median_gap").alias("median_gap"), number("max_gap").alias("max_gap")),
     "weak_tiles": lambda s, d: spatial.weak_tiles(inner_edges(s, d)),
     "fragments_by_class": fragments,
     "neighbors_of": lambda s, d: graph.neighbours_of(classed(s, d), 44),
@@ -367,24 +435,36 @@ def obstacle_modes(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def rectangle(x0: float, y0: float, x1: float, y1: float) -> bytearray:
-    return bytearray(shapes.polygon_wkb([[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]))
+def outlines(boxes: DataFrame) -> DataFrame:
+    """Boxes with their outline as a polygon."""
+    return boxes.withColumn("geom", shapes.box_wkb("x0", "y0", "x1", "y1"))
+
+
+def squares(s: SparkSession, d: str) -> DataFrame:
+    """The populated 10,000 ft squares: ``(area_id, x0, y0, x1, y1)``, 9,500 ft high."""
+    at = tables.positions(s, d).select(F.floor(F.col("px") / tables.SQUARE_FT).cast("long").alias("area_id")).distinct()
+    return at.select("area_id", (F.col("area_id") * tables.SQUARE_FT).alias("x0"), F.lit(0.0).alias("y0"), ((F.col("area_id") + 1) * tables.SQUARE_FT).alias("x1"), F.lit(9500.0).alias("y1"))
 
 
 def shattered(s: SparkSession, d: str) -> DataFrame:
-    """A 10,000 by 9,500 ft area cut along the lattice of 1000 ft."""
-    bounds = tab(s, [(0.0, 0.0, 10000.0, 10000.0)], "xmin double, ymin double, xmax double, ymax double")
-    areas = tab(s, [(1, rectangle(0.0, 0.0, 10000.0, 9500.0))], "area_id long, geom binary")
-    return linework.shatter_areas(areas, spatial.grid_lines(bounds, 1000.0).withColumn("area_id", F.lit(1).cast("long")))
+    """Every populated square cut along the lattice of 1000 ft."""
+    areas = squares(s, d)
+    bounds = areas.select("area_id", F.col("x0").alias("xmin"), F.col("y0").alias("ymin"), F.col("x1").alias("xmax"), F.col("y1").alias("ymax"))
+    return linework.shatter_areas(outlines(areas).select("area_id", "geom"), spatial.grid_lines(bounds, 1000.0))
+
+
+def waters(s: SparkSession, d: str) -> DataFrame:
+    """A river through every populated square, and a pond for every supplier in the tile of its number."""
+    river = squares(s, d).select((F.col("x0") + 2500).alias("x0"), F.lit(-100.0).alias("y0"), (F.col("x0") + 2700).alias("x1"), F.lit(20000.0).alias("y1"))
+    tile, side = F.col("s_suppkey"), 100.0 + 50 * (F.col("s_suppkey") % 5)
+    corner = tables.scan(s, d, "supplier").select((F.floor(tile / 10) * 1000.0 + 100).alias("x0"), ((tile % 10) * 1000.0 + 100).alias("y0"), side.alias("side"))
+    pond = corner.select("x0", "y0", (F.col("x0") + F.col("side")).alias("x1"), (F.col("y0") + F.col("side")).alias("y1"))
+    return outlines(river.unionByName(pond))
 
 
 def clipped(s: SparkSession, d: str) -> DataFrame:
-    """The populated 1000 ft tiles without a river and a pond."""
-    boxes = "x0 double, y0 double, x1 double, y1 double"
-    t = tile_boxes(tables.placed(s, d), 1000.0, 10)
-    geoms = tab(s, [(i * 10 + j, rectangle(i * 1000.0, j * 1000.0, i * 1000.0 + 1000, j * 1000.0 + 1000)) for i in range(10) for j in range(10)], "id long, geom binary")
-    water = tab(s, [(rectangle(2500.0, -100.0, 2700.0, 20000.0), 2500.0, -100.0, 2700.0, 20000.0), (rectangle(4100.0, 4100.0, 4600.0, 4300.0), 4100.0, 4100.0, 4600.0, 4300.0)], "geom binary, " + boxes)
-    return linework.clip_out(t.join(geoms, "id"), water)
+    """The populated 1000 ft tiles without rivers and ponds."""
+    return linework.clip_out(outlines(tile_boxes(tables.placed(s, d), 1000.0, 10)), waters(s, d))
 
 
 def worker_messages(s: SparkSession, d: str) -> DataFrame:

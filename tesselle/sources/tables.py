@@ -19,18 +19,31 @@ def mod(x: str, m: int) -> Column:
     return F.pmod(F.col(x), F.lit(m))
 
 
+#: Parcels fill one 10,000 ft square after another, eastwards, so many in each: density stays as it is.
+SQUARE_FT, SQUARE_PARCELS = 10_000.0, 12_000
+
+
+def px(parcel: str = "parcel_id") -> Column:
+    return ((F.col(parcel) * 7919) % 9973 + SQUARE_FT * F.floor(F.col(parcel) / SQUARE_PARCELS)).cast("double")
+
+
+def py(parcel: str = "parcel_id") -> Column:
+    return ((F.col(parcel) * 104729) % 9967).cast("double")
+
+
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One parcel for each order, with a position, a value and two areas.
 
     ``parcel_id, px, py, assr_market_value, bldg_area_finished_sqft, land_area_sqft``; the areas
-    are null for an order without lines.  Positions lie on a 10,000 ft square.
+    are null for an order without lines.  Positions lie on a row of 10,000 ft squares that grows
+    with the table.
     """
     areas = scan(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("parcel_id")).agg(F.sum("l_quantity").alias("bldg_area_finished_sqft"), F.max("l_extendedprice").alias("land_area_sqft"))
     o = scan(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("parcel_id"), F.col("o_totalprice").alias("assr_market_value"))
     return o.join(areas, "parcel_id", "left").select(
         "parcel_id",
-        ((F.col("parcel_id") * 7919) % 9973).cast("double").alias("px"),
-        ((F.col("parcel_id") * 104729) % 9967).cast("double").alias("py"),
+        px().alias("px"),
+        py().alias("py"),
         "assr_market_value",
         "bldg_area_finished_sqft",
         "land_area_sqft",
@@ -40,16 +53,16 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``parcel_id, px, py`` alone: needs no join."""
     o = scan(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("parcel_id"))
-    return o.select("parcel_id", ((F.col("parcel_id") * 7919) % 9973).cast("double").alias("px"), ((F.col("parcel_id") * 104729) % 9967).cast("double").alias("py"))
+    return o.select("parcel_id", px().alias("px"), py().alias("py"))
 
 
 def lattice_id(x: str, y: str, size: float, columns: int) -> Column:
-    """Number of the lattice cell of a point: column * columns + row."""
+    """Number of the lattice cell of a point: column * columns + row (there may be any number of columns, and at most ``columns`` rows)."""
     return (F.floor(F.col(x) / size) * columns + F.floor(F.col(y) / size)).cast("long")
 
 
 def placed(spark: SparkSession, sf_dir: str, tile: float = 1000.0, label: float = 2500.0) -> DataFrame:
-    """Positions with their tile (10 by 10) and start label (4 by 4)."""
+    """Positions with their tile (10 by 10 in each square) and start label (4 by 4)."""
     return positions(spark, sf_dir).withColumns({"tile_id": lattice_id("px", "py", tile, 10), "nid": lattice_id("px", "py", label, 4)})
 
 

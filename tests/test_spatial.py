@@ -94,8 +94,13 @@ def test_components_against_plain(spark):
         if None not in (a, b):
             x, y = sorted((find(a), find(b)))
             up[y] = x
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert got == {v: find(v) for v in up}
+    table = spark.createDataFrame(edges, "src long, dst long")
+    text = table.select(F.format_string("v%04d", "src").alias("src"), F.format_string("v%04d", "dst").alias("dst")).filter("src not like '%null%'")
+    for local in (0, 10_000):
+        got = {r.node: r.component for r in connected_components(table, local_edges=local).collect()}
+        assert got == {v: find(v) for v in up}
+        named = {r.node: r.component for r in connected_components(text, local_edges=local).collect()}
+        assert named == {f"v{v:04d}": f"v{find(v):04d}" for v in up}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
@@ -140,7 +145,7 @@ def test_footprint_queries_take_every_parcel(spark, tmp_path):
 
     ids = [*range(1, 400), *range(11_900, 12_300), *range(149_000, 149_400)]
     spark.createDataFrame([(i,) for i in ids], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
-    at = {i: (i * 7919 % 9973, i * 104729 % 9967) for i in ids}
+    at = {i: (i * 7919 % 9973 + 10_000 * (i // 12_000), i * 104729 % 9967) for i in ids}
     gap = lambda p, q: max(0, abs(p - q) - 50)
     pairs = {(i, j) for i in ids for j in ids if i < j and gap(at[i][0], at[j][0]) ** 2 + gap(at[i][1], at[j][1]) ** 2 <= 100**2}
     assert any(j >= 12_000 for _, j in pairs)
