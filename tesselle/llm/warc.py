@@ -30,7 +30,7 @@ REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 
 #: An archive is closed at this many payload bytes or records.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 2 << 20, 512
-#: The dictionary is trained on at most this many pages of at most this many bytes.
+#: The dictionary is trained on about this many pages of at most this many bytes.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 32_768, 32_768
 
 
@@ -186,15 +186,16 @@ def read_archive(data: bytes) -> Iterator[bytes]:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of pages (by a hash of page_id); empty if too few."""
-    rows = (
-        pages.filter(F.octet_length("html").between(64, SAMPLE_BYTES))
-        .select("page_id", "html", F.xxhash64("page_id", F.lit(3)).alias("k"))
-        .orderBy("k", "page_id", F.xxhash64("html"))
-        .limit(SAMPLE_PAGES)
-        .collect()
-    )
-    samples = [make_record(r.page_id, "", r.html.encode(), "A" * 32, None) for r in rows]
+    """A dictionary from a bounded sample of pages; empty if too few.
+
+    Pages are sampled by a hash of page_id whose share follows from their count, so about
+    SAMPLE_PAGES of them (at most twice as many) reach the driver, however many there are.
+    """
+    some = pages.filter(F.octet_length("html").between(64, SAMPLE_BYTES))
+    n = some.count()
+    hashed = F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(1 << 40))
+    rows = some.filter(hashed < F.lit(int((1 << 40) * min(1.0, SAMPLE_PAGES / max(n, 1))))).select("page_id", "html").limit(2 * SAMPLE_PAGES).collect()
+    samples = [make_record(r.page_id, "", r.html.encode(), "A" * 32, None) for r in sorted(rows, key=lambda r: (r.page_id is None, r.page_id, r.html))]
     if len(samples) < 16:
         return b""
     try:
@@ -209,15 +210,16 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     Of rows with equal payloads of at least ``min_revisit_bytes``, those with the smallest
     page_id are responses and the others revisit it.  A null html is an empty payload; a
     null url an empty target; a row without page_id is a response, and rows that repeat a
-    page_id and payload are alike.  Digests decide equality (SHA-1, narrow rows in the
-    shuffle); the join on them is an ordinary equi-join, so a payload that very many pages
-    share is split by adaptive execution.
+    page_id and payload are alike.  Digests decide equality (SHA-1).  The first page of each
+    payload that several have is found over narrow rows, combined before the shuffle, and
+    written; pages are then joined to that table, so adaptive execution can split a payload that
+    very many of them share.
     """
     dictionary = train_dictionary(pages)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     first = rows.filter((F.octet_length("html") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.expr("if(page_id > first, first, null)").alias("refers_to"))
+    rows = rows.join(stash(first), "digest", "left").select("page_id", "url", "html", "digest", F.expr("if(page_id > first, first, null)").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
