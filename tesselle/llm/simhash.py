@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tesselle.llm import textkit as tk
 from tesselle.llm.cells import component_roots, large_cells, pairs_within, split, whole_cells
 from tesselle.operators.components import connected_components
-from tesselle.scratch import discard, stash
+from tesselle.scratch import discard, settled, stash
 
 SEED = 42
 #: A cell with more fingerprints is compared in parts, each pair of parts by a task of its own.
@@ -224,10 +224,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     rows each get a row; other columns are ignored; an empty table gives an empty result.
     """
     fps = stash(fingerprints(docs, width))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    known = classes.filter("node is not null")
-    tree = connected_components(links(known, radius))
-    named = classes.join(tree, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+
+    def named() -> DataFrame:
+        classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+        tree = connected_components(links(classes.filter("node is not null"), radius))
+        return classes.join(tree, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+
+    named = settled(named)  # a table, so that a fingerprint that very many have can be split in the join
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -483,6 +486,10 @@ def duplicate_groups(docs: DataFrame, width: int = 5, radius: int = 8, similarit
     texts are always one group.  A group is named by its smallest doc_id.  Rows without doc_id
     are left out; an id with several texts is linked through each of them.
     """
+    return settled(lambda: _groups(docs, width, radius, similarity))
+
+
+def _groups(docs: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
     told = docs.filter("doc_id is not null").select("doc_id", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("sha"), "text")
     drawn = stash(_sketches(told, width, similarity))
     same = stash(drawn.groupBy("sha").agg(F.min("doc_id").alias("node")))
@@ -492,7 +499,7 @@ def duplicate_groups(docs: DataFrame, width: int = 5, radius: int = 8, similarit
     items = stash(items.withColumn("item", F.xxhash64("sha")))
     discard(drawn)
     nodes = items.select("fp", "node").distinct()
-    classes = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    classes = stash(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     equal = nodes.join(classes, "fp").filter("node <> rep").select(F.col("node").alias("src"), F.col("rep").alias("dst"))
     edges = stash(links(classes.withColumnRenamed("rep", "node"), radius).unionByName(equal).distinct())
     root = connected_components(edges).filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
