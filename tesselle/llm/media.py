@@ -24,11 +24,42 @@ def payload_of(text: bytes) -> bytes:
     return text + b" " * (-len(text) % WIDTH if text else WIDTH)
 
 
+#: log2 of the side of a predictor block, and how much of the bits a predictor must leave at most.
+BLOCK_BITS, WORTH = 9, 0.8
+#: Predictors that are tried: black (a pixel stays as it is), left and top (fixed values of the format).
+MODES = (0, 1, 2)
+
+
+def bits_of(samples: np.ndarray) -> float:
+    """What an ideal prefix code would take for the samples."""
+    n = np.bincount(samples, minlength=256)
+    n = n[n > 0]
+    return float((n * np.log2(len(samples) / n)).sum())
+
+
+def predictors(samples: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """The block image of the cheapest predictor of each block of rows (of WIDTH samples), or None if none pays."""
+    rows = samples.reshape(-1, WIDTH)
+    left, top = rows.copy(), rows.copy()
+    left[:, 1:] -= rows[:, :-1]
+    top[1:] -= rows[:-1]
+    chosen = []
+    for at in range(0, len(rows), 1 << BLOCK_BITS):
+        cost = [bits_of(x[at : at + (1 << BLOCK_BITS)].ravel()) for x in (rows, left, top)]
+        best = int(np.argmin(cost))
+        chosen.append(MODES[best] if cost[best] <= WORTH * cost[0] else 0)
+    if not any(chosen):
+        return None
+    return (np.uint32(webp.BLACK) | np.array(chosen, np.uint32) << np.uint32(8))[:, None], BLOCK_BITS
+
+
 def to_media(payload: bytes) -> bytes:
     """The payload as grey lossless WebP images, one byte a sample.
 
-    An image of few values is stored by palette, others with green subtracted.  Copies may
-    begin where a run of letters begins, so repeated words and lines cost little.
+    An image of few values is stored by palette, others with green subtracted, and with a predictor
+    where one would save a fifth of the bits.  Copies may begin where a run of letters begins, so repeated
+    words and lines cost little.  A colour cache, cross-colour and several code groups never
+    pay for one grey channel, so the stored form has none of them.
     """
     out = []
     for at in range(0, len(payload), WIDTH * ROWS):
@@ -36,7 +67,7 @@ def to_media(payload: bytes) -> bytes:
         pixels = np.uint32(webp.BLACK) | samples.astype(np.uint32) * _GREY
         few = np.count_nonzero(np.bincount(samples, minlength=256)) <= 16
         starts = np.flatnonzero(samples[:-1] <= 32) + 1
-        out.append(webp.encode(pixels.reshape(-1, WIDTH), palette=few, green=not few, copy_starts=None if few else starts))
+        out.append(webp.encode(pixels.reshape(-1, WIDTH), palette=few, green=not few, predictor=None if few else predictors(samples), copy_starts=None if few else starts))
     return b"".join(out)
 
 
