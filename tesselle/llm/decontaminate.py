@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselle.llm import textkit as tk
-from tesselle.scratch import discard, stash
+from tesselle.scratch import discard, settled, stash
 
 WINDOW = 10
 #: A segment of the index covers about this many bytes of text (a longer text is a segment alone).
@@ -369,8 +369,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, with all their columns."""
     key, name = tk.row_key("doc_id", "text"), max(docs.columns, key=len) + "_"
-    found = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, width)
-    held = stash(found.filter("contaminated").select(F.col("doc_id").alias(name)).distinct())
+    held = settled(lambda: contamination(docs.select(key.alias("doc_id"), "text"), benchmark, width).filter("contaminated").select(F.col("doc_id").alias(name)).distinct())
     return docs.withColumn(name, key).join(held, name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tesselle.llm import textkit as tk
 from tesselle.llm.cells import component_roots, large_cells, pairs_within, split, whole_cells
 from tesselle.operators.components import connected_components
-from tesselle.scratch import discard, stash
+from tesselle.scratch import settled, stash
 
 EDITS = 2
 #: Equal lines are found from this length on (without outer blanks): all that aren't blank.  Lines of
@@ -326,6 +326,23 @@ def line_links(keyed: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return _near_lines(split(shared, ["key"], "id", CELL_ROWS).join(contents, "id"), edits)
 
 
+def _cuts(docs: DataFrame, edits: int) -> DataFrame:
+    """``(doc, rid, cut array<int>, n_near, n_links)`` of the documents with a line that others are linked to."""
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), tk.row_key("doc_id", "text").alias("rid"), "text")
+    lines = stash(_keyed_lines(keyed, edits))
+    links = stash(line_links(keyed, lines, edits))
+    classes = stash(connected_components(links).select(F.col("node").alias("h1"), F.col("component").alias("c")))
+    # A class is its least line's hash; a line without near ones is a class by both its hashes.
+    placed = lines.select("h1", "h2", "doc", "rid", "line").join(classes, "h1", "left")
+    placed = stash(placed.select("h1", "doc", "rid", "line", F.coalesce("c", "h1").alias("c1"), F.when(F.col("c").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2")).distinct())
+    first = placed.groupBy("c1", "c2").agg(F.min(F.struct("doc", "rid", "line", "h1")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    first = stash(first)  # a common line's class can then be split in the join
+    met = placed.join(first, ["c1", "c2"])
+    gone = ~((F.col("doc") == F.col("f.doc")) & (F.col("rid") == F.col("f.rid")) & (F.col("line") == F.col("f.line")))
+    marks = met.select("doc", "rid", "line", gone.alias("gone"), (F.col("h1") != F.col("f.h1")).alias("near"), (F.col("n") - 1).alias("n"))
+    return marks.groupBy("doc", "rid").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("cut"), F.sum((F.col("gone") & F.col("near")).cast("int")).alias("n_near"), F.sum("n").alias("n_links"))
+
+
 def deduplicate(docs: DataFrame, edits: int = EDITS, carry: bool = False) -> DataFrame:
     """``(doc_id, n_lines, n_removed, n_near, n_links, kept string)`` for every row of ``docs``;
     with ``carry`` also ``row``, the input row as a struct.
@@ -341,21 +358,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, carry: bool = False) -> Dat
     larger than any other; rows that repeat an id and its text are one document and each get
     a row; other columns are ignored; an empty table gives no rows.
     """
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), tk.row_key("doc_id", "text").alias("rid"), "text")
-    lines = stash(_keyed_lines(keyed, edits))
-    links = stash(line_links(keyed, lines, edits))
-    classes = stash(connected_components(links).select(F.col("node").alias("h1"), F.col("component").alias("c")))
-    # A class is its least line's hash; a line without near ones is a class by both its hashes.
-    placed = lines.select("h1", "h2", "doc", "rid", "line").join(classes, "h1", "left")
-    placed = stash(placed.select("h1", "doc", "rid", "line", F.coalesce("c", "h1").alias("c1"), F.when(F.col("c").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2")).distinct())
-    first = placed.groupBy("c1", "c2").agg(F.min(F.struct("doc", "rid", "line", "h1")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    first = stash(first)  # a common line's class can then be split in the join
-    met = placed.join(first, ["c1", "c2"])
-    gone = ~((F.col("doc") == F.col("f.doc")) & (F.col("rid") == F.col("f.rid")) & (F.col("line") == F.col("f.line")))
-    marks = met.select("doc", "rid", "line", gone.alias("gone"), (F.col("h1") != F.col("f.h1")).alias("near"), (F.col("n") - 1).alias("n"))
-    cuts = marks.groupBy("doc", "rid").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("cut"), F.sum((F.col("gone") & F.col("near")).cast("int")).alias("n_near"), F.sum("n").alias("n_links"))
-
-    discard(links)
+    cuts = settled(lambda: _cuts(docs, edits))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), tk.row_key("doc_id", "text").alias("rid"), *[whole] * carry)
     joined = keyed.join(cuts, ["doc", "rid"], "left").withColumn("out", F.arrow_udf(without_lines, "struct<n_lines:bigint,n_removed:bigint,kept:string>")("text", "cut"))
