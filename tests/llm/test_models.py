@@ -88,6 +88,49 @@ def test_discriminant_is_the_density_ratio():
     assert np.allclose(model.score(at), 1 / (1 + np.exp(dens[0] - dens[1])))
 
 
+def plain_statistics(text):
+    """The thirteen statistics, word by word."""
+    raw = (text or "").encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x]
+    stops, letters = b".,;:'-", [*range(65, 91), *range(97, 123), *range(128, 256)]
+    symbol = [b for b in range(33, 127) if not chr(b).isalnum() and b not in stops]
+    share = lambda kind: np.log((sum(b in kind for b in raw) + 0.6) / (len(raw) + 150))
+    rate = lambda n: np.log((n + 0.1) / (len(words) + 25))
+    return [
+        np.log1p(len(words)), np.log1p(sum(map(len, words)) / max(1, len(words))), share(range(65, 91)), share(range(48, 58)), share(stops), share(symbol), share(range(128, 256)),
+        rate(len(lines)), rate(len(words) - len(set(words))), rate(sum(a == b for a, b in zip(words, words[1:], strict=False))), np.log((len(lines) - len(set(lines)) + 0.05) / (len(lines) + 5)),
+        rate(sum(w[-1] in symbol for w in words)), rate(sum(len(w) == 1 and w[0] not in letters for w in words)),
+    ]
+
+
+def test_statistics_are_the_plain_ones(make, odd_rows, real):
+    rows = [(r.doc_id + 100, r.text) for r in real.limit(60).collect()] + [(i, t) for i, (_, t) in enumerate(odd_rows)]
+    got = {r.doc_id: r.x for r in quality.features(make(rows)).collect()}
+    assert all(np.allclose(got[d], plain_statistics(t)) for d, t in rows) and len(got) == len(rows)
+
+
+def test_toxicity_is_what_the_windows_save(spark, sf_dir, real, labels):
+    """Scores by cutting every text into windows of word codes, one compression at a time."""
+    import re
+
+    known = one_label(labels, "toxic").filter(~held_out()).select("doc_id", F.col("y").alias("group"))
+    from tesselle.llm.labelled import group_sizes, sample
+
+    model = toxicity.Model.learn(sample(real, known, group_sizes(known), toxicity.SAMPLE_TEXTS, toxicity.SAMPLE_BYTES))
+    plain, both = (toxicity._compressor(d) for d in (model.ordinary, model.ordinary + model.toxic))
+    got = {r.doc_id: r for r in toxicity.score(real, labels).collect()}
+    for r in real.collect():
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (r.text or "").encode()))
+        codes = [toxicity._codes(w.decode())[0] for w in words]
+        saved = []
+        for i in range(0, len(codes), toxicity.WINDOW):
+            window = toxicity.LEAD + b"".join(codes[i : i + toxicity.WINDOW])
+            saved.append(max(0, len(plain.compress(window)) - len(both.compress(window))))
+        x = [1, min(sum(saved), 24) / 8, min(max(saved, default=0), 8) / 4, np.log1p(len(saved)) / 4]
+        p = 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30)))
+        assert abs(got[r.doc_id].score - p) < 1e-9 and got[r.doc_id].predicted == int(p >= 0.7)
+
+
 def test_column_form_agrees(real, labels):
     feats = quality.features(real)
     model = quality.fit(feats, labels)
