@@ -10,18 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselle.llm import decontaminate, lines, packing, quality, simhash
-from tesselle.scratch import stash
+from tesselle.scratch import settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quadratic discriminant accepts."""
+    """The documents that the quadratic discriminant accepts.
+
+    A null text counts as empty and is judged like any other; rows that repeat are judged alike and
+    all stay or all go; a null doc_id stays null; without labels every document stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(stash(quality.features(docs)), labels)
+    model = quality.fit(settled(lambda: quality.features(docs)), labels)
     return docs.filter(quality.accepted(model))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document or line has; those with nothing left go."""
+    """Documents without the lines that an earlier document or line has; those with nothing left go.
+
+    Earlier is by doc_id (null last), then place.  A document that loses no line stays as it is,
+    null and empty texts included; rows that repeat an id and its text are one document, and each
+    row gets what is left of it.
+    """
     found = lines.deduplicate(docs, carry=True)
     left = found.filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
     new = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row")["n_chars"])}
@@ -29,19 +38,31 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (all pairs of similarity 0.8 in five-word shingles): the smallest id."""
+    """One document of each group of near-duplicates (all pairs of similarity 0.8 in five-word shingles): the smallest id.
+
+    Equal texts, empty and null ones among them, are one group; a document without doc_id
+    belongs to none and stays; of rows that repeat an id and its text one stays.
+    """
     groups = simhash.duplicate_groups(docs, width=5, radius=8, similarity=0.8)
     gone = groups.filter("doc_id <> group_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents that hold no window of the benchmark.
+
+    Null and empty texts hold none; rows that repeat an id and its text are judged alike; items
+    without words or id match nothing.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences.
+
+    Every row is packed, a null or empty text as its end mark alone; which of equal pieces
+    goes where is open.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -63,7 +84,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stash(docs)
+        last = k == len(STAGES) - 1
+        docs = stage(spark, docs, sf_dir) if last else settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs

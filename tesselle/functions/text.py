@@ -103,9 +103,13 @@ def response_action(status: str, remark: str) -> Column:
     return F.when((code == 200) & truncated(remark), "split").when(code == 200, "use").when(code.isin(429, 503), "back_off").when(code == 400, "split").otherwise("next_endpoint")
 
 
-def label_colour(label: str, colours: int = 20) -> Column:
+# Factor, offset and shift of a label's colour, and the number of colours.
+COLOUR_FACTOR, COLOUR_OFFSET, COLOUR_SHIFT, COLOURS = 2654435761, 12345, 3, 20
+
+
+def label_colour(label: str, colours: int = COLOURS) -> Column:
     """Number of a label's colour: neighbouring labels get colours far apart."""
-    return F.pmod(F.shiftright(F.col(label).cast("long") * F.lit(2654435761) + F.lit(12345), 3), F.lit(colours)).cast("int")
+    return F.pmod(F.shiftright(F.col(label).cast("long") * F.lit(COLOUR_FACTOR) + F.lit(COLOUR_OFFSET), COLOUR_SHIFT), F.lit(colours)).cast("int")
 
 
 def rank_places(places: DataFrame, query: str, limit: int = 25) -> DataFrame:

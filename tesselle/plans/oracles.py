@@ -263,9 +263,9 @@ ORACLES: dict[str, str] = {
     "obstacles_by_mode": f"with {_POSITIONS} select 'modeled' as mode, count(*) as obstacles from pos where parcel_id % 2 = 0 union all select 'all', count(*) from pos union all select 'all_except', count(*) from pos where parcel_id % 10 <> 0",
     "nearest_tile": f"with {_BOXES}, q as (select * from (values (0, 700.0, 700.0), (1, 5000.0, 5000.0), (2, 9990.0, 10.0)) q(query, x, y)), n as (select query, id, sqrt(pow(greatest(0, x0 - x, x - x1), 2) + pow(greatest(0, y0 - y, y - y1), 2)) as distance from q, box) select query, id, {_round('distance')} as distance from n where distance <= 400 qualify row_number() over (partition by query order by n.distance, id) = 1",
     "adjacency_modes": f"""with {_SIGHT}, {_GAPPED.removeprefix(_POSITIONS + ',')},
-        seen as (select src, dst from near where distance <= 1e-6 union all select src, dst from line l where not exists (select 1 from blocked k where k.src = l.src and k.dst = l.dst)),
-        pairs as (select 'near' as rule, src, dst from near union all select 'sight', src, dst from seen)
-        select distinct least(a.tile_id, b.tile_id) as src, greatest(a.tile_id, b.tile_id) as dst, rule from pairs join placed a on a.parcel_id = src join placed b on b.parcel_id = dst where a.tile_id <> b.tile_id
+        seen as (select src, dst from near where distance <= 1e-6 union all select src, dst from line l where not exists (select 1 from blocked k where k.src = l.src and k.dst = l.dst))
+        select distinct least(a.tile_id, b.tile_id) as src, greatest(a.tile_id, b.tile_id) as dst, 'sight' as rule from seen join placed a on a.parcel_id = src join placed b on b.parcel_id = dst where a.tile_id <> b.tile_id
+        union all select distinct least(a.tile_id, b.tile_id), greatest(a.tile_id, b.tile_id), 'near' from near join placed a on a.parcel_id = src join placed b on b.parcel_id = dst where a.tile_id <> b.tile_id
         union all select a.id, b.id, 'tile' from gt a join gt b on a.id < b.id where {_DIST} <= 100""",
     "tiles_from_cache": f"""with {_BOXES}, {_GAPPED.removeprefix(_POSITIONS + ',')},
         lone as (select parcel_id from pos where not exists (select 1 from gt where px > x0 and px < x1 and py > y0 and py < y1))
@@ -278,7 +278,7 @@ ORACLES: dict[str, str] = {
     "json_lines": f"""with {_POSITIONS} select parcel_id, 0 as line, case when parcel_id % 3 = 0 then 5 else 3 end as points, {_round('px - 25')} as lon, {_round('py - 25')} as lat from pos where parcel_id % 3 < 2
         union all select parcel_id, line, points, {_round('px + dx')}, {_round('py + dx')} from pos, (values (0, 3, -25.0), (1, 5, -10.0), (2, 3, 25.0)) m(line, points, dx) where parcel_id % 3 = 2""",
     "json_polygons": f"with {_POSITIONS} select parcel_id, 0 as part, case when parcel_id % 3 = 0 then 2500.0 else 2100.0 end::double as sqft from pos where parcel_id % 3 <> 1",
-    "transparent_report": "select p_name as value, count(*) as n from part where regexp_matches(lower(p_name), 'right-of-way|right of way|row|submerged|river|lake|canal|ditch|drain|waterway|utility|subsurface|sewage|waste land|common element|common area|street|road|highway|easement') group by p_name order by n desc, value limit 12",
+    "transparent_report": "select p_name as value, count(*) as n from part where p_name ilike '%ring%' or p_name ilike '%bolt%' group by p_name order by n desc, value limit 12",
     "owned_labels": f"with {_PIECES} select nid, count(*) as tiles from tl group by nid",
     "union_dedupe": f"with {_BOXES}, {_GAPPED.removeprefix(_POSITIONS + ',')} select x0, y0, x1, y1 from box union select x0, y0, x1, y1 from gt",
     "states_for_bounds": "select * from (values ('12'), ('13'), ('01')) s(state)",

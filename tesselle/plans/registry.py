@@ -361,7 +361,7 @@ QUERIES = {
     "parcel_scan": scanned,
     "json_lines": lambda s, d: features.lines(elements(s, d)).select("parcel_id", "line", F.size("points").alias("points"), number(F.col("points")[0]["lon"]).alias("lon"), number(F.col("points")[0]["lat"]).alias("lat")),
     "json_polygons": lambda s, d: features.polygons(elements(s, d)).select("parcel_id", "part", number(shapes.wkb_area("geom"), 3).alias("sqft")),
-    "transparent_report": lambda s, d: prep.transparent_classes(tables.scan(s, d, "part"), "p_name"),
+    "transparent_report": lambda s, d: prep.transparent_classes(tables.scan(s, d, "part"), "p_name", ("RING", "bolt")),
     "owned_labels": lambda s, d: graph.owned_labels(moves.tile_labels(lattice(s, d))),
     "union_dedupe": lambda s, d: shapes.distinct_shapes(outlines(footprints(s, d)).unionByName(outlines(gapped_tiles(s, d))).unionByName(outlines(footprints(s, d)))).select("x0", "y0", "x1", "y1"),
     "states_for_bounds": lambda s, d: tab(s, [("12", -87.6, 24.5, -80.0, 31.0), ("13", -85.6, 30.4, -80.8, 35.0), ("01", -88.5, 30.2, -84.9, 35.0), ("13", -85.6, 30.4, -80.8, 35.0), ("48", -106.6, 25.8, -93.5, 36.5)], "state string, x0 double, y0 double, x1 double, y1 double").filter("x0 <= -84.0 and x1 >= -85.2 and y0 <= 30.9 and y1 >= 30.1").select("state").dropDuplicates(),
