@@ -30,7 +30,7 @@ from tesselle.scratch import discard, settled, stash
 
 WINDOW = 10
 #: A segment of the index covers about this many bytes of text (a longer text is a segment alone).
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 #: One broadcast block holds the windows of about this many bytes of benchmark text.
 BLOCK_BYTES = 1 << 20
 
