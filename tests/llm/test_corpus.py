@@ -243,6 +243,20 @@ def test_sql_twins(name, spark, sf_dir, duck, same):
     same(queries.QUERIES[name](spark, sf_dir), duck, queries.ORACLES[name])
 
 
+def plain_representatives(rows):
+    """The least id of each group, by comparing the shingle sets of all pairs."""
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    sets = {}
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(lower))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    least = {d: d for d in sets}
+    for a, b in sorted((a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4):
+        x, y = sorted((least[a], least[b]))
+        least = {d: x if g == y else g for d, g in least.items()}
+    return set(least.values())
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir, real):
     import corpus_pipeline
 
@@ -260,18 +274,11 @@ def test_pipeline_stage_by_stage(spark, sf_dir, real):
     before = {line.strip() for r in good.collect() for line in r.text.split("\n") if len(line.strip().encode()) >= 16}
     assert len(kept) == len(set(kept)) and set(kept) <= before and len(before) - len(kept) <= 3
     assert short.columns == real.columns and all(r.n_chars == len(r.text) for r in short.collect())
-    # Near-duplicates: the least document of each group, by comparing the sets of all pairs.
+    # Near-duplicates: the least document of each group; also before the line stage, which leaves hardly any.
     apart = stages["simhash_neardup"](spark, short, sf_dir).cache()
-    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-    sets = {}
-    for r in short.collect():
-        w = re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(lower))
-        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    least = {d: d for d in sets}
-    for a, b in sorted((a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4):
-        x, y = sorted((least[a], least[b]))
-        least = {d: x if g == y else g for d, g in least.items()}
-    assert {r.doc_id for r in apart.collect()} == {d for d, g in least.items() if d == g} and len(set(least.values())) < len(least)
+    assert {r.doc_id for r in apart.collect()} == plain_representatives(short.collect())
+    copies = good.collect()
+    assert {r.doc_id for r in stages["simhash_neardup"](spark, good, sf_dir).collect()} == plain_representatives(copies) and len(plain_representatives(copies)) < len(copies)
     # Decontamination, by the plain version.
     clean = stages["benchmark_decontamination"](spark, apart, sf_dir).cache()
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
