@@ -63,3 +63,22 @@ def test_water_is_cut_out(spark):
     for r in linework.clip_out(tiles, water).collect():
         got.setdefault(r.tile_id, []).append(round(r.sqft, 3))
     assert {k: sorted(v) for k, v in got.items()} == {0: [10_000.0], 1: [400.0, 1200.0, 5000.0], 2: [8000.0]}
+
+
+def test_rings_of_members():
+    """Halves joined end to end, a hole inside, a hole that sticks out, and lines that don't close."""
+    import numpy as np
+
+    from tesselle.functions.shapes import area
+    from tesselle.sources.features import areas_of
+
+    square = np.array([(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], float)
+    halves = [square[:3], square[2:][::-1]]
+    hole = square * 0.2 + 4
+    assert area(areas_of([square], [])) == area(areas_of(halves, [])) == 100
+    assert area(areas_of(halves, [hole])) == 96
+    assert np.isclose(area(areas_of(halves, [square * 0.2 + 9])), 99)
+    assert np.isclose(area(areas_of([square, square + 20], [hole, hole + 20, hole * 0.1 + 1])), 2 * 96 - 0.04)
+    assert areas_of([square[:4]], []) == [] and areas_of([], [hole]) == []
+    bow = np.array([(0, 0), (10, 10), (10, 0), (0, 10), (0, 0)], float)
+    assert np.isclose(area(areas_of([bow], [])), 50)
