@@ -61,11 +61,12 @@ def _first_shared(size: float, reach: float) -> Column:
 def range_join(left: DataFrame, right: DataFrame, reach: float, size: float | None = None) -> DataFrame:
     """All pairs of boxes within ``reach`` (inclusive): columns ``a_*`` and ``b_*`` and ``distance``.
 
-    ``size`` is the side of the lattice cells (by default twice the reach, 100 at least).
+    ``size`` is the side of the lattice cells (by default twice the reach, 100 at least).  A box
+    is a row in each cell it touches, which Catalyst's estimates don't see: a side is never broadcast.
     """
     side = size or max(100.0, 2 * reach)
     a, b = cells(prefixed(left, "a"), "a", side, reach), cells(prefixed(right, "b"), "b", side)
-    met = a.join(b, ["cx", "cy"]).filter(_first_shared(side, reach))
+    met = a.hint("merge").join(b, ["cx", "cy"]).filter(_first_shared(side, reach))
     return met.withColumn("distance", box_distance()).filter(F.col("distance") <= reach).drop("cx", "cy")
 
 

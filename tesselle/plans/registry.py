@@ -464,7 +464,7 @@ def waters(s: SparkSession, d: str) -> DataFrame:
 
 def clipped(s: SparkSession, d: str) -> DataFrame:
     """The populated 1000 ft tiles without rivers and ponds."""
-    return linework.clip_out(outlines(tile_boxes(tables.placed(s, d), 1000.0, 10)), waters(s, d))
+    return linework.clip_out(outlines(tile_boxes(tables.placed(s, d), 1000.0, 10)), waters(s, d), 1000.0)
 
 
 def worker_messages(s: SparkSession, d: str) -> DataFrame:

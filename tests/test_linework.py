@@ -63,6 +63,7 @@ def test_water_is_cut_out(spark):
     for r in linework.clip_out(tiles, water).collect():
         got.setdefault(r.tile_id, []).append(round(r.sqft, 3))
     assert {k: sorted(v) for k, v in got.items()} == {0: [10_000.0], 1: [400.0, 1200.0, 5000.0], 2: [8000.0]}
+    assert sorted((r.tile_id, round(r.sqft, 3)) for r in linework.clip_out(tiles, water, 37.0).collect()) == sorted((k, x) for k, v in got.items() for x in v)
 
 
 def test_rings_of_members():

@@ -156,3 +156,13 @@ def test_footprint_queries_take_every_parcel(spark, tmp_path):
     out = lambda p, q: max(0, abs(p - q) - 25)
     near = {k: min((out(at[i][0], x) ** 2 + out(at[i][1], y) ** 2, i) for i in ids) for k, (x, y) in enumerate([(700, 700), (5000, 5000), (9990, 10)])}
     assert {r.query: r.id for r in registry.QUERIES["nearest_tile"](spark, str(tmp_path)).collect()} == {k: i for k, (d, i) in near.items() if d <= 400**2}
+
+
+def test_cells_are_never_broadcast(spark):
+    """A large box is many rows that no estimate knows of: the join must not gather them on the driver."""
+    tiles = boxes(spark, [(1000 * i, 0, 1000, 1000) for i in range(3)])
+    met = spatial.range_join(tiles, tiles, 0.0)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    pairs = lambda df: sorted((r.a_id, r.b_id) for r in df.collect())
+    assert pairs(met) == pairs(spatial.range_join(tiles, tiles, 0.0, 1000.0)) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 1), (2, 2)]
