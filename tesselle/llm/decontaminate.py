@@ -329,13 +329,19 @@ def matches(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: i
     """``(doc_id, n_words, spans, items, n_near)`` for every document of an index from :func:`build_index`.
 
     ``spans`` are the exact occurrences of windows (first word, end), ``items`` whose they are,
-    ``n_near`` the proximity matches.  See :func:`contamination`.
+    ``n_near`` the proximity matches.  See :func:`contamination`.  What is found is written, so that
+    the index, whose rows are half a megabyte, is read a few rows at a time whoever asks.
     """
-    ready = stash(weighed(stash(test_windows(benchmark, width)), index))
+    ready = stash(weighed(stash(test_windows(benchmark, width)), index), wide=True)
     found = None
     for tests in window_blocks(ready, block_bytes):
-        one = _search(index, tests, slop)
-        found = one if found is None else stash(_merged(found.unionByName(one)))
+        one = stash(_search(index, tests, slop), wide=True)
+        if found is None:
+            found = one
+        else:
+            before, found = found, stash(_merged(found.unionByName(one)))
+            discard(before)
+            discard(one)
     discard(ready)
     return found.drop("segment", "place")
 
@@ -362,6 +368,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     """
     index = stash(build_index(docs))
     found = matches(index, benchmark, width, slop, block_bytes)
+    discard(index)
     hit = found.withColumn("n_hit", F.arrow_udf(covered, "bigint")("spans"))
     return hit.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "n_near", (F.size("spans") > 0).alias("contaminated"))
 

@@ -22,6 +22,10 @@ _MADE: list[list[DataFrame]] = []
 #: since rows with whole texts are wide.
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
+#: And while a table is made from rows of half a megabyte, as those of an index are: so many rows at
+#: once are read into columns and sent to Python, else it's all that a task has.
+_WIDE = {"spark.sql.parquet.columnarReaderBatchSize": "16", "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
+
 
 def folder(spark: SparkSession) -> str:
     """The scratch folder of this application inside the shared checkpoint folder."""
@@ -36,15 +40,17 @@ def folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tesselle-{spark.sparkContext.applicationId}"
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, wide: bool = False) -> DataFrame:
     """``df`` written once and read back: later plans start at the written table.
 
-    The table's place is kept in ``.stash_path`` of the result for :func:`discard`.
+    ``wide``: what it reads has very large rows.  The table's place is kept in ``.stash_path`` of
+    the result for :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
-    for k, v in _WHILE_WRITING.items():
+    held = _WHILE_WRITING | _WIDE if wide else _WHILE_WRITING
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
         spark.conf.set(k, v)
     try:
         df.write.parquet(path)

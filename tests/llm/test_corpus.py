@@ -10,10 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from tesselle import scratch
 from tesselle.llm import decontaminate, packing, quality, queries, warc
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -83,6 +85,16 @@ def plain_proximity(docs, items, width=10, slop=2):
     return Counter(out)
 
 
+def test_index_rows_are_read_a_few_at_a_time(spark, make):
+    """Tasks that read wide rows get 16 at once, and nothing lazy is left that reads the index otherwise."""
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    rows = scratch.stash(spark.range(100).coalesce(1))
+    assert [r.n for r in scratch.stash(rows.mapInArrow(sizes, "n bigint"), wide=True).collect()] == [16] * 6 + [4]
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+    out = decontaminate.contamination(make([(1, "a b c")]), spark.createDataFrame([("x", "b c")], "item_id string, text string"))
+    assert "gaps" not in out._jdf.queryExecution().optimizedPlan().toString() and [(r.doc_id, r.n_hit) for r in out.collect()] == [(1, 2)]
+
+
 def test_proximity_and_postings(spark, make):
     bench = spark.createDataFrame([("1", "alpha beta")], "item_id string, text string")
     docs = make([(1, "alpha x beta"), (2, "beta alpha"), (3, "alpha " + "x " * 30 + "beta"), (4, None)])
